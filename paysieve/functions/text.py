@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
 from . import patterns as P
 from .scalars import col
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])   # executors need no copy of this package
 VARIANTS = T.StructType([T.StructField(n, T.StringType()) for n in ("percent", "entity", "tags", "skeleton")])
 
 _FOLD = str.maketrans(P.CONFUSABLES)

@@ -16,6 +16,7 @@ from ..functions.scalars import col, credibility, decay, risk_grade, smoothed_ra
 from .checks import check, collect, first_of, when
 from .windows import newest_n, running_totals, spread_null
 
+_LATE = 2**63 - 1                     # a record without a row number counts only for later milliseconds
 _EPOCH = 1_700_000_000_000            # reference point of decayed sums; any fixed time gives the same weights
 
 
@@ -96,7 +97,7 @@ def summarize_incidents(incidents: DataFrame, counterparties: DataFrame | None =
 def first_incidents(incidents: DataFrame) -> DataFrame:
     """First incident per (address, observer) of an address-shaped subject."""
     d = incidents.withColumn("address", F.lower(trimmed("address"))).filter(F.col("address").rlike(P.IMPLICATED))
-    rest = [c for c in ("check_id", "origin", "scan_id") if c in d.columns]
+    rest = [c for c in ("seq", "check_id", "origin", "scan_id") if c in d.columns]
     return d.groupBy("address", "observer").agg(F.min(F.struct("ms", *rest)).alias("f")).select("address", "observer", "f.*")
 
 
@@ -283,7 +284,8 @@ def address_events(reports: DataFrame | None, incidents: DataFrame | None, outco
 
     def add(d, **given):
         m = {**zero, **given}
-        parts.append(d.select("address", "ms", *[m[k].cast("double").alias(k) for k in ADDRESS_MEASURES]))
+        at = F.col("seq").cast("bigint") if "seq" in d.columns else F.lit(_LATE)
+        parts.append(d.select("address", "ms", at.alias("seq"), *[m[k].cast("double").alias(k) for k in ADDRESS_MEASURES]))
 
     if reports is not None:
         r = first_reports(reports.select("address", "category", "reporter", "reported_ms"))
@@ -308,14 +310,15 @@ def read_back(rows: DataFrame, key: str, events: DataFrame | None, measures: tup
 
     def line(d):
         cols = d.columns
-        left = d.select(*cols, F.col("ms").alias("_t"), F.lit(0).alias("_side"), *[F.lit(0.0).alias(f"_{m}") for m in measures])
+        left = d.select(*cols, F.col("ms").alias("_t"), F.col("seq").alias("_s"), F.lit(0).alias("_side"),
+                        *[F.lit(0.0).alias(f"_{m}") for m in measures])
         right = events.select(*[F.col(events.columns[0]).alias(c) if c == key else F.lit(None).cast(d.schema[c].dataType).alias(c) for c in cols],
-                              F.col("ms").alias("_t"), F.lit(1).alias("_side"), *[F.col(m).alias(f"_{m}") for m in measures])
+                              F.col("ms").alias("_t"), F.col("seq").alias("_s"), F.lit(1).alias("_side"), *[F.col(m).alias(f"_{m}") for m in measures])
         return left.unionByName(right).withColumn("_k", spread_null(key))
 
     d = running_totals(line(rows), ["_k"], {n: F.col(f"_{m}") for n, m in zip(names, measures)},
                        base=None if base is None else line(base.select(key, "ms", "seq")),
-                       order=("_t", "_side", "seq"), bucket=F.floor(F.col("_t") / DAY_MS))
+                       order=("_t", "_s", "_side"), bucket=F.floor(F.col("_t") / DAY_MS))
     return d.filter("_side = 0").select(*rows.columns, *names)
 
 
@@ -330,9 +333,9 @@ DOMAIN_MEASURES = ("payees", "delivered", "not_delivered", "partial", "wrong_con
 def domain_events(outcomes: DataFrame) -> DataFrame:
     """Time line of a domain's outcomes; ``payees`` counts the first outcome of every payee."""
     d = outcomes.filter(F.col("domain").isNotNull() & (F.length("pay_to") > 0))
-    o = d.select("domain", F.col("reported_ms").alias("ms"), F.lit(0.0).alias("payees"), *[(F.col("outcome") == k).cast("double").alias(k) for k in OUTCOMES])
+    o = d.select("domain", F.col("reported_ms").alias("ms"), F.lit(_LATE).alias("seq"), F.lit(0.0).alias("payees"), *[(F.col("outcome") == k).cast("double").alias(k) for k in OUTCOMES])
     first = d.groupBy("domain", "pay_to").agg(F.min("reported_ms").alias("ms"))
-    return o.unionByName(first.select("domain", "ms", F.lit(1.0).alias("payees"), *[F.lit(0.0).alias(k) for k in OUTCOMES]))
+    return o.unionByName(first.select("domain", "ms", F.lit(_LATE).alias("seq"), F.lit(1.0).alias("payees"), *[F.lit(0.0).alias(k) for k in OUTCOMES]))
 
 
 def domain_first_payee(outcomes: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ MONEY = "decimal(38,12)"
 
 def money(c) -> Column:
     """Exact fixed-point value for sums that may be taken in any order; beyond ±1e24 it is clamped, far over every limit."""
-    return F.least(F.greatest(col(c), F.lit(-1e24)), F.lit(1e24)).cast(MONEY)
+    return F.when(col(c).isNotNull(), F.least(F.greatest(col(c), F.lit(-1e24)), F.lit(1e24))).cast(MONEY)
 
 
 def spread_null(key, seq="seq") -> Column:
@@ -292,19 +292,20 @@ def asof_last(rows: DataFrame, events: DataFrame, keys: list[str], value: str, *
     Rows and events share one time line cut into buckets; the last event of earlier buckets is carried in, so neither
     many rows nor many events of one key meet in one task.
     """
-    t = order[0]
-    rank = F.lit(1 if strict else -1)
+    t, more = order[0], list(order[1:])
+    kind = events.schema[value].dataType
     cols = rows.columns
-    left = rows.select(*cols, F.lit(None).cast(events.schema[value].dataType).alias("_ev"), F.lit(0).alias("_side"), F.lit(0).alias("_tie"))
-    right = events.select(*[F.col(c).alias(c) if c in keys or c == t else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in cols],
-                          F.col(value).alias("_ev"), rank.alias("_side"), (F.lit(0) if tie is None else tie).alias("_tie"))
+    left = rows.select(*cols, F.lit(None).cast(kind).alias("_ev"), F.lit(0).alias("_side"), F.lit(0).alias("_tie"))
+    right = events.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) if c in keys or c in order else F.lit(None).cast(rows.schema[c].dataType).alias(c)
+                            for c in cols],
+                          F.col(value).alias("_ev"), F.lit(1 if strict else -1).alias("_side"), (F.lit(0) if tie is None else tie).alias("_tie"))
     both = left.unionByName(right).withColumn("_b", F.floor(F.col(t) / bucket_ms))
-    ends = right.withColumn("_b", F.floor(F.col(t) / bucket_ms)).groupBy(*keys, "_b").agg(F.max_by("_ev", F.struct(t, "_tie")).alias("_l"))
-    starts = left.select(*keys, F.floor(F.col(t) / bucket_ms).alias("_b")).distinct().withColumn("_l", F.lit(None).cast(events.schema[value].dataType))
+    ends = right.withColumn("_b", F.floor(F.col(t) / bucket_ms)).groupBy(*keys, "_b").agg(F.max_by("_ev", F.struct(*order, "_tie")).alias("_l"))
+    starts = rows.select(*keys, F.floor(F.col(t) / bucket_ms).alias("_b")).distinct().withColumn("_l", F.lit(None).cast(kind))
     per = ends.unionByName(starts).groupBy(*keys, "_b").agg(F.first("_l", ignorenulls=True).alias("_l"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     carry = per.select(*keys, "_b", F.last("_l", ignorenulls=True).over(before).alias("_carry"))
-    inside = W.partitionBy(*keys, "_b").orderBy(t, "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*keys, "_b").orderBy(t, *more, "_side", "_tie").rowsBetween(W.unboundedPreceding, 0)
     d = both.join(carry, [*keys, "_b"], "left")
     d = d.withColumn("_got", F.coalesce(F.last("_ev", ignorenulls=True).over(inside), F.col("_carry")))
     return d.filter(F.col("_side") == 0).select(*cols, F.col("_got").alias(value))
