@@ -112,6 +112,8 @@ def with_views(query: str, *views: str, engine: str = "duckdb") -> str:
     q = _fill(query.strip(), engine)
     if not ctes:
         return q
+    if q.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{q[15:]}"
     return f"WITH {ctes},\n{q[5:]}" if q[:5].upper() == "WITH " else f"WITH {ctes}\n{q}"
 
 

@@ -118,7 +118,7 @@ def redact(c) -> Column:
 def decay(event_ms, as_of) -> Column:
     """Weight halving every 90 days; a missing time weighs nothing."""
     age = F.greatest(F.lit(0.0), (col(as_of) - col(event_ms)) / float(DAY_MS))
-    return F.coalesce(F.pow(F.lit(2.0), -age / float(HALF_LIFE_DAYS)), F.lit(0.0))
+    return F.when(col(event_ms).isNotNull(), F.pow(F.lit(2.0), -age / float(HALF_LIFE_DAYS))).otherwise(0.0)
 
 
 def credibility(distinct_payees) -> Column:

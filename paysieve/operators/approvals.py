@@ -29,7 +29,8 @@ def decide_approvals(approvals: DataFrame, decisions_in: DataFrame, as_of: int)
     status = (F.when(F.col("status") != "pending", F.col("status")).when(F.col("f.decision") == "approve", "approved")
               .when(F.col("f.decision") == "deny", "denied").when(F.col("expires_ms") <= as_of, "expired").otherwise("pending"))
     d = d.withColumn("status", status).withColumn("decided_ms", F.col("f.at_ms"))
-    return d.withColumn("latency_ms", F.greatest(F.lit(0), F.col("decided_ms") - F.col("created_ms"))).drop("f")
+    latency = F.when(F.col("decided_ms").isNotNull(), F.greatest(F.lit(0), F.col("decided_ms") - F.col("created_ms")))
+    return d.withColumn("latency_ms", latency).drop("f")
 
 
 def join_approval_outcomes(approvals: DataFrame, outcomes: DataFrame) -> DataFrame:
