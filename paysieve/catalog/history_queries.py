@@ -375,3 +375,26 @@ FROM (SELECT s.seq, a.plan, coalesce(a.plan IS NOT NULL AND a.plan_expires_ms >
 def scr_3(spark, sf):
     d = A.resolve_config(view(spark, sf, "scans"), view(spark, sf, "accounts"), None)
     return d.select("seq", "lim_per_minute", "lim_usd_per_hour", "lim_first_payment", "lim_micro")
+
+
+@query("flagship_screen", f"""WITH w AS (SELECT seq, m, amount_usd AS u, expected_price_usd AS e, direction, agent_key, {_SEEN.replace('ORDER BY ms', 'ORDER BY m')} AS seen FROM payments),
+o AS (SELECT *, count(*) OVER (PARTITION BY agent_key ORDER BY m RANGE BETWEEN 59999 PRECEDING AND 1 PRECEDING) + row_number() OVER (PARTITION BY agent_key, m ORDER BY seq) AS n,
+  coalesce(sum(CAST(u AS decimal(38,12))) OVER (PARTITION BY agent_key ORDER BY m RANGE BETWEEN 3599999 PRECEDING AND 1 PRECEDING), 0) + sum(CAST(u AS decimal(38,12))) OVER (PARTITION BY agent_key, m ORDER BY seq) AS h
+  FROM w WHERE {_MEMBER}),
+c AS (SELECT seq, CASE WHEN u <= 0 OR u > 10 OR (e > 0 AND u / e >= 10) THEN 70 WHEN e > 0 AND u / e >= 3 THEN 40 ELSE 0 END AS s, CASE WHEN u <= 0 OR u > 10 OR (e > 0 AND u / e >= 10) THEN 2 WHEN e > 0 AND u / e >= 3 THEN 1 ELSE 0 END AS r FROM w
+  UNION ALL SELECT seq, CASE WHEN seen > 1 THEN 95 ELSE 0 END, CASE WHEN seen > 1 THEN 2 ELSE 0 END FROM w
+  UNION ALL SELECT seq, CASE WHEN n >= 20 THEN 95 WHEN n >= 10 THEN 40 ELSE 0 END, CASE WHEN n >= 20 THEN 2 WHEN n >= 10 THEN 1 ELSE 0 END FROM o
+  UNION ALL SELECT seq, CASE WHEN h > 5 THEN 70 ELSE 0 END, CASE WHEN h > 5 THEN 2 ELSE 0 END FROM o
+  UNION ALL SELECT seq, 15, 1 FROM w WHERE direction = 'outgoing' AND agent_key IS NULL),
+v AS (SELECT seq, max(r) AS r, CASE WHEN count(*) FILTER (r > 0) > 1 THEN least(100, max(s) + (count(*) FILTER (r > 0) - 1) * 5) ELSE max(s) END AS risk FROM c GROUP BY seq)
+SELECT CASE r WHEN 2 THEN 'block' WHEN 1 THEN 'flag' ELSE 'allow' END AS verdict, count(*) AS scans, round(avg(risk), 6) AS mean_risk FROM v GROUP BY r""", "payments")
+def flagship(spark, sf):
+    """Replay, price, rate and spend of every payment, folded into a verdict and counted."""
+    from ..operators.checks import fold_verdict
+    from ..operators.rowlocal import overpayment
+    p = clocked(spark, sf).withColumn("phase", F.lit(None).cast("string"))
+    d = W.replay_counts(p)
+    d = A.resolve_config(W.velocity(d, member=F.col("direction") == "outgoing"), None, None).withColumn("known_payee", F.lit(True))
+    d = d.withColumn("checks", F.concat(overpayment(), replay_finding(), velocity_findings()))
+    d = d.withColumns(fold_verdict(F.col("checks")))
+    return d.groupBy("verdict").agg(F.count("*").alias("scans"), F.round(F.avg("risk_score"), 6).alias("mean_risk"))

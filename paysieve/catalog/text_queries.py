@@ -120,9 +120,8 @@ def prj_7(spark, sf):
 
 def _deep(spark, sf, payload):
     d = table(spark, sf, "documents").select("doc_id", F.expr(f"concat(text, CASE WHEN doc_id % 4 = 1 THEN concat(' ', {payload}) ELSE '' END)").alias("content"))
-    d = d.withColumns({"pay_to": F.lit("0x4b7c1fd02a9e83c65d14b0a7e2f9386cd5a0e917"), "origin": F.lit("fetched_content"),
-                       "content_tells": T.find_tells("content")})
-    d = R.with_deep_findings(d, F.lit(True)).select("doc_id", F.explode("deep_checks").alias("c"))
+    d = d.withColumns({"pay_to": F.lit("0x4b7c1fd02a9e83c65d14b0a7e2f9386cd5a0e917"), "origin": F.lit("fetched_content"), "offer": F.lit(None).cast("string")})
+    d = R.with_deep_findings(R.with_content_facts(d), F.lit(True)).select("doc_id", F.explode("deep_checks").alias("c"))
     return d.select("doc_id", F.col("c.id").alias("check_id"), F.col("c.verdict").alias("verdict"))
 
 
@@ -181,14 +180,14 @@ def top_5(spark, sf):
 @query("det_6_payee_in_content", """SELECT seq, CASE WHEN origin IN ('tool_result', 'fetched_content') THEN 'block' ELSE 'flag' END AS verdict
 FROM scans WHERE content IS NOT NULL AND contains(lower(content), lower(pay_to))""", "scans")
 def det_6(spark, sf):
-    d = R.content_flags(R.with_content_facts(conform(view(spark, sf, "scans"))))
+    d = R.with_injection_facts(conform(view(spark, sf, "scans")))
     return d.select("seq", F.explode(R.content_findings()).alias("c")).filter("c.id = 'injection.payto_from_content'").select("seq", "c.verdict")
 
 
 @query("det_4_provenance", """SELECT seq, CASE WHEN origin IN ('tool_result', 'fetched_content') THEN 'injection.untrusted_origin' ELSE 'injection.unknown_origin' END AS check_id
 FROM scans WHERE origin IS NULL OR origin IN ('tool_result', 'fetched_content')""", "scans")
 def det_4(spark, sf):
-    d = R.content_flags(R.with_content_facts(conform(view(spark, sf, "scans"))))
+    d = R.with_injection_facts(conform(view(spark, sf, "scans")))
     return d.select("seq", F.explode(R.provenance(F.lit(False))).alias("c")).select("seq", F.col("c.id").alias("check_id"))
 
 
@@ -199,7 +198,7 @@ _OFFER = "concat('{\"description\":\"', CASE WHEN seq % 7 = 0 THEN 'skip the pre
 SELECT seq, CASE WHEN sum(weight) >= 2 THEN 'block' ELSE 'flag' END AS verdict FROM h GROUP BY seq""", "payments")
 def det_7(spark, sf):
     d = conform(view(spark, sf, "payments").select("seq", F.expr(_OFFER).alias("offer")))
-    d = R.content_flags(R.with_content_facts(d))
+    d = R.with_injection_facts(d)
     return d.select("seq", F.explode(R.content_findings()).alias("c")).select("seq", "c.verdict")
 
 

@@ -7,15 +7,33 @@ from pyspark.sql import Column, functions as F
 from . import patterns as P
 from .scalars import col
 
-_ID = {i: t[0] for i, t in enumerate(P.TELLS)}
+TELL_ARRAY = "array<struct<id:string,weight:int,idx:int>>"
 
 
-def find_tells(text) -> Column:
-    """``array<struct<id, weight, idx>>`` of the tells present, first match each; idx counts UTF-16 units from 1."""
-    text = col(text)
-    hits = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(w).cast("int").alias("weight"),
-                              F.regexp_instr(text, F.lit(rx)).alias("idx")) for i, w, rx in P.TELLS])
-    return F.coalesce(F.filter(hits, lambda h: h["idx"] > 0), F.array().cast("array<struct<id:string,weight:int,idx:int>>"))
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("\t", "\\t") + "'"
+
+
+def tells_sql(text: str, low: str) -> str:
+    """SQL of ``array<struct<id, weight, idx>>`` of the tells present, first match each; idx counts UTF-16 units from 1.
+
+    ``low`` is the lower-cased text. A pattern runs only where the words it needs occur, which is far cheaper to test.
+    """
+    parts = []
+    for tid, weight, rx in P.TELLS:
+        find = f"regexp_instr({text}, {sql_text(rx)})"
+        if tid in P.TELL_NEEDS:
+            need = " AND ".join("(" + " OR ".join(f"contains({low}, {sql_text(w)})" for w in group) + ")" for group in P.TELL_NEEDS[tid])
+        else:
+            need = f"octet_length({text}) > length({text})"
+        parts.append(f"named_struct('id', '{tid}', 'weight', {weight}, 'idx', CASE WHEN {need} THEN {find} ELSE 0 END)")
+    return f"filter(array({', '.join(parts)}), h -> h.idx > 0)"
+
+
+def find_tells(text: str, low: str | None = None) -> Column:
+    """Tells of a text column; pass the name of a lower-cased copy where there is one, it is looked at many times."""
+    return F.coalesce(F.expr(tells_sql(text, low or f"lower({text})")), F.array().cast(TELL_ARRAY))
 
 
 def tell_ids(tells) -> Column:
@@ -26,14 +44,6 @@ def tell_weight(tells) -> Column:
     return F.aggregate(col(tells), F.lit(0), lambda a, h: a + h["weight"])
 
 
-def has_tells(text) -> Column:
-    """Any tell at all, stopping at the first pattern that matches."""
-    out = F.lit(False)
-    for _, _, rx in reversed(P.TELLS):
-        out = F.when(F.regexp_instr(col(text), F.lit(rx)) > 0, True).otherwise(out)
-    return out
-
-
 def nearest_address(text, tells) -> Column:
     """``struct<distance, tell_id>`` of the tell nearest to an address-like token within 300 units, else null.
 

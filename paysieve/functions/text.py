@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
 from . import patterns as P
-from .scalars import col
+from .scalars import WS, col
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])   # executors need no copy of this package
 VARIANTS = T.StructType([T.StructField(n, T.StringType()) for n in ("percent", "entity", "tags", "skeleton")])
@@ -62,8 +62,20 @@ def _skeleton_udf(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else fold_skeleton(t))
 
 
+def not_ascii(text) -> Column:
+    """Whether a text holds anything beyond ASCII, by comparing two lengths instead of matching."""
+    return F.octet_length(col(text)) > F.length(col(text))
+
+
 def strip_invisible(text) -> Column:
-    return F.regexp_replace(col(text), P.INVISIBLE, "")
+    return F.when(not_ascii(text), F.regexp_replace(col(text), P.INVISIBLE, "")).otherwise(col(text))
+
+
+def squeeze(text) -> Column:
+    """Text without white space and invisible characters. Blanks and line ends go first, byte-wise; few texts need the rest."""
+    t = F.replace(F.replace(col(text), F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+    rest = rf"[\t\r\x0b\f]|{P.INVISIBLE}|{WS}"
+    return F.when(not_ascii(text) | t.rlike(r"[\t\r\x0b\f]"), F.regexp_replace(t, rest, "")).otherwise(t)
 
 
 def with_skeleton(df, text: str, name: str = "skeleton"):

@@ -5,6 +5,8 @@ All of them are projections: the payments table is scanned once and its wide tex
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CANONICAL_ASSETS, UNTRUSTED_ORIGINS, ScreenConfig
@@ -24,6 +26,7 @@ def pii_hits(value) -> Column:
     found = []
     for pid, _, severity, verdict, rx in P.PII:
         exempt = F.lit(False)
+        need = reduce(lambda a, b: a | b, [F.contains(value, F.lit(w)) for w in P.PII_NEEDS[pid]]) if pid in P.PII_NEEDS else None
         if pid == "generic_secret_param":
             every = F.regexp_extract_all(value, F.lit(rx), F.lit(0))
             real = F.get(F.filter(every, lambda m: ~m.rlike(P.ADDRESS_SHAPED_PARAM)), F.lit(0))
@@ -34,6 +37,7 @@ def pii_hits(value) -> Column:
             if pid == "credit_card":
                 digits = F.regexp_replace(match, "[^0-9]", "")
                 match = F.when(F.length(digits).between(13, 19) & F.call_function("luhn_check", digits), match)
+        match = match if need is None else F.when(need, match)
         found.append(F.struct(F.lit(pid).alias("pattern"), F.when(exempt, "allow").otherwise(verdict).alias("verdict"),
                               F.when(exempt, "info").otherwise(severity).alias("severity"), match.alias("match"),
                               exempt.alias("exempt")))
@@ -112,15 +116,13 @@ def untrusted() -> Column:
 
 def with_content_facts(df: DataFrame) -> DataFrame:
     """Columns the injection checks share: tells of content and offer, proximity, payee found in the content."""
-    c, payee = F.col("content"), F.lower("pay_to")
-    has = F.length(c) > 0
-    squeezed = F.regexp_replace(X.strip_invisible(F.lower(c)), WS + "+", "")
-    d = df.withColumn("content_tells", F.when(has, T.find_tells(c)).otherwise(T.find_tells(F.lit(""))))
-    d = d.withColumn("offer_tells", F.when(F.length("offer") > 0, T.find_tells("offer")).otherwise(T.find_tells(F.lit(""))))
-    d = d.withColumn("content_near", F.when(F.size("content_tells") > 0, T.nearest_address(c, "content_tells")))
-    usable = has & (F.length(payee) > 0)
-    d = d.withColumn("payee_direct", F.coalesce(usable & F.contains(F.lower(c), payee), F.lit(False)))
-    return d.withColumn("payee_hidden", F.when(usable & ~F.col("payee_direct"), F.contains(squeezed, payee)).otherwise(F.lit(False)))
+    c, low, payee = F.col("content"), F.col("content_low"), F.lower("pay_to")
+    d = df.withColumns({"content_low": F.lower("content"), "offer_low": F.lower("offer"), "has_content": F.coalesce(F.length("content") > 0, F.lit(False))})
+    usable = F.col("has_content") & (F.length("pay_to") > 0)
+    d = d.withColumns({"content_tells": T.find_tells("content", "content_low"), "offer_tells": T.find_tells("offer", "offer_low"),
+                       "payee_direct": F.coalesce(usable & F.contains(low, payee), F.lit(False))})
+    return d.withColumns({"content_near": F.when(F.size("content_tells") > 0, T.nearest_address(c, "content_tells")),
+                          "payee_hidden": F.when(usable & ~F.col("payee_direct"), F.contains(X.squeeze(low), payee)).otherwise(F.lit(False))})
 
 
 def provenance(established: Column) -> Column:
@@ -163,76 +165,77 @@ def injection(established: Column | None = None) -> Column:
     return or_clean(F.concat(provenance(known), content_findings()), check("injection", 0, "injection.clean", "allow", "info"))
 
 
-def content_flags(df: DataFrame) -> DataFrame:
-    return (df.withColumn("has_content", F.coalesce(F.length("content") > 0, F.lit(False)))
-            .withColumn("content_clean", (F.size("content_tells") == 0) & ~F.col("payee_direct") & ~F.col("payee_hidden")))
+def content_clean() -> Column:
+    return (F.size("content_tells") == 0) & ~F.col("payee_direct") & ~F.col("payee_hidden")
+
+
+def with_injection_facts(df: DataFrame) -> DataFrame:
+    return with_content_facts(df).withColumn("content_clean", content_clean())
 
 
 # ---------------------------------------------------------------- injection, deep tier
 
-_DECODED = "array<struct<text:string,twice:boolean,tells:array<string>,embeds:boolean>>"
+def _ids(text: str, low: str) -> str:
+    return f"transform({T.tells_sql(text, low)}, h -> h.id)"
 
 
-def _read(text: Column, payee: Column) -> dict[str, Column]:
-    return {"tells": T.tell_ids(T.find_tells(text)), "embeds": F.coalesce(F.contains(F.lower(text), payee), F.lit(False))}
+_EMBEDS = "coalesce(contains(s.low, _payee), false)"
+_PAIR = "transform(filter({a}, t -> t IS NOT NULL), t -> named_struct('text', t, 'low', lower(t)))"
+_READ = f"named_struct('text', s.text, 'tells', {_ids('s.text', 's.low')}, 'embeds', {_EMBEDS})"
+_HIT = "r -> size(r.tells) > 0 OR r.embeds"
 
 
 def with_deep_findings(df: DataFrame, gate: Column, name: str = "deep_checks") -> DataFrame:
     """Findings of the decoders for rows passing ``gate``. Python sees only rows with something to decode."""
-    c, payee = F.col("content"), F.lower("pay_to")
-    u = untrusted()
+    c, payee, u = F.col("content"), F.lower("pay_to"), untrusted()
     on = gate & (F.length(c) > 0)
-    raw_ids = T.tell_ids("content_tells")
-    raw_embeds = F.coalesce(F.contains(F.lower(c), payee), F.lit(False))
-    verdict_if = lambda embeds: F.when(u | embeds, "block").otherwise("flag")
-
-    # base64: decode, read; when nothing shows and the text is itself base64, decode once more
-    plain = F.transform(F.when(on & c.rlike(P.BASE64_BLOB), X.base64_blobs(c)), X.from_base64)
-    once = F.transform(F.filter(plain, lambda t: t.isNotNull()), lambda t: F.struct(
-        t.alias("text"), *[v.alias(k) for k, v in _read(t, payee).items()]))
-    again = F.transform(once, lambda d: F.struct(
-        d.alias("a"), F.when((F.size(d["tells"]) == 0) & ~d["embeds"] & F.trim(d["text"]).rlike(P.BASE64_WHOLE),
-                             X.from_base64(F.trim(d["text"]))).alias("inner")))
-    read = F.transform(again, lambda d: F.when(d["inner"].isNull(), F.struct(
-        d["a"]["text"].alias("text"), F.lit(False).alias("twice"), d["a"]["tells"].alias("tells"), d["a"]["embeds"].alias("embeds")))
-        .otherwise(F.struct(d["inner"].alias("text"), F.lit(True).alias("twice"),
-                            *[v.alias(k) for k, v in _read(d["inner"], payee).items()])))
-    d = df.withColumn("_b64", F.get(F.filter(read.cast(_DECODED), lambda r: (F.size(r["tells"]) > 0) | r["embeds"]), F.lit(0)))
-
-    # hex, percent, entities: only what the raw text does not already show; the first family wins
-    d = d.withColumn("_v", X.decode_variants(F.when(on & c.rlike(P.NEEDS_UDF), c)))
-    d = d.withColumn("_skt", F.when(F.col("_v.skeleton").isNotNull(), T.tell_ids(T.find_tells("_v.skeleton"))))
-    d = d.withColumn("_tag", F.when(F.length("_v.tags") > 0, F.struct(
-        T.tell_ids(T.find_tells("_v.tags")).alias("tells"), F.coalesce(F.contains(F.lower("_v.tags"), payee), F.lit(False)).alias("embeds"),
-        F.col("_v.tags").rlike(P.ADDRESS_TOKEN).alias("address"))))
-    hexes = F.filter(F.transform(F.when(on & c.rlike(P.HEX_BLOB), X.hex_blobs(c)), X.from_hex), lambda t: t.isNotNull())
-    family = lambda n, t: F.struct(F.lit(n).alias("encoding"), t.alias("text"))
-    named = F.concat(F.coalesce(F.transform(hexes, lambda t: family("hex", t)), F.array().cast("array<struct<encoding:string,text:string>>")),
-                     F.array(family("percent(URL)", F.col("_v.percent")), family("HTML-entity", F.col("_v.entity"))))
-    looked = F.transform(F.filter(named, lambda n: n["text"].isNotNull()), lambda n: F.struct(
-        n["encoding"].alias("encoding"), n["text"].alias("text"),
-        F.array_except(T.tell_ids(T.find_tells(n["text"])), raw_ids).alias("tells"),
-        (F.coalesce(F.contains(F.lower(n["text"]), payee), F.lit(False)) & ~raw_embeds).alias("embeds")))
-    d = d.withColumn("_enc", F.when(on, F.get(F.filter(looked, lambda r: (F.size(r["tells"]) > 0) | r["embeds"]), F.lit(0))))
-
+    d = df.withColumns({
+        "_payee": payee, "_on": on,
+        "_plain": F.transform(F.when(on & c.rlike(P.BASE64_BLOB), X.base64_blobs(c)), X.from_base64),
+        "_hex": F.transform(F.when(on & c.rlike(P.HEX_BLOB), X.hex_blobs(c)), X.from_hex),
+        "_v": X.decode_variants(F.when(on & c.rlike(P.NEEDS_UDF), c))})
+    family = lambda n, v: f"named_struct('encoding', '{n}', 'text', {v}, 'low', lower({v}))"
+    pairs = f"transform(filter(coalesce(_hex, array()), t -> t IS NOT NULL), t -> {family('hex', 't')})"
+    d = d.withColumns({
+        "_plain": F.expr(_PAIR.format(a="_plain")),
+        "_named": F.expr(f"filter(concat({pairs}, array({family('percent(URL)', '_v.percent')}, {family('HTML-entity', '_v.entity')})), n -> n.text IS NOT NULL)"),
+        "_sk": F.expr("named_struct('text', _v.skeleton, 'low', lower(_v.skeleton))"),
+        "_tg": F.expr("named_struct('text', nullif(_v.tags, ''), 'low', lower(_v.tags))")})
+    # base64: when nothing shows and the decoded text is itself base64, it is decoded once more
+    d = d.withColumn("_once", F.expr(f"transform(_plain, s -> {_READ})"))
+    inner = F.transform("_once", lambda o: F.struct(o.alias("a"), F.when(
+        (F.size(o["tells"]) == 0) & ~o["embeds"] & F.trim(o["text"]).rlike(P.BASE64_WHOLE), X.from_base64(F.trim(o["text"]))).alias("t")))
+    d = d.withColumn("_twice", inner)
+    both = (f"transform(_twice, o -> CASE WHEN o.t IS NULL THEN named_struct('twice', false, 'r', o.a) ELSE named_struct('twice', true, 'r', "
+            f"transform(array(named_struct('text', o.t, 'low', lower(o.t))), s -> {_READ})[0]) END)")
+    raw = "transform(content_tells, h -> h.id)"
+    looked = (f"transform(_named, s -> named_struct('encoding', s.encoding, 'text', s.text, 'tells', array_except({_ids('s.text', 's.low')}, {raw}), "
+              f"'embeds', {_EMBEDS} AND NOT coalesce(contains(content_low, _payee), false)))")
+    d = d.withColumns({
+        "_b64": F.expr(f"get(filter({both}, o -> size(o.r.tells) > 0 OR o.r.embeds), 0)"),
+        "_enc": F.expr(f"CASE WHEN _on THEN get(filter({looked}, {_HIT}), 0) END"),
+        "_skt": F.expr(f"CASE WHEN _sk.text IS NOT NULL THEN {_ids('_sk.text', '_sk.low')} END"),
+        "_tag": F.expr(f"CASE WHEN _tg.text IS NOT NULL THEN named_struct('tells', {_ids('_tg.text', '_tg.low')}, "
+                       f"'embeds', coalesce(contains(_tg.low, _payee), false), 'address', _tg.text RLIKE {T.sql_text(P.ADDRESS_TOKEN)}) END")})
     preview = lambda t: F.substring(t, 1, 120)
-    b, e, t = F.col("_b64"), F.col("_enc"), F.col("_tag")
-    raw_visible = F.size(F.filter(raw_ids, lambda i: i != "invisible_chars"))
+    hard = lambda embeds: F.when(u | embeds, "block").otherwise("flag")
+    b, twice, e, t = F.col("_b64.r"), F.col("_b64.twice"), F.col("_enc"), F.col("_tag")
+    raw_visible = F.expr("size(filter(content_tells, h -> h.id <> 'invisible_chars'))")
     findings = collect(
-        when(b.isNotNull(), check("deep", 0, "injection.b64_obfuscated", verdict_if(b["embeds"]), "critical",
-                                  {"decoded_preview": preview(b["text"]), "indicators": F.array_join(b["tells"], ","),
-                                   "double_encoded": b["twice"]}, F.when(b["embeds"], payee))),
-        when(e.isNotNull(), check("deep", 1, "injection.encoded_content", verdict_if(e["embeds"]), "critical",
+        when(F.col("_b64").isNotNull(), check("deep", 0, "injection.b64_obfuscated", hard(b["embeds"]), "critical",
+                                              {"decoded_preview": preview(b["text"]), "indicators": F.array_join(b["tells"], ","),
+                                               "double_encoded": twice}, F.when(b["embeds"], payee))),
+        when(e.isNotNull(), check("deep", 1, "injection.encoded_content", hard(e["embeds"]), "critical",
                                   {"encoding": e["encoding"], "decoded_preview": preview(e["text"]),
                                    "indicators": F.array_join(e["tells"], ",")}, F.when(e["embeds"], payee))),
         when((F.size(t["tells"]) > 0) | t["embeds"] | t["address"],
              check("deep", 2, "injection.tag_smuggling", "block", "critical",
-                   {"decoded_preview": preview(F.col("_v.tags")), "indicators": F.array_join(t["tells"], ",")},
+                   {"decoded_preview": preview(F.col("_tg.text")), "indicators": F.array_join(t["tells"], ",")},
                    F.when(t["embeds"], payee))),
         when(F.size("_skt") > raw_visible, check(
             "deep", 3, "injection.unicode_obfuscated", F.when(u, "block").otherwise("flag"), "critical",
             {"indicators": F.array_join("_skt", ",")})))
-    return d.withColumn(name, findings).drop("_b64", "_v", "_enc", "_tag", "_skt")
+    return d.withColumn(name, findings).drop("_payee", "_on", "_plain", "_hex", "_v", "_named", "_sk", "_tg", "_once", "_twice", "_b64", "_enc", "_skt", "_tag")
 
 
 # ---------------------------------------------------------------- offers
@@ -383,7 +386,7 @@ def with_usd(df: DataFrame) -> DataFrame:
 
 def find_tells(df: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """Long table of the tells of a text column, with score and proximity, for any table."""
-    d = df.select(*keep, F.col(text).alias("_t")).withColumn("_h", T.find_tells("_t")).filter(F.size("_h") > 0)
+    d = df.select(*keep, F.col(text).alias("_t"), F.lower(text).alias("_l")).withColumn("_h", T.find_tells("_t", "_l")).filter(F.size("_h") > 0)
     d = d.withColumn("_n", T.nearest_address("_t", "_h")).withColumn("score", T.tell_score("_h", "_n"))
     return d.select(*keep, "score", F.col("_n.distance").alias("distance"), F.explode("_h").alias("h")).select(
         *keep, F.col("h.id").alias("tell_id"), F.col("h.weight").alias("weight"), "score", "distance")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import patterns as P
 from ..functions.scalars import col
-from ..functions.text import strip_invisible
+from ..functions.text import not_ascii, strip_invisible
 from ..session import Workspace
 
 MIN_SHARED = 4
@@ -49,7 +49,10 @@ def is_lookalike(a, b) -> Column:
 
 def text_addresses(text, payee) -> Column:
     """Distinct EVM addresses written in a text, without the payee's own."""
-    found = F.array_distinct(F.transform(F.regexp_extract_all(strip_invisible(text), F.lit(P.EVM_IN_TEXT), F.lit(0)), F.lower))
+    t = col(text)
+    may = F.contains(t, F.lit("0x")) | not_ascii(t)          # hidden characters may sit between the two
+    found = F.array_distinct(F.transform(F.regexp_extract_all(F.when(may, strip_invisible(t)), F.lit(P.EVM_IN_TEXT), F.lit(0)), F.lower))
+    found = F.coalesce(found, F.array().cast("array<string>"))
     return F.filter(found, lambda a: ~a.eqNullSafe(col(payee)))
 
 
