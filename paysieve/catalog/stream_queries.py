@@ -12,10 +12,10 @@ from .fixtures import view
 from .registry import ORACLES, query
 
 
-def _in_order(spark, df, operator, parts: int = 3):
+def _in_order(spark, df, operator, parts: int = 3, files: int = 4):
     """Feed ``df`` in ``parts`` ordered micro-batches through ``operator`` and read what it wrote.
 
-    The time line is cut at its quantiles and written one file after another; the stream takes one file at a time.
+    The time line is cut at its quantiles and written one slice after another; the stream takes one slice at a time.
     """
     ws = Workspace(spark)
     ST.rocksdb(spark)
@@ -25,8 +25,8 @@ def _in_order(spark, df, operator, parts: int = 3):
         d = df
         d = d if lo is None else d.filter(F.col("ms") > lo)
         d = d if hi is None else d.filter(F.col("ms") <= hi)
-        d.coalesce(1).write.mode("append").parquet(ws.path + "/in")
-    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(ws.path + "/in")
+        d.repartition(files).write.mode("append").parquet(ws.path + "/in")
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(ws.path + "/in")
     out = operator(with_event_time(src))
     q = (out.writeStream.format("parquet").option("checkpointLocation", ws.path + "/ckpt").outputMode("append")
          .trigger(availableNow=True).start(ws.path + "/out"))

@@ -214,12 +214,13 @@ def resolve_blocks(rows: DataFrame, workspace: Workspace, *, pins: DataFrame | N
     raise RuntimeError(f"trust history did not settle within {max_rounds} rounds; raise max_rounds")
 
 
-def near_address_best(probes: DataFrame, known: DataFrame) -> DataFrame:
+def near_address_best(probes: DataFrame, known: DataFrame, direct: int = 64) -> DataFrame:
     """Best look-alike per probe: most shared digits, counterparties before pins, then the earliest.
 
     ``probes``: ``probe_id, pos, address, ms, seq, scope``; ``known``: ``scope, address, ms, seq, source`` (scope empty = everyone's).
-    An address is filed under every (prefix length, suffix length) from (4,4) up. Two earliest addresses per file tell
-    whether another one was known before, so the cost is linear in addresses and no pairs within a block are formed.
+    Blocks with few known addresses are compared directly. In larger ones an address is filed under every (prefix
+    length, suffix length) from (4,4) up, and the two earliest addresses of a file tell whether another one was known
+    before: linear in addresses, so a block flooded with look-alikes never turns into all its pairs.
     """
     def filed(d):
         body = F.substring("address", 3, 40)
@@ -229,18 +230,26 @@ def near_address_best(probes: DataFrame, known: DataFrame) -> DataFrame:
         return d.withColumn("_n", F.col("_ij.i") + F.col("_ij.j")).withColumn("_file", F.concat_ws(
             "|", F.col("_ij.i"), F.substring(body, F.lit(1), F.col("_ij.i")), F.right(body, F.col("_ij.j")))).drop("_ij")
 
+    keep = ["probe_id", "pos", "address", "n", "_src", "o", "a"]
     p = probes.withColumn("_b", block_key("address")).filter(F.col("_b").isNotNull())
-    k = known.withColumn("_b", block_key("address")).filter(F.col("_b").isNotNull())
-    k = k.join(p.select("_b").distinct(), "_b", "left_semi").drop("_b")
+    both = p.withColumn("scope", F.explode(F.array_distinct(F.array(F.coalesce("scope", F.lit("")), F.lit("")))))
     rank = F.when(F.col("source") == "payee", 0).when(F.col("source") == "counterparty", 1).otherwise(2)
-    files = _two_earliest(filed(k.withColumn("_src", rank)), ["scope", "_src", "_file"])
-    both = p.drop("_b").withColumn("scope", F.explode(F.array_distinct(F.array(F.coalesce("scope", F.lit("")), F.lit("")))))
-    m = filed(both).join(files, ["scope", "_file"])
+    k = known.withColumn("_b", block_key("address")).withColumn("_src", rank)
+    k = k.join(p.select("_b").distinct(), "_b", "left_semi").select("scope", "_b", "_src", "address", "ms", "seq")
+    k = k.join(k.groupBy("scope", "_b").agg(F.count("*").alias("_size")), ["scope", "_b"])
+
+    few = k.filter(F.col("_size") <= direct).select("scope", "_b", "_src", F.col("address").alias("a"), order_of().alias("o"))
+    m = both.join(few, ["scope", "_b"]).filter((F.col("a") != F.col("address")) & (F.col("o") < order_of()))
+    near = m.withColumn("n", -(shared_prefix("address", "a") + shared_suffix("address", "a"))).select(*keep)
+
+    files = _two_earliest(filed(k.filter(F.col("_size") > direct)), ["scope", "_src", "_file"])
+    crowded = k.filter(F.col("_size") > direct).select("scope", "_b").distinct()
+    m = filed(both.join(crowded, ["scope", "_b"], "left_semi").drop("_b")).join(files, ["scope", "_file"])
     other = F.when(F.col("_a1") != F.col("address"), F.struct(F.col("_a1").alias("a"), F.col("_o1").alias("o"))).otherwise(
         F.struct(F.col("_a2").alias("a"), F.col("_o2").alias("o")))
     m = m.withColumn("_m", other).filter(F.col("_m.a").isNotNull() & (F.col("_m.o") < order_of()))
-    best = m.groupBy("probe_id", "pos", F.col("address")).agg(F.min(F.struct((-F.col("_n")).alias("n"), "_src", F.col("_m.o").alias("o"),
-                                                                      F.col("_m.a").alias("a"))).alias("b"))
+    m = m.select("probe_id", "pos", "address", (-F.col("_n")).alias("n"), "_src", F.col("_m.o").alias("o"), F.col("_m.a").alias("a"))
+    best = near.unionByName(m).groupBy("probe_id", "pos", "address").agg(F.min(F.struct("n", "_src", "o", "a")).alias("b"))
     return best.select("probe_id", "pos", "address", F.col("b.a").alias("similar_to"),
                        F.when(F.col("b._src") == 1, "counterparty").when(F.col("b._src") == 0, "payee").otherwise("pin").alias("similar_source"),
                        shared_prefix("address", "b.a").alias("shared_prefix"), shared_suffix("address", "b.a").alias("shared_suffix"))
