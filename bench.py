@@ -38,6 +38,8 @@ def main() -> None:
     fast = ws.materialize(H.clocked(spark, sf_dir).repartition(n, "seq"), "clocked")
     log = ws.materialize(LQ.log(spark, sf_dir), "log")
     sink = lambda df: df.write.format("noop").mode("overwrite").save()
+    requests = docs.select("doc_id", F.col("text").alias("content"), F.lit(None).cast("string").alias("offer"), F.lit("fetched_content").alias("origin"),
+                           F.lit("0x4b7c1fd02a9e83c65d14b0a7e2f9386cd5a0e917").alias("pay_to"))
     rounds = {}
 
     def full():
@@ -58,7 +60,7 @@ def main() -> None:
         "full_screen": (scans, full),
         "text_tells": (docs, lambda: sink(R.find_tells(docs, "text", "doc_id"))),
         "text_pii": (docs, lambda: sink(R.scan_pii(docs, "text", "doc_id"))),
-        "text_deep": (docs, lambda: sink(TQ.det_10_hex(spark, sf_dir))),
+        "text_deep": (docs, lambda: sink(R.with_deep_findings(R.with_content_facts(requests), F.lit(True)).select("doc_id", "deep_checks"))),
         "ledger_reports": (pay, lambda: sink(LQ.agg_5(spark, sf_dir))),
         "ledger_outcomes": (pay, lambda: sink(LQ.agg_9(spark, sf_dir))),
         "chain_verify": (log, lambda: sink(AU.verify_chain(log))),

@@ -242,14 +242,16 @@ def near_address_best(probes: DataFrame, known: DataFrame, direct: int = 64) ->
     m = both.join(few, ["scope", "_b"]).filter((F.col("a") != F.col("address")) & (F.col("o") < order_of()))
     near = m.withColumn("n", -(shared_prefix("address", "a") + shared_suffix("address", "a"))).select(*keep)
 
-    files = _two_earliest(filed(k.filter(F.col("_size") > direct)), ["scope", "_src", "_file"])
-    crowded = k.filter(F.col("_size") > direct).select("scope", "_b").distinct()
-    m = filed(both.join(crowded, ["scope", "_b"], "left_semi").drop("_b")).join(files, ["scope", "_file"])
-    other = F.when(F.col("_a1") != F.col("address"), F.struct(F.col("_a1").alias("a"), F.col("_o1").alias("o"))).otherwise(
-        F.struct(F.col("_a2").alias("a"), F.col("_o2").alias("o")))
-    m = m.withColumn("_m", other).filter(F.col("_m.a").isNotNull() & (F.col("_m.o") < order_of()))
-    m = m.select("probe_id", "pos", "address", (-F.col("_n")).alias("n"), "_src", F.col("_m.o").alias("o"), F.col("_m.a").alias("a"))
-    best = near.unionByName(m).groupBy("probe_id", "pos", "address").agg(F.min(F.struct("n", "_src", "o", "a")).alias("b"))
+    crowded = k.filter(F.col("_size") > direct)
+    if not crowded.isEmpty():                                  # a flooded block; mostly there is none and this half is not planned at all
+        files = _two_earliest(filed(crowded), ["scope", "_src", "_file"])
+        hot = crowded.select("scope", "_b").distinct()
+        m = filed(both.join(hot, ["scope", "_b"], "left_semi").drop("_b")).join(files, ["scope", "_file"])
+        other = F.when(F.col("_a1") != F.col("address"), F.struct(F.col("_a1").alias("a"), F.col("_o1").alias("o"))).otherwise(
+            F.struct(F.col("_a2").alias("a"), F.col("_o2").alias("o")))
+        m = m.withColumn("_m", other).filter(F.col("_m.a").isNotNull() & (F.col("_m.o") < order_of()))
+        near = near.unionByName(m.select("probe_id", "pos", "address", (-F.col("_n")).alias("n"), "_src", F.col("_m.o").alias("o"), F.col("_m.a").alias("a")))
+    best = near.groupBy("probe_id", "pos", "address").agg(F.min(F.struct("n", "_src", "o", "a")).alias("b"))
     return best.select("probe_id", "pos", "address", F.col("b.a").alias("similar_to"),
                        F.when(F.col("b._src") == 1, "counterparty").when(F.col("b._src") == 0, "payee").otherwise("pin").alias("similar_source"),
                        shared_prefix("address", "b.a").alias("shared_prefix"), shared_suffix("address", "b.a").alias("shared_suffix"))
