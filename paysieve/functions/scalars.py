@@ -29,6 +29,12 @@ def epoch_ms(ts) -> Column:
     return F.floor(seconds * 1000).cast("bigint")
 
 
+def iso_utc(ms) -> Column:
+    """ISO-8601 UTC text of epoch milliseconds, in any session time zone."""
+    wall = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=(col(ms) / 1000).cast("decimal(18,6)"))
+    return F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
+
+
 def number_of(text) -> Column:
     """Text to double under ECMAScript's rules: blank is 0, hexadecimal is allowed, anything else odd is null."""
     t = trimmed(text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import MINUTE_MS
-from ..functions.scalars import trimmed
+from ..functions.scalars import iso_utc, trimmed
 from ..session import Workspace
 from .rowlocal import _is
 from .windows import asof_last, previous_value, running_totals
@@ -87,8 +87,7 @@ def format_attestation(decisions: DataFrame, ttl_seconds: int = 300) -> DataFram
     ev = F.concat_ws("|", F.lit("evidence-v1"), "scan_id", "payment_commitment", none("pin_domain"), none("pin_age_seconds"), none("pin_corroboration"))
     d = decisions
     if "scanned_at" not in d.columns:
-        iso = lambda ms: F.concat(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
-        d = d.withColumn("scanned_at", iso(F.col("ms"))).withColumn("expires_at", iso(F.col("ms") + ttl_seconds * 1000))
+        d = d.withColumn("scanned_at", iso_utc("ms")).withColumn("expires_at", iso_utc(F.col("ms") + ttl_seconds * 1000))
     return d.withColumn("message", msg).withColumn("evidence_message", ev)
 
 

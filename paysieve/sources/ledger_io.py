@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..config import DAY_MS
-from ..functions.scalars import number_text
+from ..functions.scalars import iso_utc, number_text
 from ..schemas import struct_of
 
 _REPORT = "struct<address:string,category:string,reason:string,reporter_agent_id:string,evidence_url:string,reported_at:string>"
@@ -116,8 +116,7 @@ def read_audit_log(spark: SparkSession, path: str, with_position: bool = False)
 
 def audit_records(decisions: DataFrame) -> DataFrame:
     """Log record of a decision without its chain: the payment appears only as a digest."""
-    iso = F.concat(F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z"))
-    d = decisions.select(iso.alias("ts"), "scan_id", "direction", "verdict", "risk_score", "agent_id", "payment_sha256", "network", "pay_to",
+    d = decisions.select(iso_utc("ms").alias("ts"), "scan_id", "direction", "verdict", "risk_score", "agent_id", "payment_sha256", "network", "pay_to",
                          F.col("logged_usd").alias("amount_usd"), "fired", "seq", "ms")
     return d.withColumn("day", F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("ms") / DAY_MS).cast("int")))
 
