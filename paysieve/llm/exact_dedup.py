@@ -135,7 +135,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     named = ws.materialize(prints.join(found, "row", "left_semi"), "named")
     ids = named.select("doc_id").filter("doc_id is not null").distinct()
     base = docs_of(docs)
-    texts = base.join(ids, "doc_id", "left_semi").unionByName(base.filter("doc_id is null"))
+    # the suspects grow with the input, so the plan is the same at every size
+    texts = base.join(ids.hint("merge"), "doc_id", "left_semi").unionByName(base.filter("doc_id is null"))
     # grouping by the text compares its bytes; the count of different texts guards the narrow key used afterwards
     verified = texts.select(normal(F.col("text")).alias("t")).groupBy("t").agg(F.count("*").alias("n_rows")).filter("n_rows > 1")
     groups = verified.select(F.xxhash64("t").alias("fp"), F.sha2("t", 256).alias("text_sha256")).groupBy("fp", "text_sha256").agg(F.count("*").alias("n_texts"))
