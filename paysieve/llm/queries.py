@@ -12,6 +12,8 @@ from .chat_format import NO_CONVERSATION, format_chats, read_chats
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import identify, is_held_out, learn
+from .ngram_join import ngram_join
+from .packing import pack
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 
@@ -121,3 +123,25 @@ def op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = learn(docs.filter(~is_held_out(F.col("doc_id"))))
     return identify(docs, model).select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op1_best_fit_packing")
+def op1(spark, sf_dir):
+    """All documents in sequences of 4096 tokens."""
+    return pack(table(spark, sf_dir, "documents"))
+
+
+_BLANKS = "[\\x20\\x09-\\x0D]+"
+
+
+@query("op7_ngram_join", rf"""
+WITH RECURSIVE d AS (SELECT doc_id, [x for x in regexp_split_to_array({_LOWER}, '{_BLANKS}') if x <> ''] AS w FROM documents),
+s AS (SELECT doc_id, list_distinct([array_to_string(list_slice(w, i, i + least(len(w), 4) - 1), ' ') for i in range(1, greatest(len(w) - 3, 1) + 1)]) AS g FROM d WHERE len(w) > 0),
+u AS (SELECT doc_id, len(g) AS n, unnest(g) AS k FROM s),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS nx, any_value(b.n) AS ny, count(*) AS i FROM u a JOIN u b ON a.k = b.k AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM pairs WHERE 100 * i >= 85 * (nx + ny - i)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
+SELECT d.doc_id, coalesce(any_value(len(g)), 0) AS n_shingles, min(reach.y) AS component_id FROM d LEFT JOIN s USING (doc_id) JOIN reach ON reach.x = d.doc_id GROUP BY d.doc_id""")
+def op7(spark, sf_dir):
+    """The smallest document that each document reaches by shared shingles of four words."""
+    return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
