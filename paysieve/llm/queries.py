@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from . import toxicity
 from .chat_format import NO_CONVERSATION, format_chats, read_chats
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
@@ -145,3 +146,11 @@ SELECT d.doc_id, coalesce(any_value(len(g)), 0) AS n_shingles, min(reach.y) AS c
 def op7(spark, sf_dir):
     """The smallest document that each document reaches by shared shingles of four words."""
     return ngram_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    """Toxicity of every document, learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", is_held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
