@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents and unlabelled text train linear classifiers on hashed words and word beginnings. The risk is corrected
-by the class prior: prior * E_P[loss(+1)] + max(0, E_U[loss(-1)] - prior * E_P[loss(-1)]) with the sigmoid loss; where the second
+by the class prior: prior * E_P[loss(+1)] + max(0, E_U[loss(-1)] - prior * E_P[loss(-1)]) with the logistic loss; where the second
 term turns negative the step goes against it, so the classifiers cannot profit from calling confirmed examples negative.
 
 The classifiers are trained in tasks, one per bag of a bounded sample; scoring reads every whole text once, without a shuffle.
@@ -22,9 +22,11 @@ from .language_id import is_held_out
 #: Documents that training reads at most, about (rows are taken by a hash of the id): confirmed toxic and unlabelled ones, and bags.
 SAMPLE_TOXIC, SAMPLE_UNLABELLED, BAGS = 6000, 18000, 3
 #: Hashed features, those that a classifier may weigh, and the confirmed documents that must hold one.
-WIDTH, CHOSEN, LEAST = 1 << 18, 1024, 5
+WIDTH, CHOSEN, LEAST = 1 << 18, 256, 8
+#: The share of confirmed documents among those with a feature, by the prior, that lets a classifier weigh it.
+POSTERIOR = 0.6
 #: Bytes of a word's beginning.
-STEM = 5
+STEM = 4
 _BLANK = np.arange(256) == 32
 
 
@@ -38,14 +40,14 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return idx.astype(np.int64), np.concatenate([doc, doc])
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 200, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """Chosen features, their weights and the bias of one classifier. Examples are arrays of distinct features."""
     def rates(rows):
         return np.bincount(np.concatenate(rows or [np.zeros(0, np.int64)]), minlength=WIDTH)
 
     in_p, in_u = rates(positive), rates(unlabelled)
     p, u = in_p / max(1, len(positive)), in_u / max(1, len(unlabelled))
-    able = np.flatnonzero((in_p >= LEAST) & (p >= 2 * u))
+    able = np.flatnonzero((in_p >= LEAST) & (prior * p >= POSTERIOR * u))
     chosen = np.sort(able[np.lexsort((able, -(p - u)[able]))[:CHOSEN]])
 
     def matrix(rows):
@@ -61,11 +63,11 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     first, second = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, steps + 1):
         sp, su = (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) for x in (xp, xu))
-        # sigmoid loss: loss(+1) = 1 - s, loss(-1) = s; its slope in z is s (1 - s)
-        dp, du = sp * (1 - sp) / max(1, len(sp)), su * (1 - su) / max(1, len(su))
-        grad = lambda d, x: np.append(d @ x, d.sum())
-        negative = (su.mean() if len(su) else 0.0) - prior * (sp.mean() if len(sp) else 0.0)
-        risk_p, risk_n = -prior * grad(dp, xp), grad(du, xu) - prior * grad(dp, xp)
+        # logistic loss: the slope of loss(+1) is s - 1, that of loss(-1) is s
+        grad = lambda d, x: np.append(d @ x, d.sum()) / max(1, len(d))
+        zp, zu = xp @ w + b, xu @ w + b
+        negative = (np.logaddexp(0, zu).mean() if len(zu) else 0.0) - prior * (np.logaddexp(0, zp).mean() if len(zp) else 0.0)
+        risk_p, risk_n = prior * grad(sp - 1, xp), grad(su, xu) - prior * grad(sp, xp)
         g = risk_p + risk_n if negative >= 0 else -risk_n
         g[:-1] += decay * w
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
@@ -120,7 +122,8 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> Classifiers |
     share = lambda most, of: F.lit(min(1_000_000, -(-1_000_000 * most // max(1, of))))
     toxic = marks.filter((F.col("toxic") == 1) & (place < share(SAMPLE_TOXIC, n["p"]))).select("doc_id")
     bag = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(BAGS)).cast("int").alias("bag")
-    sample = rows.join(F.broadcast(toxic), "doc_id", "left_semi").select(F.lit(1).alias("y"), bag, "text").unionByName(       # the sample's size bounds the broadcast
+    every = F.explode(F.array(*(F.lit(k) for k in range(BAGS)))).alias("bag")                    # each bag has all confirmed examples
+    sample = rows.join(F.broadcast(toxic), "doc_id", "left_semi").select(F.lit(1).alias("y"), every, "text").unionByName(       # the sample's size bounds the broadcast
         rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share(SAMPLE_UNLABELLED, total)).select(F.lit(0).alias("y"), bag, "text"))
 
     def extract(batches):
@@ -136,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, modulus: int = 5) -> Classifiers |
     prior = min(0.9, n["p"] / n["n"])
 
     def fit(g: pd.DataFrame) -> pd.DataFrame:
-        rows_of = lambda y: [np.frombuffer(x, np.int32).astype(np.int64) for x in g.loc[g["y"] == y, "idx"]]
+        rows_of = lambda y: [np.frombuffer(x, np.int32).astype(np.int64) for x in sorted(g.loc[g["y"] == y, "idx"].unique())]  # noqa: E731  copies count once
         chosen, w, b = train(rows_of(1), rows_of(0), prior)
         return pd.DataFrame({"bag": [g["bag"].iloc[0]], "chosen": [chosen.astype(np.int64).tobytes()], "w": [w.tobytes()], "b": [b]})
 
