@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of items in one automaton.
 ITEM_WORDS = 100_000
@@ -162,8 +163,8 @@ def _item_blocks(items: DataFrame, item_words: int):
         yield held
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, texts: bool = False, item_words: int = ITEM_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, spans ([start, end) word ranges), items (ids as strings, sorted) of every document; with ``texts``
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, texts: bool = False, item_words: int = ITEM_WORDS, carry: bool = False) -> DataFrame:
+    """doc_id (with ``carry`` the whole row as struct ``given``), n_words, n_hit, spans ([start, end) word ranges), items (ids as strings, sorted) of every document; with ``texts``
     also ``clean_text``, the text without those spans.
 
     Words: after lower-casing A-Z, runs of digits, a-z and characters beyond ASCII. A word is hit if it lies in ``window``
@@ -190,17 +191,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, texts: bo
                 out = [batch.column(0), text, pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.string())), pa.array(n_words, pa.int64())]
                 if last:
                     out[1] = pa.array(clean if texts else [None] * len(n_words), pa.string())
-                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "text", "spans", "items", "n_words"])
+                yield pa.RecordBatch.from_arrays(out, names=["given", "text", "spans", "items", "n_words"])
         return run
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.array().cast("array<array<long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    kind = dict(docs.dtypes)["doc_id"]
+    first = F.struct(*(F.col(c) for c in docs.columns)).alias("given") if carry else F.col("doc_id").alias("given")
+    rows = docs.select(first, F.coalesce("text", F.lit("")).alias("text"), F.array().cast("array<array<long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    schema = T.StructType([rows.schema["given"], T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType()))),
+                           T.StructField("items", T.ArrayType(T.StringType())), T.StructField("n_words", T.LongType())])
     groups = _item_blocks(items, item_words)
     ahead = next(groups, [])
     while True:
         held, ahead = ahead, next(groups, None)
-        rows = rows.select("doc_id", "text", "spans", "items").mapInArrow(through(Automaton(held, window), ahead is None), f"doc_id {kind}, text string, spans array<array<long>>, items array<string>, n_words long")
+        rows = rows.select("given", "text", "spans", "items").mapInArrow(through(Automaton(held, window), ahead is None), schema)
         if ahead is None:
             break
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
-    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), "spans", "items", *([F.col("text").alias("clean_text")] if texts else []))
+    return rows.select(F.col("given").alias("given" if carry else "doc_id"), "n_words", n_hit.alias("n_hit"), "spans", "items", *([F.col("text").alias("clean_text")] if texts else []))

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix
 
@@ -135,18 +136,19 @@ def learn(rows: DataFrame, per_language: int = GRAMS, share: float = SHARE) -> F
     return Filters(languages, members) if languages else None
 
 
-def identify(docs: DataFrame, model: Filters | None) -> DataFrame:
-    """doc_id, lang_pred, score of every row.
+def identify(docs: DataFrame, model: Filters | None, carry: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score of every row; with ``carry`` the whole row as struct ``given`` instead of doc_id.
 
     ``und`` with score 0 for a null text, one without a letter, or without a model. The score is the share of the text's trigrams
     that the winner's filter holds, corrected for false positives; of equal languages the first by name wins.
     """
     names = np.array(model.languages if model else ["und"], object)
-    kind = dict(docs.dtypes)["doc_id"]
+    given = docs.select(F.struct(*(F.col(c) for c in (docs.columns if carry else ["doc_id", "text"]))).alias("given"))
 
     def run(batches):
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            rows = batch.column(0)
+            texts = [t or "" for t in rows.field("text").to_pylist()]
             langs, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
             for a, b in _pieces(texts) if model else ():
                 g, n = grams(texts[a:b])
@@ -154,9 +156,10 @@ def identify(docs: DataFrame, model: Filters | None) -> DataFrame:
                 best = hits.argmax(axis=1)
                 langs[a:b] = np.where(n > 0, names[best], "und")
                 scores[a:b] = np.clip(hits[np.arange(b - a), best] / np.maximum(n, 1), 0, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([rows if carry else rows.field("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], names=["given" if carry else "doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    first = T.StructField("given", given.schema[0].dataType) if carry else T.StructField("doc_id", docs.schema["doc_id"].dataType)
+    return given.mapInArrow(run, T.StructType([first, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def is_held_out(doc_id, modulus: int = 3, rest: int = 1):
