@@ -17,6 +17,8 @@ from .common import join_groups, workspace
 
 #: Rows that one task ranks.
 BUCKET_ROWS = 100_000
+#: Rounds in which members may ask for a full shard, since others may leave it.
+FREE_ROUNDS = 2
 
 
 def with_rank(rows: DataFrame, keys: list[str], total: int, name: str = "rank") -> DataFrame:
@@ -74,12 +76,12 @@ def _case(pairs: list[tuple[Column, Column]], other: Column) -> Column:
     return out
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, slack: float = 0.05, group: Column | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 6, group: Column | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, group_rows of every row.
 
     Law ``rows``: the counts of any two shards differ by one at most. ``group`` links the rows that share its value (equal texts
     unless given; null links nothing). A null text has no bytes (size 1, CRC 0) and equals the empty text. Repeated rows and null
-    ids are rows like others. ``grown_shard`` is null under this law. ``slack`` is how far a shard may exceed its share between rounds.
+    ids are rows like others. ``grown_shard`` is null under this law.
     """
     ws = workspace(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -93,31 +95,37 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 3, slack: fl
     place = ws.materialize(linked.filter("group_rows is not null").withColumn("shard", at), "start")
     moving = place.count()
     rest = linked.filter("group_rows is null").withColumn("shard", at)
-    still = {r[0]: r[1] for r in rest.groupBy("shard").count().collect()}          # one row per shard
-    share = -(-total // shards)
-    capacity = [int(share * (1 + slack))] * shards
+    # documents without links take the seats that are left in the end, so a shard has room for its whole share of linked ones
+    capacity = [total // shards + (s < total % shards) for s in range(shards)]
+    per = lambda df, *by: {tuple(r)[:-1]: r[-1] for r in df.groupBy(*by).count().collect()}  # noqa: E731  at most shards x shards rows
+    held = per(place, "shard") if moving else {}
     for k in range(rounds if moving else 0):
+        # cut flows leave a few seats, so a shard counts as full a little earlier
+        full = [s for s in range(shards) if held.get((s,), 0) >= capacity[s] - shards - capacity[s] // 50]
+        open_ = F.lit(True) if k < FREE_ROUNDS else ~F.col("shard").isin(full)         # later rounds gather the rest of large groups elsewhere
         counted = place.groupBy("grp", "shard").agg(F.count("*").alias("n"))
         # most neighbours first; of equals, a shard that differs from group to group
-        best = F.max(F.struct(F.col("n"), F.xxhash64("grp", "shard").alias("t"), F.col("shard").alias("to")))
-        wish = counted.groupBy("grp").agg(best.alias("w"), F.sum("n").alias("members")).select("grp", "members", F.col("w.to").alias("to"))
+        best = F.max(F.when(open_, F.struct(F.col("n"), F.xxhash64("grp", "shard").alias("t"), F.col("shard").alias("to"))))
+        wish = counted.groupBy("grp").agg(best.alias("w"), F.sum("n").alias("members")).select("grp", "members", F.col("w.to").alias("wish"))
         asked = join_groups(place, ws.materialize(wish, f"wish-{k}"), ["grp"], "members", total).drop("members")
-        stored = ws.materialize(asked, f"asked-{k}")
-        pairs = {(r[0], r[1]): r[2] for r in stored.groupBy("shard", "to").count().collect()}     # shards x shards rows
-        counts = [still.get(s, 0) + sum(n for (a, _), n in pairs.items() if a == s) for s in range(shards)]
+        stays = F.col("wish").isNull() | (F.col("shard").isin(full) if k >= FREE_ROUNDS else F.lit(False))
+        stored = ws.materialize(asked.withColumn("to", F.when(stays, F.col("shard")).otherwise(F.col("wish"))).drop("wish"), f"asked-{k}")
+        pairs = per(stored, "shard", "to")
         wanted = {p: n for p, n in pairs.items() if p[0] != p[1]}
+        if not wanted and k < FREE_ROUNDS:
+            continue
         if not wanted:
             break
-        allowed = flows(wanted, counts, capacity)
+        allowed = flows(wanted, [sum(n for (a, _), n in pairs.items() if a == s) for s in range(shards)], capacity)
         quota = _case([((F.col("shard") == a) & (F.col("to") == b), F.lit(n)) for (a, b), n in sorted(allowed.items())], F.lit(0))
         ranked = with_rank(stored, ["shard", "to"], moving)
         place = ws.materialize(ranked.select("row", "grp", "group_rows", F.when(F.col("rank") < quota, F.col("to")).otherwise(F.col("shard")).alias("shard")), f"round-{k}")
+        held = per(place, "shard")
     every = place.unionByName(rest.select(place.columns)).withColumn("class", F.col("group_rows").isNotNull().cast("int"))
     ranked = ws.materialize(with_rank(every, ["shard", "class"], total), "ranked")
     counts = {(r[0], r[1]): r[2] for r in ranked.groupBy("shard", "class").count().collect()}
-    target = [total // shards + (s < total % shards) for s in range(shards)]
     tests = []
-    for (s, c), moves in sorted(evening(counts, target).items()):
+    for (s, c), moves in sorted(evening(counts, capacity).items()):
         upto = 0
         for to, n in moves:
             upto += n
