@@ -58,7 +58,7 @@ FROM orders""",
     "beats": "SELECT user_id, <MS> AS at_ms FROM events",
     "incidents": """
 SELECT pay_to AS address, CASE seq % 2 WHEN 0 THEN 'injection.payto_from_content' ELSE 'injection.b64_obfuscated' END AS check_id,
-  coalesce(agent_key, 'anon') AS observer, scan_id, ms FROM payments WHERE event_type = 'click' AND seq % 5 = 0""",
+  coalesce(agent_key, 'anon') AS observer, scan_id, ms FROM payments WHERE event_type = 'click'""",
     # full payment requests: documents supply whole texts, some carry a planted instruction in one of several encodings
     "scans": """
 SELECT p.seq, p.scan_id, p.ms, p.direction, CASE WHEN p.seq % 3 = 0 THEN concat('acct-', CAST(p.seq % 40 AS <STR>)) END AS account_hash,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import DAY_MS, GENESIS_HASH
+from ..config import DAY_MS, GENESIS_HASH, ScreenConfig
 from ..functions import scalars as S
 from ..operators import analytics as AN, approvals as AP, audit as AU, ledgers as L, policy as PO, windows as W
 from ..operators.checks import aggregate_verdicts, check, collect, explode_checks, when
@@ -16,13 +16,13 @@ from .history_queries import pay
 from .registry import query
 
 _DECAY = f"pow(2.0, -greatest(0.0, ({AS_OF} - {{t}}) / 86400000.0) / 90.0)"
-_CP = "cp AS (SELECT agent_key, count(DISTINCT pay_to) AS n FROM payments WHERE direction = 'outgoing' AND agent_key IS NOT NULL AND seq % 50 < 12 GROUP BY agent_key)"
+_CP = "cp AS (SELECT agent_key, count(DISTINCT pay_to) AS n FROM payments WHERE direction = 'outgoing' AND agent_key IS NOT NULL GROUP BY agent_key)"
 _CRED = "(0.5 + 0.5 * least(1.0, coalesce(n, 0) / 10.0))"
 
 
 def counterparties(spark, sf):
     from ..operators.trust import derive_counterparties
-    return derive_counterparties(pay(spark, sf).filter("seq % 50 < 12"))
+    return derive_counterparties(pay(spark, sf))
 
 
 @query("prj_11_decay", f"SELECT seq, round({_DECAY.format(t='ms')}, 9) AS weight FROM payments", "payments")
@@ -76,12 +76,16 @@ def det_24(spark, sf):
     return d.select("seq", F.col("a_rep_n").cast("bigint").alias("report_count"), L.decayed("a_rep_w").alias("score"))
 
 
+def _disputes(spark, sf):
+    d = view(spark, sf, "payments").filter("event_type = 'error'")
+    return L.ingest_disputes(d.select(F.col("pay_to").alias("address"), F.concat(F.lit("statement number "), F.col("seq").cast("string")).alias("statement"),
+                                      F.col("ms").alias("disputed_ms"), F.lit(True).alias("verified")))
+
+
 @query("agg_5b_recent_disputes", """SELECT address, CAST(least(5, count(*)) AS integer) AS dispute_count, arg_max(statement, (ms, statement)) AS newest FROM
 (SELECT pay_to AS address, concat('statement number ', CAST(seq AS varchar)) AS statement, ms FROM payments WHERE event_type = 'error') GROUP BY address""", "payments")
 def agg_5b(spark, sf):
-    d = view(spark, sf, "payments").filter("event_type = 'error'").select(F.col("pay_to").alias("address"), F.concat(F.lit("statement number "), F.col("seq").cast("string"))
-                                                                          .alias("statement"), F.col("ms").alias("disputed_ms"), F.lit(True).alias("verified"))
-    r = L.recent_disputes(L.ingest_disputes(d))
+    r = L.recent_disputes(_disputes(spark, sf))
     return r.select("address", "dispute_count", F.get("statements", F.lit(0)).alias("newest"))
 
 
@@ -94,10 +98,10 @@ def scr_9(spark, sf):
     return L.ingest_disputes(d).select("address", "statement")
 
 
-@query("join_14_disputes", "WITH d AS (SELECT pay_to AS address, least(5, count(*)) AS n FROM payments WHERE event_type = 'click' AND seq % 7 = 0 GROUP BY pay_to) "
+@query("join_14_disputes", "WITH d AS (SELECT pay_to AS address, least(5, count(*)) AS n FROM payments WHERE event_type = 'click' GROUP BY pay_to) "
                            "SELECT DISTINCT r.address, CAST(coalesce(n, 0) AS integer) AS dispute_count FROM reports r LEFT JOIN d USING (address)", "payments", "reports")
 def join_14(spark, sf):
-    p = view(spark, sf, "payments").filter("event_type = 'click' and seq % 7 = 0")
+    p = view(spark, sf, "payments").filter("event_type = 'click'")
     d = p.select(F.col("pay_to").alias("address"), F.concat(F.lit("statement number "), F.col("seq").cast("string")).alias("statement"), F.col("ms").alias("disputed_ms"))
     r = view(spark, sf, "reports").select("address").distinct().join(L.recent_disputes(d), "address", "left")
     return r.select("address", F.coalesce("dispute_count", F.lit(0)).alias("dispute_count"))
@@ -123,13 +127,20 @@ def scr_8(spark, sf):
 # ---------------------------------------------------------------- incidents
 
 @query("agg_6_incident_summary", f"""WITH f AS (SELECT address, observer, min(ms) AS ms FROM incidents GROUP BY ALL),
-k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY address ORDER BY ms DESC, observer DESC) <= 100)
+k AS (SELECT * FROM f )
 SELECT address, CAST(count(*) AS bigint) AS incident_count, count(*) AS distinct_observers, round(sum(0.5 * {_DECAY.format(t='ms')}), 2) AS weighted_score, min(ms) AS first_ms, max(ms) AS last_ms
 FROM k GROUP BY address""", "incidents")
 def agg_6(spark, sf):
     return L.summarize_incidents(view(spark, sf, "incidents"), None, AS_OF).drop("check_counts")
 
 
+@query("agg_6_incident_checks", """WITH f AS (SELECT address, observer, arg_min(check_id, ms) AS check_id FROM incidents GROUP BY ALL)
+SELECT address, check_id, count(*) AS n FROM f GROUP BY ALL""", "incidents")
+def agg_6_checks(spark, sf):
+    """The map of counts per check, as rows."""
+    return L.summarize_incidents(view(spark, sf, "incidents"), None, AS_OF).select("address", F.explode("check_counts").alias("check_id", "n"))
+
+
 @query("det_25_injection_history", """WITH f AS (SELECT address, observer, min(ms) AS t FROM incidents GROUP BY ALL),
 s AS (SELECT p.seq, round(sum(0.5 * pow(2.0, -(p.ms - f.t) / 86400000.0 / 90.0)), 2) AS score FROM payments p JOIN f ON f.address = p.pay_to AND f.t < p.ms GROUP BY p.seq)
 SELECT seq, CASE WHEN score >= 1 THEN 'high' WHEN score >= 0.5 THEN 'medium' ELSE 'low' END AS severity FROM s WHERE score > 0.1""", "payments", "incidents")
@@ -144,7 +155,7 @@ def det_25(spark, sf):
 _COUNTS = ("CAST(count(*) FILTER (outcome = 'delivered') AS bigint) AS delivered, CAST(count(*) FILTER (outcome = 'not_delivered') AS bigint) AS not_delivered, "
            "CAST(count(*) FILTER (outcome = 'partial') AS bigint) AS partial, CAST(count(*) FILTER (outcome = 'wrong_content') AS bigint) AS wrong_content, "
            "CAST(count(*) FILTER (settlement_receipt = 'absent') AS bigint) AS receiptless, min(reported_ms) AS first_ms, max(reported_ms) AS last_ms, "
-           "CAST(least(50, count(DISTINCT account_hash)) AS bigint) AS distinct_reporters")
+           "CAST(count(DISTINCT account_hash) AS bigint) AS distinct_reporters")
 
 
 def accepted(spark, sf):
@@ -156,9 +167,11 @@ def agg_7(spark, sf):
     return L.outcomes_by_payee(accepted(spark, sf))
 
 
-@query("agg_8_outcomes_by_domain", f"SELECT domain, {_COUNTS}, CAST(least(20, count(DISTINCT pay_to)) AS integer) AS payees FROM outcome_reports GROUP BY domain", "outcome_reports")
+@query("agg_8_outcomes_by_domain", f"""WITH u AS (SELECT domain, pay_to, min(CAST(reported_ms AS hugeint) * 100000000 + seq) AS o FROM outcome_reports GROUP BY domain, pay_to),
+l AS (SELECT domain, string_agg(pay_to, ',' ORDER BY o) AS payees FROM u GROUP BY domain)
+SELECT o.*, l.payees FROM (SELECT domain, {_COUNTS} FROM outcome_reports GROUP BY domain) o JOIN l USING (domain)""", "outcome_reports")
 def agg_8(spark, sf):
-    return L.outcomes_by_domain(accepted(spark, sf)).withColumn("payees", F.size("pay_tos")).drop("pay_tos")
+    return L.outcomes_by_domain(accepted(spark, sf)).withColumn("payees", F.concat_ws(",", "pay_tos")).drop("pay_tos")
 
 
 _RATES = ("delivered + not_delivered + partial + wrong_content AS total, round(delivered / (delivered + not_delivered + partial + wrong_content), 4) AS raw_rate, "
@@ -256,17 +269,18 @@ def join_9(spark, sf):
 
 
 @query("scr_10_address_profile", f"""WITH {_SUMMARY}, i AS (SELECT address, count(DISTINCT observer) AS n FROM incidents GROUP BY address),
-o AS (SELECT pay_to AS address, count(*) AS n FROM outcome_reports GROUP BY pay_to), a AS (SELECT DISTINCT pay_to AS address FROM payments)
+o AS (SELECT pay_to AS address, count(*) AS n FROM outcome_reports GROUP BY pay_to), a AS (SELECT DISTINCT pay_to AS address FROM payments),
+q AS (SELECT pay_to AS address, CAST(least(5, count(*)) AS integer) AS n FROM payments WHERE event_type = 'error' GROUP BY pay_to)
 SELECT a.address, CASE WHEN report_count > 0 THEN 'reported' ELSE 'clean' END AS status, coalesce({_GRADE.replace("ELSE 'none'", "ELSE NULL")}, 'none') AS risk, report_count AS reports,
-  CAST(i.n AS bigint) AS incidents, CAST(coalesce(o.n, 0) AS bigint) AS outcomes FROM a LEFT JOIN s USING (address) LEFT JOIN i USING (address) LEFT JOIN o USING (address)""", "payments", "reports", "incidents", "outcome_reports")
+  CAST(i.n AS bigint) AS incidents, CAST(coalesce(o.n, 0) AS bigint) AS outcomes, q.n AS disputes
+FROM a LEFT JOIN s USING (address) LEFT JOIN i USING (address) LEFT JOIN o USING (address) LEFT JOIN q USING (address)""", "payments", "reports", "incidents", "outcome_reports")
 def scr_10(spark, sf):
     p = pay(spark, sf)
-    none = view(spark, sf, "reports").limit(0).select("address", F.lit("x").alias("statement"), F.lit(0).cast("bigint").alias("disputed_ms"))
     counts = L.scan_counts(p.withColumn("verdict", F.lit("allow")))
     d = L.address_profile(p.select(F.col("pay_to_lc").alias("address")), L.summarize_reports(view(spark, sf, "reports"), counterparties(spark, sf), AS_OF),
-                          L.recent_disputes(none), L.summarize_incidents(view(spark, sf, "incidents"), None, AS_OF), L.delivery_summary(L.outcomes_by_payee(accepted(spark, sf)), counts))
+                          L.recent_disputes(_disputes(spark, sf)), L.summarize_incidents(view(spark, sf, "incidents"), None, AS_OF), L.delivery_summary(L.outcomes_by_payee(accepted(spark, sf)), counts))
     return d.select("address", "status", "risk", F.col("reports_report_count").alias("reports"), F.col("incidents_incident_count").alias("incidents"),
-                    F.col("delivery_outcomes_total").alias("outcomes"))
+                    F.col("delivery_outcomes_total").alias("outcomes"), F.col("disputes_dispute_count").alias("disputes"))
 
 
 # ---------------------------------------------------------------- bad list, trust queries
@@ -521,10 +535,12 @@ def join_13(spark, sf):
     return AP.join_approval_outcomes(approvals(spark, sf), view(spark, sf, "outcome_reports")).select("approval_id", "delivery_outcome")
 
 
-@query("scr_4_open_approvals", f"WITH {_DEC} SELECT scan_id, ms AS created_ms, ms + 600000 AS expires_ms FROM d WHERE verdict = 'flag' AND account_hash IN (SELECT account_hash FROM accounts WHERE plan IS NOT NULL) "
-                               "ORDER BY ms, seq LIMIT 10000", "payments", "accounts")
+@query("scr_4_open_approvals", f"WITH {_DEC} SELECT scan_id, ms AS created_ms, ms + 600000 AS expires_ms, CASE WHEN row_number() OVER (ORDER BY ms, seq) <= 40 THEN 'pending' ELSE 'refused' END AS status FROM d WHERE verdict = 'flag' AND account_hash IN (SELECT account_hash FROM accounts WHERE plan IS NOT NULL)", "payments", "accounts")
 def scr_4(spark, sf):
-    return AP.open_approvals(decisions(spark, sf), view(spark, sf, "accounts").filter("plan is not null")).select("scan_id", "created_ms", "expires_ms")
+    cfg = ScreenConfig(approvals_max=40)                    # a table that fills up
+    flags, asked = decisions(spark, sf), view(spark, sf, "accounts").filter("plan is not null")
+    both = AP.open_approvals(flags, asked, cfg).unionByName(AP.refused_approvals(flags, asked, cfg))
+    return both.select("scan_id", "created_ms", "expires_ms", "status")
 
 
 @query("scr_5_decide_approvals", """SELECT seq, CASE WHEN (seq % 90) * 10000 + 1000 < 600000 AND seq % 3 < 2 THEN CASE WHEN seq % 2 = 0 THEN 'approved' ELSE 'denied' END ELSE 'expired' END AS status,

@@ -61,7 +61,7 @@ class ScreenConfig:
     delivery_prior_strength: float = 10.0
     free_calls: int = 100
     approvals_ttl_minutes: int = 10
-    approvals_max: int = 10_000
+    approvals_max: int | None = None        # no limit; the screened protocol's table holds 10,000
     # physical: width of the time buckets a hot key is split into, and the bound on fixpoint rounds
     bucket_ms: int = HOUR_MS
     max_rounds: int = 200

@@ -14,19 +14,12 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def empty_to_null(c) -> Column:
-    return F.nullif(col(c), F.lit(""))
 
 
 def trimmed(c) -> Column:
     return F.regexp_replace(col(c), rf"^{WS}+|{WS}+\z", "")
 
 
-def epoch_ms(ts) -> Column:
-    """Milliseconds of a zone-less UTC timestamp, independent of the session time zone (floor, not round)."""
-    since = F.expr("timestamp_ntz'1970-01-01 00:00:00'")
-    seconds = (col(ts).cast("timestamp_ntz") - since).cast("interval second").cast("decimal(24,6)")
-    return F.floor(seconds * 1000).cast("bigint")
 
 
 def iso_utc(ms) -> Column:

@@ -31,6 +31,7 @@ def fold_skeleton(text: str) -> str:
 
 
 def _code_point(digits: str, base: int) -> str:
+    digits = digits.lstrip("0") or "0"                              # padding does not change the character
     n = int(digits, base) if len(digits) < 12 else 0x110000
     return chr(n) if n <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else ""
 
@@ -101,15 +102,20 @@ def from_hex(blob) -> Column:
     return printable(F.unhex(F.regexp_replace(col(blob), "^0x", "")).cast("string"))
 
 
-def base64_blobs(text, n: int = P.MAX_BLOBS) -> Column:
-    """The first ``n`` base64-looking blobs; wrapped lines are joined before looking."""
+def _first(found: Column, n: int | None) -> Column:
+    return found if n is None else F.slice(found, 1, n)
+
+
+def base64_blobs(text, n: int | None = None) -> Column:
+    """All base64-looking blobs, or the first ``n``; wrapped lines are joined before looking."""
     joined = F.regexp_replace(col(text), P.BASE64_WRAP, "$1")
-    return F.slice(F.regexp_extract_all(joined, F.lit(P.BASE64_BLOB), F.lit(0)), 1, n)
+    return _first(F.regexp_extract_all(joined, F.lit(P.BASE64_BLOB), F.lit(0)), n)
 
 
-def hex_blobs(text, n: int = P.MAX_BLOBS) -> Column:
-    return F.slice(F.regexp_extract_all(col(text), F.lit(P.HEX_BLOB), F.lit(0)), 1, n)
+def hex_blobs(text, n: int | None = None) -> Column:
+    return _first(F.regexp_extract_all(col(text), F.lit(P.HEX_BLOB), F.lit(0)), n)
 
 
-def first_blobs(text, n: int = P.MAX_BLOBS) -> Column:
+def first_blobs(text, n: int | None = P.MAX_BLOBS) -> Column:
+    """The first blobs of a text, as many as the screened protocol reads unless told otherwise."""
     return base64_blobs(text, n)

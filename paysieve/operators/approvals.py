@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..config import MINUTE_MS, OUTCOMES, ScreenConfig
-from .windows import recent_ring
+from .windows import first_rows, recent_ring
 
 
 def open_approvals(decisions: DataFrame, configs: DataFrame, cfg: ScreenConfig = ScreenConfig(), in_flight: int = 0) -> DataFrame:
-    """Pending approvals of flagged, keyed scans whose account asked for them; refused once the table is full."""
+    """Pending approvals of flagged, keyed scans whose account asked for them. See ``refused_approvals`` for a table with a limit."""
+    return _opened(decisions, configs, cfg, in_flight)[0]
+
+
+def refused_approvals(decisions: DataFrame, configs: DataFrame, cfg: ScreenConfig = ScreenConfig(), in_flight: int = 0) -> DataFrame:
+    """The approvals that found the table full: same columns, status ``refused``."""
+    return _opened(decisions, configs, cfg, in_flight)[1].withColumn("status", F.lit("refused"))
+
+
+def _opened(decisions, configs, cfg, in_flight):
     d = decisions.filter((F.col("verdict") == "flag") & F.col("account_hash").isNotNull())
     d = d.join(configs.select("account_hash").distinct(), "account_hash", "left_semi")
-    # first come, first served over all accounts: a distributed sort limit, never a global rank
-    d = d.orderBy("ms", "seq").limit(max(0, cfg.approvals_max - in_flight))
-    return d.select(F.concat(F.lit("ap-"), "scan_id").alias("approval_id"), "account_hash", "scan_id", F.col("verdict").alias("original_verdict"),
+    # first come, first served over all accounts
+    served, late = (d, d.limit(0)) if cfg.approvals_max is None else first_rows(d, max(0, cfg.approvals_max - in_flight), MINUTE_MS, "ms", "seq")
+    return tuple(x.select(F.concat(F.lit("ap-"), "scan_id").alias("approval_id"), "account_hash", "scan_id", F.col("verdict").alias("original_verdict"),
                     F.lit("pending").alias("status"), F.col("ms").alias("created_ms"),
-                    (F.col("ms") + cfg.approvals_ttl_minutes * MINUTE_MS).alias("expires_ms"))
+                    (F.col("ms") + cfg.approvals_ttl_minutes * MINUTE_MS).alias("expires_ms")) for x in (served, late))
 
 
 def decide_approvals(approvals: DataFrame, decisions_in: DataFrame, as_of: int) -> DataFrame:
@@ -62,7 +71,3 @@ def prune_approvals(approvals: DataFrame, as_of: int) -> DataFrame:
     """Expire overdue pending approvals and drop the settled ones a day after creation."""
     d = approvals.withColumn("status", F.when((F.col("status") == "pending") & (F.col("expires_ms") <= as_of), "expired").otherwise(F.col("status")))
     return d.filter((F.col("status") == "pending") | (F.lit(as_of) - F.col("created_ms") <= 24 * 60 * MINUTE_MS))
-
-
-def nth_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
-    return df.withColumn("nth", F.row_number().over(W.partitionBy(key).orderBy(*order)))

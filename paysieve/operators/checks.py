@@ -12,14 +12,6 @@ SECTIONS = {name: i * 1000 for i, name in enumerate((
     "pii", "replay", "overpay", "injection", "drift", "freshness", "deep", "tier", "url", "asset", "badlist",
     "poison", "poison_content", "pin", "directory", "rating", "velocity", "reputation", "history", "delivery", "custom"))}
 
-NAMES = {
-    "pii": "PII / secret detection", "replay": "Replay detection", "overpay": "Overpayment detection",
-    "injection": "Prompt-injection-triggered payment", "drift": "Offer drift", "freshness": "Freshness contract",
-    "tier": "Scan tiering", "url": "Resource URL risk", "asset": "Asset verification", "badlist": "Known-bad address list",
-    "poison": "Address poisoning", "pin": "Merchant pinning", "scout": "External trust signal",
-    "velocity": "Velocity & policy limits", "reputation": "Counterparty reputation", "delivery": "Delivery outcomes",
-}
-
 
 def check(section: str, offset, id_, verdict, severity, details: dict | None = None, implicated=None) -> Column:
     """A finding struct. Text arguments are literals, columns pass through."""
@@ -92,13 +84,3 @@ def fold_verdict(findings: Column) -> dict[str, Column]:
     return {"verdict": verdict_name(rank), "risk_score": risk_of(score, F.size(bad)),
             "fired": F.transform(F.array_sort(F.transform(bad, lambda c: F.struct(c["ord"].alias("ord"), c["id"].alias("id")))),
                                  lambda f: f["id"])}
-
-
-def with_reason(checks: DataFrame) -> DataFrame:
-    """Adds the display name and a short reason to the long table."""
-    family = F.substring_index("check_id", ".", 1)
-    names = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
-    note = F.when(F.size("details") > 0, F.concat(F.lit(": "), F.array_join(F.transform(
-        F.array_sort(F.map_entries("details")), lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"], F.lit("none")))), ", ")))
-    return checks.withColumn("name", F.coalesce(names[family], family)).withColumn(
-        "reason", F.concat(F.replace(F.substring_index("check_id", ".", -1), F.lit("_"), F.lit(" ")), F.coalesce(note, F.lit(""))))

@@ -10,11 +10,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..config import DAY_MS, HALF_LIFE_DAYS, OUTCOMES, REPORT_CATEGORIES, ScreenConfig
+from ..config import DAY_MS, HALF_LIFE_DAYS, HOUR_MS, OUTCOMES, REPORT_CATEGORIES, ScreenConfig
 from ..functions import patterns as P
 from ..functions.scalars import col, credibility, decay, risk_grade, smoothed_rate, trimmed
 from .checks import check, collect, first_of, when
-from .windows import newest_n, running_totals, spread_null
+from .windows import first_rows, newest_n, running_totals, spread_null
 
 _LATE = 2**63 - 1                     # a record without a row number counts only for later milliseconds
 _EPOCH = 1_700_000_000_000            # reference point of decayed sums; any fixed time gives the same weights
@@ -84,10 +84,10 @@ def summarize_reports(reports: DataFrame, counterparties: DataFrame | None = Non
     return s.join(_count_map(r, "address", "category", "categories"), "address")
 
 
-def summarize_incidents(incidents: DataFrame, counterparties: DataFrame | None = None, as_of: int = 0, keep: int = 100) -> DataFrame:
-    """Incident summary per address: one voice per observer, the newest ``keep``, counts per check, weighted score."""
+def summarize_incidents(incidents: DataFrame, counterparties: DataFrame | None = None, as_of: int = 0, keep: int | None = None) -> DataFrame:
+    """Incident summary per address: one voice per observer, counts per check, weighted score; with ``keep`` of the newest ones only."""
     i = first_incidents(incidents)
-    i = newest_n(i, ["address"], keep, "ms", "observer")
+    i = i if keep is None else newest_n(i, ["address"], keep, "ms", "observer")
     per = _voices(i, "address", "observer", "ms", counterparties, as_of)
     s = per.groupBy("address").agg(F.sum("_n").alias("incident_count"), F.count("*").alias("distinct_observers"),
                                    F.round(F.sum("_w"), 2).alias("weighted_score"), F.min("_first").alias("first_ms"), F.max("_newest").alias("last_ms"))
@@ -155,20 +155,24 @@ def _per_voice(accepted: DataFrame, keys: list[str]) -> DataFrame:
         F.min("reported_ms").alias("_first"), F.max("reported_ms").alias("_last"))
 
 
-def outcomes_by_payee(accepted: DataFrame, max_reporters: int = 50) -> DataFrame:
+def _at_most(n: Column, most: int | None) -> Column:
+    return n if most is None else F.least(n, F.lit(most))
+
+
+def outcomes_by_payee(accepted: DataFrame, max_reporters: int | None = None) -> DataFrame:
     """Delivery ledger per payee. Two-level grouping: per (payee, reporter) first."""
     d = _per_voice(accepted.filter(F.length("pay_to") > 0), ["pay_to"])
-    return d.groupBy("pay_to").agg(*_counters(), F.least(F.count("*"), F.lit(max_reporters)).alias("distinct_reporters"))
+    return d.groupBy("pay_to").agg(*_counters(), _at_most(F.count("*"), max_reporters).alias("distinct_reporters"))
 
 
-def outcomes_by_domain(accepted: DataFrame, max_reporters: int = 50, max_payees: int = 20) -> DataFrame:
-    """Delivery ledger per domain with the payees it used, oldest first (at most ``max_payees`` are listed)."""
+def outcomes_by_domain(accepted: DataFrame, max_reporters: int | None = None, max_payees: int | None = None) -> DataFrame:
+    """Delivery ledger per domain with the payees it used, oldest first (with ``max_payees`` only so many are listed)."""
     d = accepted.filter(F.col("domain").isNotNull() & (F.length("pay_to") > 0))
-    led = _per_voice(d, ["domain"]).groupBy("domain").agg(*_counters(), F.least(F.count("*"), F.lit(max_reporters)).alias("distinct_reporters"))
+    led = _per_voice(d, ["domain"]).groupBy("domain").agg(*_counters(), _at_most(F.count("*"), max_reporters).alias("distinct_reporters"))
     used = d.groupBy("domain", "pay_to").agg(F.min(F.struct("reported_ms", "seq")).alias("_o"))
-    w = W.partitionBy("domain").orderBy("_o")
-    used = used.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_payees)
-    used = used.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("_r", "pay_to"))).alias("p")).select(
+    if max_payees is not None:
+        used = used.withColumn("_r", F.row_number().over(W.partitionBy("domain").orderBy("_o"))).filter(F.col("_r") <= max_payees)
+    used = used.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("_o", "pay_to"))).alias("p")).select(
         "domain", F.transform("p", lambda p: p["pay_to"]).alias("pay_tos"))
     return led.join(used, "domain")
 
@@ -359,8 +363,8 @@ def apply_retention(table: DataFrame, *, keys: list[str] | None = None, order: t
                     ttl_ms: int | None = None, as_of: int | None = None, keep: Column | None = None) -> DataFrame:
     """Retention job: drop rows older than the TTL, then the oldest beyond ``max_rows`` (per key when keys are given).
 
-    ``keep`` marks rows that are never dropped (approvals still in flight). Without keys the cut-off is found by a
-    distributed sort limit, not by a global rank.
+    ``keep`` marks rows that are never dropped (approvals still in flight). Without keys the cut-off is found from counts
+    per hour of the first order column (epoch milliseconds), and only the hour it falls in is ranked.
     """
     safe = F.lit(False) if keep is None else keep
     d = table
@@ -369,6 +373,6 @@ def apply_retention(table: DataFrame, *, keys: list[str] | None = None, order: t
     if max_rows is not None:
         held = d.filter(safe) if keep is not None else None
         rest = d.filter(~safe) if keep is not None else d
-        rest = newest_n(rest, keys, max_rows, *order) if keys else rest.orderBy(*[F.desc(c) for c in order]).limit(max_rows)
+        rest = newest_n(rest, keys, max_rows, *order) if keys else first_rows(rest, max_rows, HOUR_MS, *order, newest=True)[0]
         d = rest if held is None else held.unionByName(rest)
     return d

@@ -24,7 +24,7 @@ def pii_hits(value) -> Column:
     """``array<struct<pattern, verdict, severity, match, exempt>>`` of one text."""
     value = col(value)
     found = []
-    for pid, _, severity, verdict, rx in P.PII:
+    for pid, severity, verdict, rx in P.PII:
         exempt = F.lit(False)
         need = reduce(lambda a, b: a | b, [F.contains(value, F.lit(w)) for w in P.PII_NEEDS[pid]]) if pid in P.PII_NEEDS else None
         if pid == "generic_secret_param":
@@ -296,10 +296,13 @@ def offer_terms(leg: Column) -> Column:
                     low("asset", "token", "currency").alias("asset"), F.coalesce(atomic, price).alias("usd")).cast(_LEG)
 
 
-def with_offer_terms(df: DataFrame, offer: str = "offer", name: str = "legs") -> DataFrame:
-    """All legs of the offer JSON as ``array<struct<pay_to, scheme, network, asset, usd>>``; null when it is not JSON."""
+def with_offer_terms(df: DataFrame, offer: str = "offer", name: str = "legs", max_chars: int | None = None) -> DataFrame:
+    """All legs of the offer JSON as ``array<struct<pay_to, scheme, network, asset, usd>>``; null when it is not JSON.
+
+    With ``max_chars`` longer offers are not read.
+    """
     text = F.col(offer)
-    v = F.when((F.length(text) > 0) & (F.length(text) <= P.MAX_OFFER_CHARS), F.try_parse_json(text))
+    v = F.when((F.length(text) > 0) & (F.lit(True) if max_chars is None else F.length(text) <= max_chars), F.try_parse_json(text))
     d = df.withColumn("_offer", v)
     arr = lambda x: F.filter(F.try_variant_get(x, "$", "array<variant>"), lambda e: _is(e, "object", "array"))
     members = [F.when(_is(_path(F.col("_offer"), k), "array"), arr(_path(F.col("_offer"), k))) for k in ("accepts", "offers", "items")]
@@ -342,11 +345,12 @@ def offer_drift(leg="leg", usd="usd") -> Column:
     return F.when(leg.isNull(), none_of()).otherwise(or_clean(findings, check("drift", 0, "drift.clean", "allow", "info")))
 
 
-def freshness() -> Column:
-    """Advice when the offer sells recency, with the validity field it publishes, if any."""
+def freshness(max_chars: int | None = None) -> Column:
+    """Advice when the offer sells recency, with the validity field it publishes, if any. With ``max_chars`` longer texts are not read."""
     text = F.concat(F.coalesce("offer", F.lit("")), F.lit(" "), F.coalesce("description", F.lit("")), F.lit(" "),
                     F.coalesce("resource_url", F.lit("")))
-    claim = F.when(F.length(text) <= P.MAX_OFFER_CHARS, F.regexp_substr(text, F.lit(P.FRESHNESS_CLAIM)))
+    claim = F.regexp_substr(text, F.lit(P.FRESHNESS_CLAIM))
+    claim = claim if max_chars is None else F.when(F.length(text) <= max_chars, claim)
     return collect(when(claim.isNotNull(), check("freshness", 0, "freshness.claim_advertised", "allow", "info",
                                                  {"claim": claim, "contract_field": F.regexp_substr(text, F.lit(P.FRESHNESS_FIELD))})))
 
@@ -386,7 +390,7 @@ def with_usd(df: DataFrame) -> DataFrame:
 
 def find_tells(df: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """Long table of the tells of a text column, with score and proximity, for any table."""
-    d = df.select(*keep, F.col(text).alias("_t"), F.lower(text).alias("_l")).withColumn("_h", T.find_tells("_t", "_l")).filter(F.size("_h") > 0)
+    d = df.select(*keep, F.col(text).alias("_t"), F.lower(text).alias("_l")).withColumn("_h", T.find_tells("_t", "_l"))   # explode drops empty ones
     d = d.withColumn("_n", T.nearest_address("_t", "_h")).withColumn("score", T.tell_score("_h", "_n"))
     return d.select(*keep, "score", F.col("_n.distance").alias("distance"), F.explode("_h").alias("h")).select(
         *keep, F.col("h.id").alias("tell_id"), F.col("h.weight").alias("weight"), "score", "distance")

@@ -256,7 +256,7 @@ def plan_expiry(purchases: DataFrame, plans: DataFrame) -> DataFrame:
 
     Within a run of one plan, expiry(n) = (n+1)*d + max over m<=n of (t(m) - m*d): a running maximum, no fold.
     """
-    d = purchases.join(F.broadcast(plans.select("plan_id", "duration_days")), "plan_id")
+    d = purchases.join(plans.select("plan_id", "duration_days"), "plan_id")
     d = previous_value(d, ["account_hash"], "plan_id", "_before", order=("ms", "seq"), bucket=F.floor(F.col("ms") / (30 * DAY_MS)))
     d = d.withColumn("_new", F.when(F.col("_before").eqNullSafe(F.col("plan_id")), 0).otherwise(1).cast("bigint"))
     d = running_totals(d, ["account_hash"], {"_run": F.col("_new")}, bucket=F.floor(F.col("ms") / (30 * DAY_MS)))
@@ -309,3 +309,22 @@ def asof_last(rows: DataFrame, events: DataFrame, keys: list[str], value: str, *
     d = both.join(carry, [*keys, "_b"], "left")
     d = d.withColumn("_got", F.coalesce(F.last("_ev", ignorenulls=True).over(inside), F.col("_carry")))
     return d.filter(F.col("_side") == 0).select(*cols, F.col("_got").alias(value))
+
+
+def first_rows(d: DataFrame, n: int, bucket_ms: int, time: str, *order: str, newest: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(the first ``n`` rows by time and ``order``, the others), or the newest ones.
+
+    Counts per time bucket tell in which bucket the cut falls; only that bucket's rows are ranked, so no task sees all rows.
+    """
+    bucket = F.floor(F.col(time) / bucket_ms)
+    b = d.withColumn("_b", -bucket if newest else bucket)
+    upto = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    counts = b.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    j = b.join(counts, "_b")
+    edge = j.filter((F.col("_before") < n) & (F.col("_before") + F.col("_n") > n))
+    by = [F.desc(c) if newest else F.asc(c) for c in (time, *order)]
+    edge = edge.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(*by)))
+    inside = F.col("_before") + F.col("_n") <= n
+    keep = lambda x: x.select(*d.columns)
+    return (keep(j.filter(inside)).unionByName(keep(edge.filter(F.col("_r") <= F.lit(n) - F.col("_before")))),
+            keep(j.filter(F.col("_before") >= n)).unionByName(keep(edge.filter(F.col("_r") > F.lit(n) - F.col("_before")))))

@@ -124,16 +124,3 @@ def audit_records(decisions: DataFrame) -> DataFrame:
 def write_decisions(decisions: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append decision records, partitioned by UTC day."""
     audit_records(decisions).write.mode("append").partitionBy("day").format(fmt).save(path)
-
-
-def record_json(d: DataFrame) -> DataFrame:
-    """Adds ``body``: the record as JSON text in log order up to and without its chain members."""
-    from ..functions.scalars import json_string
-    opt = lambda k, v: F.when(v.isNotNull(), F.concat(F.lit(f'"{k}":'), v))
-    txt = lambda c: json_string(c)
-    fired = F.concat(F.lit("["), F.array_join(F.transform("fired", json_string), ","), F.lit("]"))
-    parts = [opt("ts", txt("ts")), opt("scan_id", txt("scan_id")), opt("direction", txt("direction")), opt("verdict", txt("verdict")),
-             opt("risk_score", F.col("risk_score").cast("string")), opt("agent_id", txt("agent_id")), opt("payment_sha256", txt("payment_sha256")),
-             opt("network", txt("network")), opt("pay_to", txt("pay_to")),
-             F.concat(F.lit('"amount_usd":'), F.coalesce(number_text("amount_usd"), F.lit("null"))), opt("fired", fired)]
-    return d.withColumn("body", F.concat_ws(",", *parts))
