@@ -293,7 +293,12 @@ def prj_17(spark, sf):
 
 # ---------------------------------------------------------------- limiter, policy, provenance, ranges
 
-@query("win_9_rate_limit")
+@query("win_9_rate_limit", """WITH RECURSIVE p AS (SELECT seq, agent_key, m, row_number() OVER (PARTITION BY agent_key ORDER BY m, seq) AS i FROM payments WHERE agent_key IS NOT NULL),
+r AS (SELECT seq, agent_key, i, true AS allowed, [m] AS times FROM p WHERE i = 1
+  UNION ALL SELECT p.seq, p.agent_key, p.i, len([t for t in r.times if t > p.m - 600000]) < 5,
+    CASE WHEN len([t for t in r.times if t > p.m - 600000]) < 5 THEN list_append([t for t in r.times if t > p.m - 600000], p.m) ELSE r.times END
+  FROM r JOIN p ON p.agent_key = r.agent_key AND p.i = r.i + 1)
+SELECT seq, allowed FROM r""", "payments")
 def win_9(spark, sf):
     d = clocked(spark, sf).filter("agent_key is not null")
     return W.rate_limit(d, "agent_key", 5, 600_000, Workspace(spark)).select("seq", "allowed")
@@ -313,7 +318,12 @@ def det_27_list(spark, sf):
     return PO.check_policy(d, allowlist=allow).select("seq", "policy_reason")
 
 
-@query("det_27_policy_cumulative")
+@query("det_27_policy_cumulative", """WITH RECURSIVE p AS (SELECT seq, agent_key, CAST(floor(amount_usd * 1000000) AS bigint) AS a,
+  row_number() OVER (PARTITION BY agent_key ORDER BY ms, seq) AS i FROM payments WHERE agent_key IS NOT NULL),
+r AS (SELECT seq, agent_key, i, a <= 20000000 AS ok, CASE WHEN a <= 20000000 THEN a ELSE 0 END AS total FROM p WHERE i = 1
+  UNION ALL SELECT p.seq, p.agent_key, p.i, r.total + p.a <= 20000000, r.total + CASE WHEN r.total + p.a <= 20000000 THEN p.a ELSE 0 END
+  FROM r JOIN p ON p.agent_key = r.agent_key AND p.i = r.i + 1)
+SELECT seq, CASE WHEN NOT ok THEN 'above the cumulative cap' END AS policy_reason FROM r""", "payments")
 def det_27_total(spark, sf):
     d = pay(spark, sf).withColumn("amount", F.floor(F.col("amount_usd") * 1000000).cast("string")).filter("agent_key is not null")
     return PO.check_policy(d, max_total=20_000_000, workspace=Workspace(spark)).select("seq", "policy_reason")

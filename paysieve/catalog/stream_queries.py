@@ -72,7 +72,7 @@ def str_7(spark, sf):
     return s.select("user_id", F.unix_millis("from_ts").alias("from_ms"), F.unix_millis("to_ts").alias("to_ms"), "beats")
 
 
-@query("str_9_rate_limit")
+@query("str_9_rate_limit", ORACLES["win_9_rate_limit"])
 def str_9(spark, sf):
     d = clocked(spark, sf).filter("agent_key is not null").select("seq", "ms", "agent_key")
     return _in_order(spark, d, lambda s: ST.stream_rate_limit(s, "agent_key", 5, 600_000)).select("seq", "allowed")

@@ -165,7 +165,11 @@ def det_10_entity(spark, sf):
     return _deep(spark, sf, f"replace({_SAY.format(s='string')}, 'o', '&#111;')")
 
 
-@query("det_11_tag_smuggling")
+_TAGGED = f"array_to_string([chr(CAST(917504 + ascii(c) AS integer)) for c in string_split({_duck}, '')], '')"
+_UNTAGGED = "array_to_string([chr(CAST(unicode(c) - 917504 AS integer)) for c in string_split(content, '') if unicode(c) between 917536 and 917631], '')"
+
+
+@query("det_11_tag_smuggling", _deep_sql(_TAGGED, _UNTAGGED, "injection.tag_smuggling"))
 def det_11(spark, sf):
     shift = "array_join(transform(split({x}, ''), c -> decode(unhex(concat('F3A0', hex(128 + (ascii(c) div 64)), hex(128 + ascii(c) % 64))), 'UTF-8')), '')"
     return _deep(spark, sf, shift.format(x=_SAY.format(s="string")))

@@ -8,7 +8,7 @@ from ..config import MINUTE_MS
 from ..functions.scalars import iso_utc, trimmed
 from ..session import Workspace
 from .rowlocal import _is
-from .windows import asof_last, previous_value, running_totals
+from .windows import asof_last, previous_value, running_totals, sorted_fold
 
 ATOMIC = "decimal(38,0)"
 
@@ -18,26 +18,35 @@ ATOMIC = "decimal(38,0)"
 def cumulative_cap(rows: DataFrame, key: str, amount: str, cap: int, workspace: Workspace | None = None) -> DataFrame:
     """Adds ``within_cap``: a row passes when the passed amounts before it plus its own stay within ``cap`` per key.
 
-    Refused rows do not count, so plain running sums are not enough. Each round accepts, over all keys at once, every
-    row up to the first one that does not fit, and refuses all rows larger than what is left. Caps below 10^28.
+    Refused rows do not count, so plain running sums are not enough. Running sums accept every row up to the first one that does not
+    fit; of the rest, rows larger than what is left are refused, and one ordered pass decides the others with what is left as state.
+    Caps below 10^28.
     """
     ws = workspace or Workspace(rows.sparkSession)
-    left = ws.materialize(rows.select(F.col(key).alias("_k"), "ms", "seq", F.col(amount).cast(ATOMIC).alias("_a"), F.lit(cap).cast(ATOMIC).alias("_room"))
-                          .filter(F.col("_a").between(0, cap)), "cap-start")
-    done = []
-    while not left.isEmpty():
-        run = running_totals(left, ["_k"], {"_sum": F.col("_a")})
-        stop = run.filter(F.col("_sum") > F.col("_room")).groupBy("_k").agg(F.min(F.struct("ms", "seq")).alias("_stop"))
-        run = run.join(stop, "_k", "left").withColumn("_ok", F.col("_stop").isNull() | (F.struct("ms", "seq") < F.col("_stop")))
-        run = ws.materialize(run, "cap-round")
-        done.append(run.filter("_ok").select("seq"))
-        used = run.filter("_ok").groupBy("_k").agg(F.sum("_a").cast(ATOMIC).alias("_used"))
-        rest = run.filter(~F.col("_ok")).select("_k", "ms", "seq", "_a", "_room").join(used, "_k", "left")
-        rest = rest.withColumn("_room", (F.col("_room") - F.coalesce("_used", F.lit(0).cast(ATOMIC))).cast(ATOMIC)).drop("_used")
-        left = ws.materialize(rest.filter(F.col("_a") <= F.col("_room")), "cap-left")
-    passed = rows.select("seq").limit(0)
-    for d in done:
-        passed = passed.unionByName(d)
+    given = rows.select(F.col(key).alias("_k"), "ms", "seq", F.col(amount).cast(ATOMIC).alias("_a")).filter(F.col("_a").between(0, cap))
+    run = running_totals(given, ["_k"], {"_sum": F.col("_a")})
+    room = F.lit(cap).cast(ATOMIC)
+    stop = run.filter(F.col("_sum") > room).groupBy("_k").agg(F.min(F.struct("ms", "seq")).alias("_stop"))
+    run = ws.materialize(run.join(stop, "_k", "left").withColumn("_ok", F.col("_stop").isNull() | (F.struct("ms", "seq") < F.col("_stop"))), "cap-run")
+    used = run.filter("_ok").groupBy("_k").agg(F.sum("_a").cast(ATOMIC).alias("_used"))
+    rest = run.filter(~F.col("_ok")).select("_k", "ms", "seq", "_a").join(used, "_k", "left")
+    rest = rest.withColumn("_room", (room - F.coalesce("_used", F.lit(0).cast(ATOMIC))).cast(ATOMIC)).filter(F.col("_a") <= F.col("_room"))
+
+    def fold():
+        left = 0
+
+        def step(new, seq, a, free):
+            nonlocal left
+            if new:
+                left = free
+            if a <= left:
+                left -= a
+                return True
+            return None
+        return step
+
+    late = sorted_fold(rest, ["_k"], ["ms", "seq"], ["seq", "_a", "_room"], fold, "_w").select("seq")
+    passed = run.filter("_ok").select("seq").unionByName(late)
     return rows.join(passed.withColumn("_w", F.lit(True)), "seq", "left").withColumn("within_cap", F.coalesce("_w", F.lit(False))).drop("_w")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..config import DAY_MS, HOUR_MS, MINUTE_MS
 from ..functions.scalars import col
@@ -74,8 +74,7 @@ def replay_counts(rows: DataFrame, *, base: DataFrame | None = None, ttl_hours:
     """Adds ``nonce_seen`` (1 on a first sighting), ``nonce_first_ms`` and ``nonce_first_scan``.
 
     A sighting expires ``ttl_hours`` after the *first* one of its run, not after the last. Keys that live shorter than
-    that need only a running count. The few longer ones get the start of each run by repeated map-side minimums, one
-    round per expired run.
+    that need only a running count. The longer ones get the start of each run by one ordered pass.
     """
     base = rows if base is None else base
     weight = F.coalesce(F.col("weight"), F.lit(1)).cast("bigint") if "weight" in base.columns else F.lit(1).cast("bigint")
@@ -101,26 +100,54 @@ def replay_counts(rows: DataFrame, *, base: DataFrame | None = None, ttl_hours:
     return d.drop("_k").withColumn("nonce_seen", F.when(F.col(key).isNotNull(), F.col("nonce_seen")))
 
 
-def _run_starts(base, first, key, ttl, workspace, salts: int = 32):
-    """First rows of all runs of keys that outlive the TTL; None when no key does."""
+def sorted_fold(d: DataFrame, keys: list[str], order: list[str], values: list[str], fold, out: str) -> DataFrame:
+    """One pass over each key's rows in order: ``fold()`` gives a function of (is a new key, value columns of the row) -> value or None.
+
+    Returns the key columns, the value columns and ``out`` (boolean) of the rows where the value is not None. A key's rows stream
+    through one task whose memory is the fold's state alone, so an unbroken key bounds the time, never the memory.
+    """
+    cols = [*keys, *values]
+    sorted_rows = d.repartition(*keys).sortWithinPartitions(*keys, *order).select(*cols)
+    schema = T.StructType([*sorted_rows.schema, T.StructField(out, T.BooleanType())])
+    n = len(keys)
+
+    def run(batches):
+        import pyarrow as pa
+        step, last = fold(), None
+        for batch in batches:
+            lists = [c.to_pylist() for c in batch.columns]
+            got = []
+            for row in zip(*lists):
+                got.append(step(row[:n] != last, *row[n:]))
+                last = row[:n]
+            made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.bool_())], names=[*cols, out])
+            yield made.filter(pa.compute.is_valid(made.column(len(cols)))) if any(g is None for g in got) else made
+
+    return sorted_rows.mapInArrow(run, schema)
+
+
+def _run_starts(base, first, key, ttl, workspace):
+    """First rows of all runs of keys that outlive the TTL, in one pass over those keys; None when no key does."""
     if workspace is None:
         workspace = Workspace(base.sparkSession)
-    long = workspace.materialize(first.filter(F.col("_last") - F.col("_f.ms") > ttl), "replay-long")
+    long = workspace.materialize(first.filter(F.col("_last") - F.col("_f.ms") > ttl).select(key), "replay-long")
     if long.isEmpty():
         return None
-    cur = first.select(key, F.col("_f.ms").alias("ms"), F.col("_f.seq").alias("seq"), F.col("_f.scan_id").alias("scan_id"))
-    found = [cur]
-    cur = cur.join(long.select(key), key, "left_semi")
-    salted = base.filter(F.col(key).isNotNull()).select(key, "ms", "seq", "scan_id").withColumn("_salt", F.pmod(F.hash("seq"), F.lit(salts)))
-    while True:
-        limit = cur.select(key, (F.col("ms") + ttl).alias("_until"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-        nxt = (salted.join(limit, [key, "_salt"]).filter(F.col("ms") > F.col("_until"))
-               .groupBy(key, "_salt").agg(F.min(F.struct("ms", "seq", "scan_id")).alias("_f"))
-               .groupBy(key).agg(F.min("_f").alias("_f")).select(key, "_f.ms", "_f.seq", "_f.scan_id"))
-        cur = workspace.materialize(nxt, "replay-start")
-        if cur.isEmpty():
-            return reduce(DataFrame.unionByName, found)
-        found.append(cur)
+
+    def fold():
+        start = None
+
+        def step(new, ms, seq, scan_id):
+            nonlocal start
+            if new or ms > start + ttl:
+                start = ms
+                return True
+            return None
+        return step
+
+    starts = sorted_fold(base.join(long, key, "left_semi"), [key], ["ms", "seq", "scan_id"], ["ms", "seq", "scan_id"], fold, "_start").drop("_start")
+    short = first.join(long, key, "left_anti").select(key, F.col("_f.ms").alias("ms"), F.col("_f.seq").alias("seq"), F.col("_f.scan_id").alias("scan_id"))
+    return workspace.materialize(short.unionByName(starts), "replay-starts")
 
 
 # ---------------------------------------------------------------- velocity
@@ -176,45 +203,35 @@ def prior_spend(rows: DataFrame, *, base: DataFrame | None = None, keys=("agent_
 def rate_limit(rows: DataFrame, key: str, limit: int, window_ms: int, workspace: Workspace | None = None) -> DataFrame:
     """Adds ``allowed``: a hit passes when fewer than ``limit`` *allowed* hits lie in the window before it.
 
-    Within one aligned block of the window's length the count of passed hits has a closed form. With n the hit's number
-    in the block and c(n) the free places left by the previous block's passed hits at that time (it never falls),
-    passed(n) = n + min(0, min over m<=n of (c(m) - m)). Blocks of a key follow one another, so the work goes block by
-    block over all keys at once; keys that cannot reach the limit skip the rounds.
+    A window lies in two neighbouring blocks of its length. Where two together hold at most ``limit`` hits, all hits of the second
+    pass whatever came before, so the key's chain of blocks is cut there. Chains that cannot reach the limit pass whole; the others
+    are folded in one job, with the times of at most ``limit`` hits as state. One unbroken busy chain is one task's work.
     """
-    ws = workspace or Workspace(rows.sparkSession)
     base = rows.filter(F.col(key).isNotNull()).select(F.col(key).alias("_k"), "ms", "seq", F.floor(F.col("ms") / window_ms).alias("_blk"))
     counts = base.groupBy("_k", "_blk").agg(F.count("*").alias("_n"))
     order = W.partitionBy("_k").orderBy("_blk")
-    counts = counts.withColumn("_gap", F.when(F.coalesce(F.col("_blk") - F.lag("_blk").over(order) > 1, F.lit(True)), 1).otherwise(0))
-    counts = counts.withColumn("_chain", F.sum("_gap").over(order))
-    per_chain = counts.groupBy("_k", "_chain").agg(F.max("_n").alias("_most"), F.min("_blk").alias("_start"))
-    counts = counts.join(per_chain, ["_k", "_chain"]).withColumn("_step", F.col("_blk") - F.col("_start"))
-    # two neighbouring blocks together bound what any window can hold
-    counts = ws.materialize(counts.select("_k", "_blk", "_step", (F.col("_most") * 2 > limit).alias("_busy")), "rate-blocks")
-    hits = ws.materialize(base.join(counts, ["_k", "_blk"]), "rate-hits")
-    done = [hits.filter(~F.col("_busy")).select("_k", "ms", "seq", F.lit(True).alias("allowed"))]
-    busy = hits.filter("_busy")
-    last = busy.agg(F.max("_step")).first()[0]
-    passed = None
-    for step in range(0 if last is None else last + 1):
-        now = busy.filter(F.col("_step") == step).select("_k", "_blk", "ms", "seq", F.lit(1).alias("_hit"), F.lit(0).alias("_old"))
-        if passed is not None:
-            # a hit passed in the block before leaves the window one window length later, before arrivals of that time
-            old = passed.select("_k", (F.floor(F.col("ms") / window_ms) + 1).alias("_blk"), (F.col("ms") + window_ms).alias("ms"),
-                                F.col("seq"), F.lit(0).alias("_hit"), F.lit(1).alias("_old"))
-            now = now.unionByName(old)
-        part = W.partitionBy("_k", "_blk")
-        seq = part.orderBy("ms", "_hit", "seq").rowsBetween(W.unboundedPreceding, 0)
-        now = now.withColumn("_i", F.sum("_hit").over(seq))
-        now = now.withColumn("_free", F.lit(limit) - (F.sum("_old").over(part) - F.sum("_old").over(seq)))
-        now = now.filter("_hit = 1")
-        upto = part.orderBy("ms", "seq").rowsBetween(W.unboundedPreceding, 0)
-        now = now.withColumn("_pass", F.col("_i") + F.least(F.lit(0), F.min(F.col("_free") - F.col("_i")).over(upto)))
-        now = now.withColumn("allowed", F.col("_pass") > F.coalesce(F.lag("_pass").over(part.orderBy("ms", "seq")), F.lit(0)))
-        now = ws.materialize(now.select("_k", "ms", "seq", "allowed"), "rate-step")
-        done.append(now)
-        passed = now.filter("allowed")
-    verdicts = reduce(DataFrame.unionByName, done).select("seq", "allowed")
+    joined = (F.col("_blk") - F.lag("_blk").over(order) <= 1) & (F.lag("_n").over(order) + F.col("_n") > limit)
+    counts = counts.withColumn("_cut", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1)).withColumn("_chain", F.sum("_cut").over(order))
+    counts = counts.withColumn("_busy", F.sum("_n").over(W.partitionBy("_k", "_chain")) > limit)
+    hits = base.join(counts.select("_k", "_blk", "_chain", "_busy"), ["_k", "_blk"])
+
+    def fold():
+        from collections import deque
+        passed = deque()
+
+        def step(new, ms, seq):
+            if new:
+                passed.clear()
+            while passed and passed[0] <= ms - window_ms:
+                passed.popleft()
+            if len(passed) < limit:
+                passed.append(ms)
+                return True
+            return False
+        return step
+
+    done = sorted_fold(hits.filter("_busy"), ["_k", "_chain"], ["ms", "seq"], ["ms", "seq"], fold, "allowed").select("seq", "allowed")
+    verdicts = hits.filter(~F.col("_busy")).select("seq", F.lit(True).alias("allowed")).unionByName(done)
     return rows.join(verdicts, "seq", "left")
 
 
