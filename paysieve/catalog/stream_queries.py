@@ -78,7 +78,11 @@ def str_9(spark, sf):
     return _in_order(spark, d, lambda s: ST.stream_rate_limit(s, "agent_key", 5, 600_000)).select("seq", "allowed")
 
 
-@query("str_5_approvals")
+# an approval nobody decides expires once the stream's time has passed its end
+@query("str_5_approvals", """WITH w AS (SELECT max(created_ms + CASE WHEN status = 'pending' THEN 0 ELSE latency_ms END) AS now_ms FROM approvals),
+s AS (SELECT 'pending' AS status FROM approvals UNION ALL SELECT status FROM approvals WHERE status <> 'pending'
+  UNION ALL SELECT 'expired' FROM approvals, w WHERE status = 'pending' AND expires_ms < now_ms)
+SELECT status, count(*) AS n FROM s GROUP BY status""", "approvals")
 def str_5(spark, sf):
     a = view(spark, sf, "approvals")
     opened = a.select("approval_id", F.col("created_ms").alias("ms"), (F.col("seq") * 2).alias("seq"), F.lit("open").alias("kind"), "expires_ms")

@@ -113,6 +113,7 @@ def sorted_fold(d: DataFrame, keys: list[str], order: list[str], values: list[st
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         step, last = fold(), None
         for batch in batches:
             lists = [c.to_pylist() for c in batch.columns]
@@ -121,7 +122,7 @@ def sorted_fold(d: DataFrame, keys: list[str], order: list[str], values: list[st
                 got.append(step(row[:n] != last, *row[n:]))
                 last = row[:n]
             made = pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.bool_())], names=[*cols, out])
-            yield made.filter(pa.compute.is_valid(made.column(len(cols)))) if any(g is None for g in got) else made
+            yield made.filter(pc.is_valid(made.column(len(cols)))) if any(g is None for g in got) else made
 
     return sorted_rows.mapInArrow(run, schema)
 
