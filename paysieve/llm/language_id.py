@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix
+from .common import mix, workspace
 
 #: Trigrams in a language's filter, hash functions, and positions per trigram of all filters.
 GRAMS, HASHES, POSITIONS = 20_000, 3, 1 << 19
@@ -125,8 +125,8 @@ class Filters:
 
 def learn(rows: DataFrame, per_language: int = GRAMS, share: float = SHARE) -> Filters | None:
     """Filters from labelled rows (lang, text); rows without a language or text are left out. None where nothing is left."""
-    counts = count_grams(rows.filter("lang is not null and text is not null"))
-    part = counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+    counts = workspace(rows.sparkSession).materialize(count_grams(rows.filter("lang is not null and text is not null")), "trigrams")
+    part = counts.join(counts.groupBy("lang").agg(F.sum("n").alias("all")), "lang").withColumn("p", F.col("n") / F.col("all"))
     most = part.groupBy("gram").agg(F.max("p").alias("most"))
     own = part.join(most, "gram").filter(F.col("p") >= F.lit(share) * F.col("most"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("p"), "gram"))
