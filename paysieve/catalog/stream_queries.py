@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import Workspace
-from ..sources.streams import with_event_time
+from ..sources.streams import stream_payments, with_event_time, write_stream
 from ..streaming import stateful as ST
 from .history_queries import _OBS, clocked, pay
 from .fixtures import view
@@ -89,3 +89,14 @@ def str_5(spark, sf):
     said = a.filter("status <> 'pending'").select("approval_id", (F.col("created_ms") + F.col("latency_ms")).alias("ms"), (F.col("seq") * 2 + 1).alias("seq"),
                                                   F.when(F.col("status") == "approved", "approve").otherwise("deny").alias("kind"), "expires_ms")
     return _in_order(spark, opened.unionByName(said), ST.stream_approvals).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("src_11_stream_payments", "SELECT seq, ms, direction, pay_to, nonce, amount_usd, ms AS event_ms FROM payments", "payments")
+def src_11(spark, sf):
+    """Payments arriving as JSON files, a few at a time, and what the sink holds of them."""
+    ws = Workspace(spark)
+    view(spark, sf, "payments").select("seq", "ms", "direction", "pay_to", "nonce", "amount_usd").repartition(6).write.json(ws.path + "/in")
+    got = stream_payments(spark, ws.path + "/in", max_files=2)
+    write_stream(got, ws.path + "/out", ws.path + "/ckpt").awaitTermination()
+    out = spark.read.schema(got.schema).parquet(ws.path + "/out")
+    return out.select("seq", "ms", "direction", "pay_to", "nonce", "amount_usd", F.unix_millis("ts").alias("event_ms"))
