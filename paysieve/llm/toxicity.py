@@ -21,7 +21,7 @@ from .language_id import is_held_out
 
 #: Documents that training reads at most, about (rows are taken by a hash of the id): confirmed toxic and unlabelled ones, and bags.
 SAMPLE_TOXIC, SAMPLE_UNLABELLED, BAGS = 6000, 18000, 3
-#: Hashed features, those that a classifier may weigh, and the confirmed documents that must hold one.
+#: Hashed features, those that a classifier may weigh, and the confirmed documents that must hold one (fewer, 3 at least, of a small sample).
 WIDTH, CHOSEN, LEAST = 1 << 18, 256, 8
 #: The share of confirmed documents among those with a feature, by the prior, that lets a classifier weigh it.
 POSTERIOR = 0.6
@@ -47,7 +47,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 
     in_p, in_u = rates(positive), rates(unlabelled)
     p, u = in_p / max(1, len(positive)), in_u / max(1, len(unlabelled))
-    able = np.flatnonzero((in_p >= LEAST) & (prior * p >= POSTERIOR * u))
+    able = np.flatnonzero((in_p >= max(3, min(LEAST, len(positive) // 50))) & (prior * p >= POSTERIOR * u))
     chosen = np.sort(able[np.lexsort((able, -(p - u)[able]))[:CHOSEN]])
 
     def matrix(rows):
