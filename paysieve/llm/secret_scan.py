@@ -30,11 +30,14 @@ SAMPLE, OTHERS = 20_000, 10
 #: Tokens of a training sequence, sequences at most, hashed words before a token.
 LENGTH, SEQUENCES, WORDS = 32, 3000, 1024
 TAGS = 3                                            # outside, begin, inside
+PLAIN = 16
 
 _TOKEN = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")) | (np.arange(256) >= 128)
-_CLASS = np.zeros((256, 4), np.int32)               # digit, upper, lower, other
+_DIGIT = np.isin(np.arange(256), list(b"0123456789")).astype(np.int32)
+_HEXADECIMAL = np.isin(np.arange(256), list(b"0123456789abcdef"))
+_CLASS = np.zeros((4, 256), np.int64)               # digit, upper, lower, other
 for _b in range(256):
-    _CLASS[_b, 0 if 48 <= _b < 58 else 1 if 65 <= _b < 91 else 2 if 97 <= _b < 123 else 3] = 1
+    _CLASS[0 if 48 <= _b < 58 else 1 if 65 <= _b < 91 else 2 if 97 <= _b < 123 else 3, _b] = 1
 _AROUND = np.full(256, 5, np.int64)
 for _k, _chars in enumerate((b" \t\x0b\x0c", b"\n\r", b"\"'`", b"=", b":")):
     _AROUND[list(_chars)] = _k
@@ -42,46 +45,62 @@ _LENGTHS = np.array([2, 4, 8, 12, 16, 20, 32, 48, 1 << 60])
 #: Blocks of the feature table: shape, length, mix, before, second before, after, share of digits in the text, marks in the text, word before.
 SIZES = (32, 9, 8, 6, 6, 6, 4, 4, WORDS)
 STARTS = np.concatenate([[0], np.cumsum(SIZES)])
-_KEYWORDS = re.compile(rb"[=:]")
+_KEYWORDS = (b"passw", b"secret", b"token", b"api")
+
+
+def _long_hexadecimal(data: bytes) -> bool:
+    inside = np.concatenate([[False], _HEXADECIMAL[np.frombuffer(data, np.uint8)], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return bool(len(edges)) and int((edges[1::2] - edges[0::2]).max()) >= 16
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, start of the secret itself), per kind leftmost and non-overlapping, in the order of start, then kind."""
-    out = [("assign", m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
-    out += [("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
-    out += [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
+    data = text.encode()
+    low, out = data.lower(), []
+    if any(k in low for k in _KEYWORDS):
+        out += [("assign", m.start(), m.end(), m.start(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
+    if b"AKIA" in data:
+        out += [("access", m.start(), m.end(), m.start()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
+    if _long_hexadecimal(data):
+        out += [("hex", m.start(), m.end(), m.start()) for m in HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
 class Tokens:
-    """Tokens of one or more texts as byte ranges with all features but the word before."""
+    """Tokens of one or more texts as byte ranges, with their features."""
 
     def __init__(self, texts: list[bytes]):
         self.data = b"\n".join([b"", *texts, b""])
-        buf = np.frombuffer(self.data, np.uint8)
+        buf = self.buf = np.frombuffer(self.data, np.uint8)
         is_token = _TOKEN[buf]
         edges = np.flatnonzero(is_token[1:] != is_token[:-1]) + 1
         self.starts, self.ends = edges[0::2], edges[1::2]
-        self.begin = 1 + np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts], dtype=np.int64)[:-1]]) if texts else np.zeros(0, np.int64)
+        size = np.array([len(t) for t in texts], np.int64)
+        self.begin = 1 + np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64) if texts else np.zeros(0, np.int64)
         self.first = np.searchsorted(self.starts, self.begin)
-        self.last = np.concatenate([self.first[1:], [len(self.starts)]]).astype(np.int64) if len(texts) else self.first
-        doc = np.repeat(np.arange(len(texts)), self.last - self.first)
-        n = self.ends - self.starts
-        counts = []
-        for c in range(4):
-            sums = np.zeros(len(buf) + 1, np.int32)
-            np.cumsum(_CLASS[:, c][buf], out=sums[1:])
-            counts.append(sums[self.ends] - sums[self.starts])
-            if c == 0:
-                digits = sums[np.minimum(self.begin + [len(t) for t in texts], len(buf))] - sums[self.begin] if len(texts) else np.zeros(0)
-        digit, upper, lower, other = counts
+        self.last = np.concatenate([self.first[1:], [len(self.starts)]]).astype(np.int64) if texts else self.first
+        sums = np.zeros(len(buf) + 1, np.int32)
+        np.cumsum(_DIGIT[buf], out=sums[1:])
+        self.size, self.digits = self.ends - self.starts, sums[self.ends] - sums[self.starts]
+        share = (sums[self.begin + size] - sums[self.begin]) / np.maximum(size, 1) if texts else np.zeros(0)
+        self.share = np.searchsorted([0.005, 0.02, 0.1], share)
+        self.marks = np.array([min(3, t.count(b"=") + t.count(b":")) for t in texts], np.int64)
+
+    def features(self, at: np.ndarray) -> np.ndarray:
+        """Features x tokens of some tokens, all but the word before."""
+        if not len(at):
+            return np.zeros((len(SIZES) - 1, 0), np.int64)
+        n, starts, ends = self.size[at], self.starts[at], self.ends[at]
+        cuts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        own = self.buf[np.repeat(starts - cuts, n) + np.arange(int(n.sum()))]
+        digit, upper, lower, other = (np.add.reduceat(c[own], cuts) for c in _CLASS)
         shape = (digit > 0) * 1 + (upper > 0) * 2 + (lower > 0) * 4 + (other > 0) * 8 + (upper > 1) * 16
-        mixed = np.minimum(3, digit * 4 // np.maximum(n, 1)) + 4 * (digit + np.minimum(upper, lower) >= n // 3)
-        sizes = np.array([max(1, len(t)) for t in texts])
-        share = np.searchsorted([0.005, 0.02, 0.1], digits / sizes) if len(texts) else np.zeros(0, np.int64)
-        marks = np.array([min(3, len(_KEYWORDS.findall(t))) for t in texts], np.int64)
-        cols = (shape, np.searchsorted(_LENGTHS, n), mixed, _AROUND[buf[self.starts - 1]], _AROUND[buf[np.maximum(self.starts - 2, 0)]], _AROUND[buf[self.ends]], share[doc] if len(texts) else doc, marks[doc] if len(texts) else doc)
-        self.cols = np.stack([c.astype(np.int64) + s for c, s in zip(cols, STARTS)]) if len(n) else np.zeros((len(SIZES) - 1, 0), np.int64)
+        mixed = np.minimum(3, digit * 4 // n) + 4 * (digit + np.minimum(upper, lower) >= n // 3)
+        doc = np.searchsorted(self.first, at, "right") - 1
+        cols = (shape, np.searchsorted(_LENGTHS, n, "right"), mixed, _AROUND[self.buf[starts - 1]], _AROUND[self.buf[np.maximum(starts - 2, 0)]], _AROUND[self.buf[ends]],
+                self.share[doc], self.marks[doc])
+        return np.stack([c.astype(np.int64) + b for c, b in zip(cols, STARTS)])
 
     def word_before(self, at: np.ndarray) -> np.ndarray:
         """The feature of the lower-cased last letters before each token; the first token of a text sees the text before it as none."""
@@ -101,10 +120,26 @@ class Chain:
 
     def __init__(self, emit: np.ndarray, move: np.ndarray, start: np.ndarray):
         self.emit, self.move, self.start = emit, move, start
-        words = emit[STARTS[-2]:]
-        # how much the word before, two transitions and the first tag could do for another tag against outside
-        spread = lambda m: float(m.max() - m.min()) if m.size else 0.0
-        self.margin = spread(words[:, 1:].max(axis=1) - words[:, 0]) + float(max(0.0, (words[:, 1:].max(axis=1) - words[:, 0]).max())) + 2 * spread(move) + spread(start)
+        # with all other tags fixed, how much more than outside another tag can get from the first tag, its neighbours and the word before
+        odd = range(1, TAGS)
+        gains = [start[x] - start[0] for x in odd]
+        gains += [move[a, x] - move[a, 0] for a in range(TAGS) for x in odd] + [start[x] + move[x, b] - start[0] - move[0, b] for x in odd for b in range(TAGS)]
+        gains += [move[a, x] + move[x, b] - move[a, 0] - move[0, b] for a in range(TAGS) for x in odd for b in range(TAGS)]
+        self.lead = emit[:, 0] - emit[:, 1:].max(axis=1)                       # of outside, by feature
+        self.margin = float(max(gains)) - float(self.lead[STARTS[-2]:].min(initial=0.0))
+        # of tokens without a digit and shorter than PLAIN, whatever else they are made of; and of each byte around a token
+        block = lambda k, keep=slice(None): self.lead[STARTS[k]:STARTS[k + 1]][keep]
+        self.inner = float(block(0, [v for v in range(32) if not v & 1]).min() + block(2, [0, 4]).min() + block(1, slice(0, int(np.searchsorted(_LENGTHS, PLAIN)) + 1)).min())
+        self.around = [block(k)[_AROUND] for k in (3, 4, 5)]
+
+    def outside(self, tokens: Tokens) -> np.ndarray:
+        """Tokens that are outside in every best chain, from what is cheap to know."""
+        doc = self.lead[STARTS[6]:][tokens.share] + self.lead[STARTS[7]:][tokens.marks]
+        block = np.repeat(doc, tokens.last - tokens.first) + self.inner
+        block += self.around[0][tokens.buf[tokens.starts - 1]]
+        block += self.around[1][tokens.buf[np.maximum(tokens.starts - 2, 0)]]
+        block += self.around[2][tokens.buf[tokens.ends]]
+        return (tokens.digits == 0) & (tokens.size < PLAIN) & (block > self.margin)
 
     def viterbi(self, scores: np.ndarray) -> np.ndarray:
         """Best tags of one stretch; its neighbours are outside or the edge of the text."""
@@ -126,17 +161,19 @@ class Chain:
         tags = np.zeros(n, np.int64)
         if not n:
             return tags
-        scores = np.zeros((n, TAGS))
-        for c in tokens.cols:
-            scores += self.emit[c]
-        open_ = np.flatnonzero(scores[:, 0] - scores[:, 1:].max(axis=1) <= self.margin)
+        at = np.flatnonzero(~self.outside(tokens))
+        part_scores = np.zeros((len(at), TAGS))
+        for c in tokens.features(at):
+            part_scores += self.emit[c]
+        unsure = part_scores[:, 0] - part_scores[:, 1:].max(axis=1) <= self.margin
+        open_ = at[unsure]
         if not len(open_):
             return tags
-        scores[open_] += self.emit[tokens.word_before(open_)]
+        scores = part_scores[unsure] + self.emit[tokens.word_before(open_)]
         doc_first, doc_last = set(tokens.first.tolist()), set(tokens.last.tolist())
         cut = np.flatnonzero((np.diff(open_) > 1) | np.isin(open_[1:], list(doc_first))) + 1
-        for part in np.split(open_, cut):
-            s = scores[part].copy()
+        for part, s in zip(np.split(open_, cut), np.split(scores, cut)):
+            s = s.copy()
             s[0] += self.start if int(part[0]) in doc_first else self.move[0]
             if int(part[-1]) + 1 not in doc_last:
                 s[-1] += self.move[:, 0]
@@ -208,7 +245,7 @@ def examples(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
             tags[i] = 1
             tags[i + 1:j] = 2
             marks.append(int(i))
-    cols = np.concatenate([t.cols, t.word_before(np.arange(n))[None]]).T
+    cols = np.concatenate([t.features(np.arange(n)), t.word_before(np.arange(n))[None]]).T
     at = sorted({max(0, min(m - LENGTH // 2, n - LENGTH)) for m in marks} or {0})
     return [(cols[a:a + LENGTH], tags[a:a + LENGTH]) for a in at]
 
