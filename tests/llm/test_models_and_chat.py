@@ -55,8 +55,8 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_edge_cases(spark):
-    rows = documents() + [(3000 + k, f"plain talk number {k} about rivers") for k in range(60)] + [(4000 + k, f"you are a dreadful nitwit {k} says nobody") for k in range(60)]
-    labels = spark.createDataFrame([(4000 + k, 1) for k in range(60)] + [(3000 + k, 0) for k in range(60)] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    rows = documents() + [(3000 + k, f"plain talk number {k} about rivers") for k in range(300)] + [(4000 + k, f"you are a dreadful nitwit {k} says nobody") for k in range(60)]
+    labels = spark.createDataFrame([(4000 + k, 1) for k in range(60)] + [(3000 + k, 0) for k in range(300)] + [(1, None), (None, 1)], "doc_id long, toxic int")
     model = X.learn(frame(spark, rows), labels)
     got = X.score(frame(spark, rows), model).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
