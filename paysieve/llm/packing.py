@@ -16,6 +16,7 @@ the counts of earlier tasks, so no length is sorted or gathered in one place.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from itertools import repeat
@@ -30,7 +31,7 @@ from .common import workspace
 
 CAPACITY, END_ID, GROUPS = 4096, 1, 512
 #: Words whose ids a task remembers; then it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 #: Bytes of text encoded at once.
 SLICE = 1_000_000
 _coders: dict[str, "Coder"] = {}
@@ -43,38 +44,81 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Coder:
-    """Ids of texts. Its pre-tokeniser never joins over ASCII blanks, so the ids of a text are those of its words in turn."""
+    """Ids of texts. Its pre-tokeniser never joins over ASCII blanks, so the ids of a text are those of its words in turn.
+
+    It lower-cases, and parts a letter or digit from a mark after it, so a new word in other case or before a stop or comma is put
+    together from known ones.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
         self._forget()
 
     def _forget(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.lengths, self.flat, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0
+        self.lengths, self.flat, self.used, self.rows = np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32), 0, 0
         self.begins = np.zeros(1 << 16, np.int64)
 
+    def _add(self, words: list[bytes], ids: np.ndarray, n: np.ndarray) -> None:
+        while self.rows + len(words) > len(self.lengths):
+            self.lengths, self.begins = (np.concatenate([x, np.zeros_like(x)]) for x in (self.lengths, self.begins))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.lengths[self.rows:self.rows + len(words)] = n
+        self.begins[self.rows:self.rows + len(words)] = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
+        self.index.update(zip(words, range(self.rows, self.rows + len(words))))
+        self.used, self.rows = self.used + len(ids), self.rows + len(words)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.lengths[at].astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.flat[np.repeat(self.begins[at] - ends[:-1], n) + np.arange(ends[-1])], n
+
+    def _ask(self, words: list[bytes]) -> None:
+        """Encodes new words, some thousand in one text. A word of letters alone ends with its only id that ends a word; for others
+        the offsets tell which word an id belongs to."""
+        letters = [w.isalpha() or not w.isascii() and _is_letters(w.decode()) for w in words]
+        for plain in (True, False):
+            group = [w for w, x in zip(words, letters) if x == plain]
+            for k in range(0, len(group), 4000):
+                part = group[k:k + 4000]
+                code = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+                ids = np.array(code.ids, np.int64)
+                if plain:
+                    n = np.diff(np.concatenate([[-1], np.flatnonzero(self.ends_word[ids])]))
+                elif len(ids):
+                    at = np.cumsum([0] + [len(w.decode()) + 1 for w in part[:-1]])
+                    n = np.bincount(np.searchsorted(at, [o for o, _ in code.offsets], "right") - 1, minlength=len(part))
+                else:
+                    n = np.zeros(len(part), np.int64)
+                if len(n) != len(part) or n.sum() != len(ids):
+                    raise RuntimeError("the vocabulary does not part words at blanks")
+                self._add(part, ids, n)
+
     def _learn(self, words: list[bytes]) -> None:
-        """Encodes new words, some thousand in one text; the offsets tell which word an id belongs to."""
-        for k in range(0, len(words), 4000):
-            part = [w.decode() for w in words[k:k + 4000]]
-            code = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(code.ids, np.uint32)
-            at = np.cumsum([0] + [len(w) + 1 for w in part[:-1]])
-            n = np.bincount(np.searchsorted(at, [o for o, _ in code.offsets], "right") - 1, minlength=len(part)) if len(ids) else np.zeros(len(part), np.int64)
-            have = len(self.index)
-            while have + len(part) > len(self.lengths):
-                self.lengths, self.begins = (np.concatenate([a, np.zeros_like(a)]) for a in (self.lengths, self.begins))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.lengths[have:have + len(part)] = n
-            self.begins[have:have + len(part)] = self.used + np.concatenate([[0], np.cumsum(n)[:-1]])
-            self.used += len(ids)
-            self.index.update(zip(words[k:k + 4000], range(have, have + len(part))))
+        """Makes all words known."""
+        known = self.index
+        low = [w if b"<|" in w else w.lower() for w in words]                     # a special token is known by its case
+        core = [x.rstrip(b".,") for x in low]
+        core = [c if c[-1:].isalnum() else w for c, w in zip(core, words)]
+        tail = [b"" if c is w else x[len(c):] for c, w, x in zip(core, words, low)]
+        self._ask(list(dict.fromkeys([c for c in core if c not in known] + [t for t in set(tail) if t and t not in known])))
+        double = []
+        for w, c, t in zip(words, core, tail):
+            if w not in known:
+                if t:
+                    double.append((w, c, t))
+                else:
+                    known[w] = known[c]
+        if double:
+            ids, n = self._gather(np.array([known[x] for d in double for x in d[1:]], np.int64))
+            self._add([d[0] for d in double], ids, n.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text begins and the last ends."""
@@ -88,12 +132,17 @@ class Coder:
             new = list(dict.fromkeys(words[i] for i in missing))
             self._learn(new)
             at[missing] = [self.index[words[i]] for i in missing]
-        n = self.lengths[at].astype(np.int64)
+        ids, n = self._gather(at)
         ends = np.concatenate([[0], np.cumsum(n)])
-        ids = self.flat[np.repeat(self.begins[at] - ends[:-1], n) + np.arange(ends[-1])]
         return ids, ends[np.concatenate([[0], np.cumsum([len(s) for s in split], dtype=np.int64)])]
 
 
+def _is_letters(text: str) -> bool:
+    """Whether a text stays one run of letters when it is composed and lower-cased."""
+    low = text.lower()
+    return low.isalpha() and unicodedata.is_normalized("NFC", low)
+
+
 def _coder(path: str | None) -> Coder:
     path = path or tokenizer_path()
     if path not in _coders:
