@@ -126,3 +126,16 @@ def test_empty_tables(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert exact_dedup(df).count() == substring_dedup(df).count() == ngram_join(df).count() == decontaminate(df, items).count() == 0
     assert [r.n_hit for r in decontaminate(frame(spark, documents()), items.limit(0)).collect()] == [0] * len(documents())
+
+
+def test_many_owners_of_hash_ranges(spark, monkeypatch):
+    """The exchanges split over owners give the same results."""
+    import paysieve.llm.common as common
+    import paysieve.llm.exact_dedup as exact_module
+    monkeypatch.setattr(common, "OWNER_VALUES", 150)
+    monkeypatch.setattr(exact_module, "OWNER_VALUES", 4)
+    rows = [r for r in documents() if r[0] != 24]
+    df = frame(spark, rows).repartition(3)
+    same([(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup(df).collect()], exact(rows))
+    same([(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df).collect()], substring(rows))
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(df).collect()], components(rows))
