@@ -21,7 +21,7 @@ NO_ID = np.int64(2**63 - 1)
 #: Bytes of text in a block of documents; a longer document has a block of its own.
 BLOCK_BYTES = 1_000_000
 #: Values that one owner of a hash range should get.
-OWNER_VALUES = 2_000_000
+OWNER_VALUES = 1_000_000
 BLOCK_SCHEMA = "block long, n_docs int, n_bytes long, ids binary, ends binary, body binary"
 
 
