@@ -10,11 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paysieve.llm import language_id
+from paysieve.llm import language_id, ngram_join
 from paysieve.llm.common import table, workspace
 from paysieve.llm.decontaminate import decontaminate
 from paysieve.llm.exact_dedup import keep_documents
-from paysieve.llm.ngram_join import ngram_join
 from paysieve.llm.packing import pack
 
 #: Least share of a text's trigrams that its language must hold; below it the text is in none of the languages learned.
@@ -38,11 +37,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document with the smallest doc_id."""
-    ws = workspace(spark)
-    classes = ws.materialize(ngram_join(docs, SHINGLE, PERCENT).select("doc_id", "component_id"), "near-copies")
-    gone = classes.filter("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    """Of each group of near copies one row, that with the smallest doc_id; null ids stand last."""
+    return ngram_join.keep_documents(docs, SHINGLE, PERCENT)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ and only links between components come out. So copies of one text cost one compa
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 from math import comb
 
@@ -59,8 +60,8 @@ class _Sets:
     """The distinct shingles of each document of a block, ascending: ``values[cuts[i]:cuts[i + 1]]``."""
 
     def __init__(self, row, shingle: int):
-        self.ids, texts = unpack(row.ids, row.ends, row.body)
-        w = Words([t.translate(LOWER) for t in texts])
+        self.ids, self.texts = unpack(row.ids, row.ends, row.body)
+        w = Words([t.translate(LOWER) for t in self.texts])
         h = w.hashes()
         at = w.windows(shingle)
         grams, counts = window_hashes(h, at, shingle), np.maximum(0, w.per_doc - shingle + 1)
@@ -174,13 +175,15 @@ def _relabel(member: DataFrame, edges: DataFrame, ws, label: str) -> DataFrame:
     return ws.materialize(joined.select("cls", F.coalesce("to", "comp").alias("comp")), label)
 
 
-def ngram_join(docs: DataFrame, shingle: int = 4, percent: int = 85, pivots: int = 2) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id of every row.
+def ngram_join(docs: DataFrame, shingle: int = 4, percent: int = 85, pivots: int = 2, digests: bool = False) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, kept of every row; with ``digests`` also text_sha256.
 
     Words are runs of anything but the six ASCII blanks, A-Z in lower case; a set holds the distinct runs of ``shingle`` words, of a
     shorter text the whole of it. Sets link when 100 * intersection >= ``percent`` * union. ``component_id`` is the smallest doc_id
     reachable by links (null ids stand last), ``class_id`` a number shared by rows with equal sets. A row without words has no
-    shingles, no class and itself as component. Repeated rows have equal sets. An empty table gives an empty result.
+    shingles, no class and itself as component. Repeated rows have equal sets. Of each component exactly one row is ``kept``: of the
+    smallest doc_id, and of several rows with that id, or where all ids are null, the one with the smallest digest where digests are
+    asked for; a row without words is kept. An empty table gives an empty result.
     """
     if not 50 < percent <= 100 or shingle < 1:
         raise ValueError("percent must be over 50 and at most 100, shingle at least 1")
@@ -192,14 +195,16 @@ def ngram_join(docs: DataFrame, shingle: int = 4, percent: int = 85, pivots: int
             for row in batch.to_pandas().itertuples(index=False):
                 s = _Sets(row, shingle)
                 a, b = s.fingerprints()
-                yield pa.RecordBatch.from_pydict({"block": np.full(len(s.ids), row.block), "idx": np.arange(len(s.ids), dtype=np.int32), "doc_id": s.ids, "n": s.sizes, "fa": a, "fb": b})
+                made = {"block": np.full(len(s.ids), row.block), "idx": np.arange(len(s.ids), dtype=np.int32), "doc_id": s.ids, "n": s.sizes, "fa": a, "fb": b}
+                yield pa.RecordBatch.from_pydict(made | {c: pa.array([hashlib.sha256(t).digest() for t in s.texts], pa.binary()) for c in digest})
 
-    seen = stored.select("block", "ids", "ends", "body").mapInArrow(prints, "block long, idx int, doc_id long, n long, fa long, fb long")
+    digest = ["text_sha256"] if digests else []
+    seen = stored.select("block", "ids", "ends", "body").mapInArrow(prints, "block long, idx int, doc_id long, n long, fa long, fb long" + "".join(f", {c} binary" for c in digest))
     seen = ws.materialize(seen.withColumn("row", F.monotonically_increasing_id()), "sets")
     total = seen.count()
     keys = ["fa", "fb", "n"]
     first = F.min(F.struct("row", "block", "idx"))
-    classes = ws.materialize(seen.filter("n > 0").groupBy(*keys).agg(first.alias("f"), F.min("doc_id").alias("least"), F.count("*").alias("members"))
+    classes = ws.materialize(seen.filter("n > 0").groupBy(*keys).agg(first.alias("f"), F.min(F.struct("doc_id", *digest, "row")).alias("least"), F.count("*").alias("members"))
                              .select(*keys, F.col("f.row").alias("cls"), F.col("f.block").alias("block"), F.col("f.idx").alias("idx"), "least", "members"), "classes")
     sizes = {r["n"]: r["count"] for r in classes.filter(F.col("n") <= LIGHT_MOST).groupBy("n").count().collect()}       # at most LIGHT_MOST rows
     light = boundary(sizes, percent)
@@ -275,8 +280,28 @@ def ngram_join(docs: DataFrame, shingle: int = 4, percent: int = 85, pivots: int
     links = _tiles(both_sides.select("grp", "side", "cls", "comp"), sets, ws, percent, "rest")
     member = _relabel(member, links, ws, "members")
     named = classes.join(member, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = named.groupBy("comp").agg(F.min("least").alias("component_id"))
-    final = ws.materialize(named.join(least, "comp").select(*keys, "members", F.col("cls").alias("class_id"), "component_id"), "named")
-    out = join_groups(seen.select("doc_id", *keys), final, keys, "members", total)
+    least = named.groupBy("comp").agg(F.min("least").alias("first")).select("comp", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("keep_row"))
+    final = ws.materialize(named.join(least, "comp").select(*keys, "members", F.col("cls").alias("class_id"), "component_id", "keep_row"), "named")
+    out = join_groups(seen.select("doc_id", "row", *digest, *keys), final, keys, "members", total)
     component = F.coalesce("component_id", "doc_id")
-    return back(out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.when(component != F.lit(int(NO_ID)), component).alias("component_id")))
+    return back(out.select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.when(component != F.lit(int(NO_ID)), component).alias("component_id"),
+                           (F.col("keep_row").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"), *digest))
+
+
+def keep_documents(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
+    """The documents of which ``kept`` is told, with their columns: one row of each component, and the rows without words.
+
+    Rows are told apart by id and text, so neither rows without an id nor the rows of a repeated id share a verdict. Rows that are
+    equal in both are one component: where one of them stays, the others go.
+    """
+    ws = workspace(docs.sparkSession)
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))
+    by = ["_id", "_sha"]
+    told = ngram_join(docs, shingle, percent, digests=True).groupBy(own.alias("_id"), F.col("text_sha256").alias("_sha"))
+    told = told.agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("k")).filter("k < n")
+    told = ws.materialize(told.select(*by, (F.col("k") > 0).alias("_one")), "near-copies")
+    marked = docs.withColumns({"_id": own, "_sha": F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))})
+    stay, one = marked.join(told, by, "left_anti"), told.filter("_one")
+    if not one.isEmpty():
+        stay = stay.unionByName(marked.join(one, by, "left_semi").dropDuplicates(by))
+    return stay.select(*docs.columns)

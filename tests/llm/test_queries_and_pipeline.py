@@ -1,7 +1,7 @@
 """Registered queries against their SQL, and each stage of the pipeline against a plain version."""
 
 import pytest
-from corpus_fixture import components, documents, frame, hits, ITEMS
+from corpus_fixture import components, documents, frame, hits, ITEMS, passage
 from oracle import compare, connect
 from pyspark.sql import functions as F
 
@@ -65,6 +65,25 @@ def test_near_copies_go(staged):
     assert {r.doc_id for r in seen[3].collect()} == want
 
 
+def test_near_copies_by_row(spark):
+    """A verdict is of a row: null ids and repeated ids share none, and of each class exactly one row stays."""
+    def pair(start):
+        text = passage(start, 40)
+        return text, text + " end"
+
+    (a, a1), (b, b1), (c, c1), clean, other = pair(3), pair(21), pair(40), passage(60, 40), passage(75, 40)
+    rows = [(1, a), (None, a1), (None, clean),                      # (a) a null id that copies, beside a clean one
+            (5, a + " more"), (5, other),                           # (b) an id with a copy and another text
+            (7, b), (7, b1), (None, c), (None, c1),                 # (c) classes under one id, and without any
+            (9, "quite short"), (9, "quite short"), (None, None), (None, "")]
+    got = [(r.doc_id, r.text) for r in P.near_copies(spark, frame(spark, rows), SF).collect()]
+    free = {7: {b, b1}, None: {c, c1}}                               # either of the two, but one
+    for i, texts in free.items():
+        assert sum(j == i and t in texts for j, t in got) == 1
+    rest = [r for r in got if r[1] not in free.get(r[0], ())]
+    assert sorted(map(repr, rest)) == sorted(map(repr, [(1, a), (None, clean), (5, other), (9, "quite short"), (None, None), (None, "")]))
+
+
 def test_passages_go(staged):
     sf, seen = staged
     items = [(r.item_id, r.text) for r in seen[0].sparkSession.read.parquet(f"{sf}/benchmark.parquet").collect()]
