@@ -4,9 +4,10 @@ One array of positions holds, at each position, a bit per language; the AND of t
 all languages whose filter contains it. A document's count per language is corrected for the false positives that the filter's
 fill predicts, and the language with the most trigrams left decides.
 
-What a filter contains is learned from all labelled training rows: trigrams are counted per language on the executors, a trigram
-belongs to each language in which its relative frequency is at least ``SHARE`` of the highest, and a language keeps its most
-frequent ``GRAMS``; so the model's size depends on the number of languages alone.
+What a filter contains is learned from all labelled training rows: trigrams are counted per language on the executors, and a trigram
+belongs to each language in which its relative frequency is at least ``SHARE`` of the highest that is sure. Sure is what is left of
+a frequency when the label had ``PRIOR`` more trigrams, all of them others: so a label with little text strikes nothing from the
+filters of a large one.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from .common import mix, workspace
 
 #: Trigrams in a language's filter, hash functions, and positions per trigram of all filters.
 GRAMS, HASHES, POSITIONS = 20_000, 3, 1 << 19
-#: A trigram belongs to a language that uses it at least half as often as any other does.
+#: A trigram belongs to a language that uses it at least half as often as any other surely does.
 SHARE = 0.5
+#: Trigrams that a label's text is thought to lack, when others are held against it.
+PRIOR = 100_000
 #: Entries that a task holds before it hands on its counts.
 HELD = 1_000_000
 _letters: list[np.ndarray] = []
@@ -95,8 +98,9 @@ def count_grams(rows: DataFrame) -> DataFrame:
 class Filters:
     """Bit-sliced Bloom filters: ``slices[word][position]`` has the bits of 64 languages."""
 
-    def __init__(self, languages: list[str], members: dict[str, np.ndarray], positions: int = POSITIONS):
+    def __init__(self, languages: list[str], members: dict[str, np.ndarray], positions: int = POSITIONS, texts: np.ndarray | None = None):
         self.languages, self.positions = languages, positions
+        self.texts = np.zeros(len(languages)) if texts is None else texts       # trigrams that each was learned from
         self.slices = np.zeros((max(1, -(-len(languages) // 64)), positions), np.uint64)
         for k, lang in enumerate(languages):
             for at in self._at(members[lang]):
@@ -123,24 +127,30 @@ class Filters:
         return out
 
 
+    def best(self, hits: np.ndarray) -> np.ndarray:
+        """The language with the most hits; of equal ones that learned from the most text, then the first by name."""
+        order = np.lexsort((np.arange(len(self.languages)), -self.texts))
+        return order[hits[:, order].round(6).argmax(axis=1)]
+
+
 def learn(rows: DataFrame, per_language: int = GRAMS, share: float = SHARE) -> Filters | None:
     """Filters from labelled rows (lang, text); rows without a language or text are left out. None where nothing is left."""
     counts = workspace(rows.sparkSession).materialize(count_grams(rows.filter("lang is not null and text is not null")), "trigrams")
     part = counts.join(counts.groupBy("lang").agg(F.sum("n").alias("all")), "lang").withColumn("p", F.col("n") / F.col("all"))
-    most = part.groupBy("gram").agg(F.max("p").alias("most"))
+    most = part.groupBy("gram").agg(F.max(F.col("n") / (F.col("all") + F.lit(PRIOR))).alias("most"))
     own = part.join(most, "gram").filter(F.col("p") >= F.lit(share) * F.col("most"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("p"), "gram"))
-    kept = own.withColumn("k", rank).filter(F.col("k") <= per_language).select("lang", "gram").toPandas()      # at most per_language a language
+    kept = own.withColumn("k", rank).filter(F.col("k") <= per_language).select("lang", "gram", "all").toPandas()      # at most per_language a language
     languages = sorted(kept["lang"].unique())
     members = {k: v.to_numpy(np.int64).view(np.uint64) for k, v in kept.groupby("lang")["gram"]}
-    return Filters(languages, members) if languages else None
+    return Filters(languages, members, texts=kept.groupby("lang")["all"].first()[languages].to_numpy()) if languages else None
 
 
 def identify(docs: DataFrame, model: Filters | None, carry: bool = False) -> DataFrame:
     """doc_id, lang_pred, score of every row; with ``carry`` the whole row as struct ``given`` instead of doc_id.
 
     ``und`` with score 0 for a null text, one without a letter, or without a model. The score is the share of the text's trigrams
-    that the winner's filter holds, corrected for false positives; of equal languages the first by name wins.
+    that the winner's filter holds, corrected for false positives; of equal languages the one learned from more text wins.
     """
     names = np.array(model.languages if model else ["und"], object)
     given = docs.select(F.struct(*(F.col(c) for c in (docs.columns if carry else ["doc_id", "text"]))).alias("given"))
@@ -153,7 +163,7 @@ def identify(docs: DataFrame, model: Filters | None, carry: bool = False) -> Dat
             for a, b in _pieces(texts) if model else ():
                 g, n = grams(texts[a:b])
                 hits = model.hits(g, n)
-                best = hits.argmax(axis=1)
+                best = model.best(hits)
                 langs[a:b] = np.where(n > 0, names[best], "und")
                 scores[a:b] = np.clip(hits[np.arange(b - a), best] / np.maximum(n, 1), 0, 1)
             yield pa.RecordBatch.from_arrays([rows if carry else rows.field("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], names=["given" if carry else "doc_id", "lang_pred", "score"])

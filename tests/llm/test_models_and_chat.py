@@ -34,6 +34,17 @@ def test_language_edge_cases(spark):
     assert L.identify(frame(spark, rows), model, carry=True).select("given.*").columns == frame(spark, rows).columns
 
 
+def test_language_labels_with_one_short_document(spark):
+    """They take no trigram from a language with much text."""
+    english = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en' and length(text) > 500").limit(120).collect()]
+    train = [("en", t) for t in english[:90]]
+    tiny = [(f"a{k:02d}", t[40:100]) for k, t in enumerate(english[:30])]
+    docs = frame(spark, list(enumerate(english[90:] + [t for _, t in tiny])))
+    told = [{r.doc_id: r for r in L.identify(docs, L.learn(spark.createDataFrame(rows, "lang string, text string"))).collect()} for rows in (train, train + tiny)]
+    assert {told[1][i].lang_pred for i in range(30)} == {"en"}
+    assert all(told[1][i].score > told[0][i].score - 0.01 for i in told[0])
+
+
 def test_filters_hold_their_members_and_correct_false_positives():
     rng = np.random.default_rng(0)
     members = {f"l{k:02d}": rng.integers(0, 2**62, 3000).astype(np.uint64) for k in range(70)}        # more than one word of bits
