@@ -16,7 +16,8 @@ from paysieve.llm.decontaminate import decontaminate
 from paysieve.llm.exact_dedup import keep_documents
 from paysieve.llm.packing import pack
 
-#: Least share of a text's trigrams that its language must hold; below it the text is in none of the languages learned.
+#: Least share of a text's trigrams that its language must hold, of the share that it holds of its own texts; below it the text is in
+#: none of the languages learned.
 LEAST_SCORE = 0.2
 #: Near copies: words of a shingle and similarity in hundredths.
 SHINGLE, PERCENT = 5, 80
@@ -28,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labels teach; null texts, texts without letters and texts like no language go."""
     model = language_id.learn(docs.filter(~language_id.is_held_out(F.col("doc_id"))).select("text", "lang"))
     told = language_id.identify(docs, model, carry=True)
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("given.*")
+    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE * F.col("usual"))).select("given.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

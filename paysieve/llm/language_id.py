@@ -7,7 +7,8 @@ fill predicts, and the language with the most trigrams left decides.
 What a filter contains is learned from all labelled training rows: trigrams are counted per language on the executors, and a trigram
 belongs to each language in which its relative frequency is at least ``SHARE`` of the highest that is sure. Sure is what is left of
 a frequency when the label had ``PRIOR`` more trigrams, all of them others: so a label with little text strikes nothing from the
-filters of a large one.
+filters of a large one. All such trigrams are kept, and the filters are sized by them: the model grows with the distinct
+trigrams of the largest language, not with the number of rows.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import mix, workspace
 
-#: Trigrams in a language's filter, hash functions, and positions per trigram of all filters.
-GRAMS, HASHES, POSITIONS = 20_000, 3, 1 << 19
+#: Hash functions, least positions of the filters, and positions per trigram of the largest filter.
+HASHES, POSITIONS, SPREAD = 3, 1 << 19, 16
 #: A trigram belongs to a language that uses it at least half as often as any other surely does.
 SHARE = 0.5
 #: Trigrams that a label's text is thought to lack, when others are held against it.
@@ -96,21 +97,26 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 
 class Filters:
-    """Bit-sliced Bloom filters: ``slices[word][position]`` has the bits of 64 languages."""
+    """Bit-sliced Bloom filters: ``slices[word][position]`` has the bits of 64 languages, or of all in a shorter word."""
 
-    def __init__(self, languages: list[str], members: dict[str, np.ndarray], positions: int = POSITIONS, texts: np.ndarray | None = None):
-        self.languages, self.positions = languages, positions
+    def __init__(self, languages: list[str], members: dict[str, np.ndarray], positions: int | None = None, texts: np.ndarray | None = None, usual: np.ndarray | None = None):
+        self.languages, self.positions = languages, positions or max(POSITIONS, SPREAD * max(map(len, members.values())))
         self.texts = np.zeros(len(languages)) if texts is None else texts       # trigrams that each was learned from
-        self.slices = np.zeros((max(1, -(-len(languages) // 64)), positions), np.uint64)
+        self.usual = np.ones(len(languages)) if usual is None else usual        # the score to be expected of its texts
+        self.bits = next(b for b in (8, 16, 32, 64) if len(languages) <= b or b == 64)
+        self.slices = np.zeros((max(1, -(-len(languages) // self.bits)), self.positions), f"u{self.bits // 8}")
+        kind, fill = self.slices.dtype.type, []
         for k, lang in enumerate(languages):
-            for at in self._at(members[lang]):
-                np.bitwise_or.at(self.slices[k // 64], at, np.uint64(1 << k % 64))
-        fill = [float(np.mean((self.slices[k // 64] >> np.uint64(k % 64)) & np.uint64(1))) for k in range(len(languages))]
+            part = self.slices[k // self.bits]
+            own = np.unique(np.concatenate(self._at(members[lang])))
+            part[own] |= kind(1 << k % self.bits)
+            fill.append(len(own) / self.positions)
         self.false = np.array([f ** HASHES for f in fill])
 
     def _at(self, g: np.ndarray):
         h = mix(g)
-        return [((h >> np.uint64(20 * k)) % np.uint64(self.positions)).astype(np.int64) for k in range(HASHES)]
+        first, step = h & np.uint64(0xFFFFFFFF), h >> np.uint64(32) | np.uint64(1)
+        return [((first + np.uint64(k) * step) % np.uint64(self.positions)).astype(np.int64) for k in range(HASHES)]
 
     def hits(self, g: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         """Texts x languages: trigrams whose mask has the language, less the expected false positives."""
@@ -120,8 +126,8 @@ class Filters:
             mask = part[at[0]]
             for a in at[1:]:
                 mask &= part[a]
-            for k in range(64 * w, min(64 * w + 64, len(self.languages))):
-                sums = np.concatenate([[0], np.cumsum((mask >> np.uint64(k - 64 * w)) & np.uint64(1), dtype=np.int64)])
+            for k in range(self.bits * w, min(self.bits * (w + 1), len(self.languages))):
+                sums = np.concatenate([[0], np.cumsum((mask >> mask.dtype.type(k - self.bits * w)) & mask.dtype.type(1), dtype=np.int64)])
                 found, f = np.diff(sums[ends]), self.false[k]
                 out[:, k] = np.clip((found - per_text * f) / max(1e-9, 1 - f), 0, None)
         return out
@@ -133,24 +139,37 @@ class Filters:
         return order[hits[:, order].round(6).argmax(axis=1)]
 
 
-def learn(rows: DataFrame, per_language: int = GRAMS, share: float = SHARE) -> Filters | None:
-    """Filters from labelled rows (lang, text); rows without a language or text are left out. None where nothing is left."""
-    counts = workspace(rows.sparkSession).materialize(count_grams(rows.filter("lang is not null and text is not null")), "trigrams")
+def learn(rows: DataFrame, share: float = SHARE) -> Filters | None:
+    """Filters from labelled rows (lang, text); rows without a language or text are left out. None where nothing is left.
+
+    The score to be expected of a language's texts is the share of its training trigrams that its filter holds, less those that
+    occur once: without the row that has them they would not be in it.
+    """
+    ws = workspace(rows.sparkSession)
+    counts = ws.materialize(count_grams(rows.filter("lang is not null and text is not null")), "trigrams")
     part = counts.join(counts.groupBy("lang").agg(F.sum("n").alias("all")), "lang").withColumn("p", F.col("n") / F.col("all"))
     most = part.groupBy("gram").agg(F.max(F.col("n") / (F.col("all") + F.lit(PRIOR))).alias("most"))
     own = part.join(most, "gram").filter(F.col("p") >= F.lit(share) * F.col("most"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("p"), "gram"))
-    kept = own.withColumn("k", rank).filter(F.col("k") <= per_language).select("lang", "gram", "all").toPandas()      # at most per_language a language
-    languages = sorted(kept["lang"].unique())
-    members = {k: v.to_numpy(np.int64).view(np.uint64) for k, v in kept.groupby("lang")["gram"]}
-    return Filters(languages, members, texts=kept.groupby("lang")["all"].first()[languages].to_numpy()) if languages else None
+    own = ws.materialize(own.select("lang", "gram", "n", "all"), "members")
+    again = F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0))
+    known = {r["lang"]: r for r in own.groupBy("lang").agg(F.max("all").alias("all"), again.alias("again")).collect()}       # a row a language
+    languages = sorted(known)
+    got = own.select("lang", "gram").toArrow()                     # the model itself: distinct trigrams, 8 bytes each and the label
+    names = got.column("lang").combine_chunks().dictionary_encode()
+    which, grams_of = names.indices.to_numpy(), got.column("gram").to_numpy().view(np.uint64)
+    order = np.argsort(which, kind="stable")
+    parts = np.split(grams_of[order], np.cumsum(np.bincount(which, minlength=len(languages)))[:-1]) if languages else []
+    members = dict(zip(names.dictionary.to_pylist(), parts))
+    texts = np.array([known[k]["all"] for k in languages], float)
+    return Filters(languages, members, texts=texts, usual=np.array([known[k]["again"] for k in languages]) / texts) if languages else None
 
 
 def identify(docs: DataFrame, model: Filters | None, carry: bool = False) -> DataFrame:
-    """doc_id, lang_pred, score of every row; with ``carry`` the whole row as struct ``given`` instead of doc_id.
+    """doc_id, lang_pred, score, usual of every row; with ``carry`` the whole row as struct ``given`` instead of doc_id.
 
     ``und`` with score 0 for a null text, one without a letter, or without a model. The score is the share of the text's trigrams
     that the winner's filter holds, corrected for false positives; of equal languages the one learned from more text wins.
+    ``usual`` is the score to be expected of a text in the language told.
     """
     names = np.array(model.languages if model else ["und"], object)
     given = docs.select(F.struct(*(F.col(c) for c in (docs.columns if carry else ["doc_id", "text"]))).alias("given"))
@@ -159,17 +178,17 @@ def identify(docs: DataFrame, model: Filters | None, carry: bool = False) -> Dat
         for batch in batches:
             rows = batch.column(0)
             texts = [t or "" for t in rows.field("text").to_pylist()]
-            langs, scores = np.full(len(texts), "und", object), np.zeros(len(texts))
+            langs, scores, usual = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts))
             for a, b in _pieces(texts) if model else ():
                 g, n = grams(texts[a:b])
                 hits = model.hits(g, n)
                 best = model.best(hits)
-                langs[a:b] = np.where(n > 0, names[best], "und")
+                langs[a:b], usual[a:b] = np.where(n > 0, names[best], "und"), np.where(n > 0, model.usual[best], 0)
                 scores[a:b] = np.clip(hits[np.arange(b - a), best] / np.maximum(n, 1), 0, 1)
-            yield pa.RecordBatch.from_arrays([rows if carry else rows.field("doc_id"), pa.array(langs, pa.string()), pa.array(scores)], names=["given" if carry else "doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([rows if carry else rows.field("doc_id"), pa.array(langs, pa.string()), pa.array(scores), pa.array(usual)], names=["given" if carry else "doc_id", "lang_pred", "score", "usual"])
 
     first = T.StructField("given", given.schema[0].dataType) if carry else T.StructField("doc_id", docs.schema["doc_id"].dataType)
-    return given.mapInArrow(run, T.StructType([first, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return given.mapInArrow(run, T.StructType([first, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("usual", T.DoubleType())]))
 
 
 def is_held_out(doc_id, modulus: int = 3, rest: int = 1):

@@ -8,6 +8,7 @@ from corpus_fixture import documents, frame
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline as P
 from paysieve.llm import language_id as L, secret_scan as S, toxicity as X
 from paysieve.llm.chat_format import escape, format_chats, read_chats, unescape
 from paysieve.llm.queries import QUERIES
@@ -45,6 +46,27 @@ def test_language_labels_with_one_short_document(spark):
     assert all(told[1][i].score > told[0][i].score - 0.01 for i in told[0])
 
 
+def test_language_with_many_trigrams(spark):
+    """Nothing is cut from a filter, and what a language holds of its own texts sets its limit in the pipeline."""
+    rng = np.random.default_rng(1)
+    signs = lambda n: "".join(map(chr, rng.integers(0x4E00, 0x4E00 + 2000, n)))
+    words = [signs(4) for _ in range(25_000)]                                     # 100,000 trigrams
+    text = lambda n: " ".join(words[k] for k in rng.integers(0, len(words), n))
+    english = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("lang = 'en' and length(text) > 500").limit(60).collect()]
+    model = L.learn(spark.createDataFrame([("zh", text(1000)) for _ in range(150)] + [("en", t) for t in english], "lang string, text string"))
+    got = L.identify(frame(spark, [(k, text(300)) for k in range(5)]), model).collect()
+    assert all(r.lang_pred == "zh" and r.score > 0.95 for r in got)
+
+    mostly_new = lambda: " ".join(words[k] if j % 8 == 0 else signs(4) for j, k in enumerate(rng.integers(0, 50, 200)))
+    rows = [("zh", mostly_new()) for _ in range(60)] + [("en", t) for t in english] + [("en", "qzxv jqkw vxzj wqjx zvkq")] * 9
+    docs = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    held = {r.doc_id for r in docs.filter(L.is_held_out(F.col("doc_id"))).collect()}
+    docs = docs.filter(L.is_held_out(F.col("doc_id")) | (F.col("doc_id") < len(rows) - 9))
+    kept = {r.doc_id for r in P.language(spark, docs, SF).collect()}
+    clean, junk = {k for k in held if k < len(rows) - 9}, {k for k in held if k >= len(rows) - 9}
+    assert len(clean) > 30 and junk and clean <= kept and not junk & kept
+
+
 def test_filters_hold_their_members_and_correct_false_positives():
     rng = np.random.default_rng(0)
     members = {f"l{k:02d}": rng.integers(0, 2**62, 3000).astype(np.uint64) for k in range(70)}        # more than one word of bits
