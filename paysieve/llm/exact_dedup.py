@@ -153,12 +153,17 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_documents(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their columns. Of rows repeated with one id and one text, one stays."""
+    """The documents that stay, with their columns, whatever these are called.
+
+    Of equal texts (null counts as empty) the row with the largest doc_id stays, null ids last; of rows repeated with one id and one
+    text, one stays. An empty table gives an empty result.
+    """
     ws = workspace(docs.sparkSession)
-    verdict = ws.materialize(exact_dedup(docs), "verdict").filter("kept").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"))
-    marked = docs.withColumn("_fp0", F.xxhash64(normal(F.coalesce("text", F.lit("")))))
-    stay = marked.join(verdict, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_fp0") == F.col("_fp")), "left_semi")
-    repeated = ws.materialize(docs.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")), "repeated")
-    once = stay.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    again = stay.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "_fp0"])
-    return once.unionByName(again).drop("_fp0")
+    verdict = ws.materialize(exact_dedup(docs), "verdict").filter("kept").select("doc_id", "fp")
+    rows = docs.select(F.struct("*").alias("given"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(normal(F.coalesce("text", F.lit("")))).alias("fp"))
+    same = lambda a, b, *cs: [a[c].eqNullSafe(b[c]) for c in cs]
+    stay = rows.join(verdict, same(rows, verdict, "doc_id", "fp"), "left_semi")
+    repeated = ws.materialize(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    once = stay.join(repeated, same(stay, repeated, "doc_id"), "left_anti")
+    again = stay.join(repeated, same(stay, repeated, "doc_id"), "left_semi").dropDuplicates(["doc_id", "fp"])
+    return once.unionByName(again).select("given.*")

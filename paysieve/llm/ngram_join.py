@@ -62,7 +62,7 @@ class _Sets:
     def __init__(self, row, shingle: int):
         self.ids, self.texts = unpack(row.ids, row.ends, row.body)
         w = Words([t.translate(LOWER) for t in self.texts])
-        h = w.hashes()
+        h = w.keys()
         at = w.windows(shingle)
         grams, counts = window_hashes(h, at, shingle), np.maximum(0, w.per_doc - shingle + 1)
         ends, parts = np.concatenate([[0], np.cumsum(counts)]), []
@@ -289,19 +289,20 @@ def ngram_join(docs: DataFrame, shingle: int = 4, percent: int = 85, pivots: int
 
 
 def keep_documents(docs: DataFrame, shingle: int = 4, percent: int = 85) -> DataFrame:
-    """The documents of which ``kept`` is told, with their columns: one row of each component, and the rows without words.
+    """The documents of which ``kept`` is told, with their columns, whatever these are called: one row of each component, and the rows
+    without words (null and empty texts among them). An empty table gives an empty result.
 
     Rows are told apart by id and text, so neither rows without an id nor the rows of a repeated id share a verdict. Rows that are
     equal in both are one component: where one of them stays, the others go.
     """
     ws = workspace(docs.sparkSession)
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID)))
-    by = ["_id", "_sha"]
-    told = ngram_join(docs, shingle, percent, digests=True).groupBy(own.alias("_id"), F.col("text_sha256").alias("_sha"))
+    told = ngram_join(docs, shingle, percent, digests=True).groupBy(own.alias("id"), F.col("text_sha256").alias("sha"))
     told = told.agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("long")).alias("k")).filter("k < n")
-    told = ws.materialize(told.select(*by, (F.col("k") > 0).alias("_one")), "near-copies")
-    marked = docs.withColumns({"_id": own, "_sha": F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))})
-    stay, one = marked.join(told, by, "left_anti"), told.filter("_one")
+    told = ws.materialize(told.select("id", "sha", (F.col("k") > 0).alias("one")), "near-copies")
+    by, sha = ["id", "sha"], F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    rows = docs.select(F.struct("*").alias("given"), own.alias("id"), sha.alias("sha"))
+    stay, one = rows.join(told, by, "left_anti"), told.filter("one")
     if not one.isEmpty():
-        stay = stay.unionByName(marked.join(one, by, "left_semi").dropDuplicates(by))
-    return stay.select(*docs.columns)
+        stay = stay.unionByName(rows.join(one, by, "left_semi").dropDuplicates(by).select(*stay.columns))
+    return stay.select("given.*")

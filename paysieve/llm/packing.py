@@ -15,6 +15,7 @@ the counts of earlier tasks, so no length is sorted or gathered in one place.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
@@ -27,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import workspace
+from .common import LOWER, Words, workspace
 
 CAPACITY, END_ID, GROUPS = 4096, 1, 512
 #: Words whose ids a task remembers; then it starts anew.
 CACHED_WORDS = 500_000
 #: Bytes of text encoded at once.
-SLICE = 1_000_000
+SLICE = 2_000_000
 _coders: dict[str, "Coder"] = {}
 
 
@@ -46,8 +47,9 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Coder:
     """Ids of texts. Its pre-tokeniser never joins over ASCII blanks, so the ids of a text are those of its words in turn.
 
-    It lower-cases, and parts a letter or digit from a mark after it, so a new word in other case or before a stop or comma is put
-    together from known ones.
+    It lower-cases, and parts a letter or digit from a mark after it, so a word is looked up without its case and without one stop or
+    comma at its end. Words are parted, folded and made distinct as arrays; only the distinct ones of a slice become Python objects,
+    and only unknown ones go to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -57,6 +59,10 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends_word = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
+        spec = json.loads(self.tokenizer.to_str())         # for runs of letters, one blank apart and composed, blanks alone part the words
+        spec |= {"normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "CharDelimiterSplit", "delimiter": " "}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.letters = Tokenizer.from_str(json.dumps(spec))
         self._forget()
 
     def _forget(self) -> None:
@@ -88,53 +94,76 @@ class Coder:
             group = [w for w, x in zip(words, letters) if x == plain]
             for k in range(0, len(group), 4000):
                 part = group[k:k + 4000]
-                code = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-                ids = np.array(code.ids, np.int64)
+                joined = b" ".join(part).decode()
                 if plain:
+                    ids = np.array(self.letters.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
                     n = np.diff(np.concatenate([[-1], np.flatnonzero(self.ends_word[ids])]))
-                elif len(ids):
-                    at = np.cumsum([0] + [len(w.decode()) + 1 for w in part[:-1]])
-                    n = np.bincount(np.searchsorted(at, [o for o, _ in code.offsets], "right") - 1, minlength=len(part))
                 else:
-                    n = np.zeros(len(part), np.int64)
+                    code = self.tokenizer.encode(joined, add_special_tokens=False)
+                    ids, n = np.array(code.ids, np.int64), np.zeros(len(part), np.int64)
+                    if len(ids):
+                        at = np.cumsum([0] + [len(w.decode()) + 1 for w in part[:-1]])
+                        n = np.bincount(np.searchsorted(at, [o for o, _ in code.offsets], "right") - 1, minlength=len(part))
                 if len(n) != len(part) or n.sum() != len(ids):
                     raise RuntimeError("the vocabulary does not part words at blanks")
                 self._add(part, ids, n)
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Makes all words known."""
-        known = self.index
-        low = [w if b"<|" in w else w.lower() for w in words]                     # a special token is known by its case
-        core = [x.rstrip(b".,") for x in low]
-        core = [c if c[-1:].isalnum() else w for c, w in zip(core, words)]
-        tail = [b"" if c is w else x[len(c):] for c, w, x in zip(core, words, low)]
-        self._ask(list(dict.fromkeys([c for c in core if c not in known] + [t for t in set(tail) if t and t not in known])))
-        double = []
-        for w, c, t in zip(words, core, tail):
-            if w not in known:
-                if t:
-                    double.append((w, c, t))
-                else:
-                    known[w] = known[c]
-        if double:
-            ids, n = self._gather(np.array([known[x] for d in double for x in d[1:]], np.int64))
-            self._add([d[0] for d in double], ids, n.reshape(-1, 2).sum(axis=1))
+    def _rows_of(self, words: list[bytes]) -> np.ndarray:
+        """Where the ids of each word stand."""
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        if len(missing := np.flatnonzero(at < 0)):
+            self._ask(list(dict.fromkeys(words[i] for i in missing)))
+            at[missing] = [self.index[words[i]] for i in missing]
+        return at
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text begins and the last ends."""
         if len(self.index) > CACHED_WORDS:
             self._forget()
-        split = [t.split() for t in texts]
-        words = [w for s in split for w in s]
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            new = list(dict.fromkeys(words[i] for i in missing))
-            self._learn(new)
-            at[missing] = [self.index[words[i]] for i in missing]
-        ids, n = self._gather(at)
+        w = Words(texts)
+        buf = np.frombuffer(w.data.translate(LOWER), np.uint8)
+        at = w.data.find(b"<|")
+        if at >= 0:                                                              # a special token is known by its case
+            buf, raw = buf.copy(), w.buf
+            while at >= 0:
+                i = int(np.searchsorted(w.starts, at, "right")) - 1
+                buf[w.starts[i]:w.ends[i]] = raw[w.starts[i]:w.ends[i]]
+                at = w.data.find(b"<|", int(w.ends[i]))
+        w.data, w.buf = buf.tobytes(), buf
+        last, before = buf[w.ends - 1], buf[np.maximum(w.ends - 2, 0)]
+        tail = np.isin(last, _STOPS) & _ALNUM[before] & (w.ends - w.starts > 1)
+        w.ends = w.ends - tail
+        _, first, which = np.unique(w.keys(), return_index=True, return_inverse=True)
+        _check_equal(w, first[which])
+        data, known = w.data, [bytes([x]) for x in _STOPS]
+        rows = self._rows_of([data[a:b] for a, b in zip(w.starts[first].tolist(), w.ends[first].tolist())] + known)
+        stops = np.zeros(256, np.int64)
+        stops[_STOPS] = rows[len(first):]
+        order = np.empty(len(w.starts) + int(tail.sum()), np.int64)
+        place = np.arange(len(w.starts)) + np.cumsum(tail) - tail
+        order[place] = rows[which]
+        order[place[tail] + 1] = stops[last[tail]]
+        ids, n = self._gather(order)
         ends = np.concatenate([[0], np.cumsum(n)])
-        return ids, ends[np.concatenate([[0], np.cumsum([len(s) for s in split], dtype=np.int64)])]
+        upto = np.concatenate([[0], w.after]).astype(np.int64)                   # words, then words and stops, before each text
+        return ids, ends[upto + np.concatenate([[0], np.cumsum(tail)])[upto]]
+
+
+_STOPS = np.frombuffer(b".,", np.uint8)
+_ALNUM = np.array([bytes([x]).isalnum() for x in range(256)])
+
+
+def _check_equal(w: Words, other: np.ndarray) -> None:
+    """Words with one key must be one word, byte by byte."""
+    size = w.ends - w.starts
+    if (size != size[other]).any():
+        raise RuntimeError("two words with one key")
+    for lo in range(0, len(size), 1 << 18):
+        n = size[lo:lo + (1 << 18)]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        a, b = (np.repeat(x[lo:lo + (1 << 18)], n) + inside for x in (w.starts, w.starts[other]))
+        if (w.buf[a] != w.buf[b]).any():
+            raise RuntimeError("two words with one key")
 
 
 def _is_letters(text: str) -> bool:

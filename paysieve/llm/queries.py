@@ -17,6 +17,7 @@ from .ngram_join import ngram_join
 from .packing import pack
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
+from .url_filter import filter_urls, junk_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,3 +166,26 @@ def op6(spark, sf_dir):
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(F.filter("spans", lambda s: s["kind"] != "crf")), 256).alias("base_sha256"),
                         listed(F.col("spans")).alias("spans"))
+
+
+_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+_URL = r"(?s)^.*?://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
+
+
+@query("op13_url_filter", rf"""
+WITH u AS (SELECT page_id, html, url, translate(regexp_extract(coalesce(url, ''), '{_URL}', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '{_URL}', 2) AS path, regexp_extract(coalesce(url, ''), '{_URL}', 3) AS q FROM pages),
+k AS (SELECT *, array_to_string(list_sort([x for x in string_split(q, '&') if x <> '' and not regexp_matches(x, '^(utm_[a-z]+|fbclid|gclid|ref)(=|$)')]), '&') AS kept FROM u),
+c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '/+$', '')
+  || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END END AS canonical FROM k),
+listed AS (SELECT DISTINCT canonical AS key FROM c WHERE length(html) > 0 AND (length(html) - length(translate(html, '%#*$', ''))) * 25 >= length(html) AND canonical IS NOT NULL),
+rules(says, rule, rhost, rpath) AS (VALUES {", ".join(f"('{a}', '{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for a, r in _RULES)}),
+best AS (SELECT page_id, url, max_by(rule, length(rule)) AS rule, max_by(says, length(rule)) AS says FROM c JOIN rules
+  ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id, url)
+SELECT c.page_id, host, path, best.rule, coalesce(says, CASE WHEN l.key IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, canonical,
+  says IS NULL AND l.key IS NOT NULL AS listed
+FROM c LEFT JOIN best ON best.page_id = c.page_id AND best.url = c.url LEFT JOIN listed l ON l.key = c.canonical""")
+def op13(spark, sf_dir):
+    """Every page's URL, by rules and by a list: the canonical URLs of pages that are crowded with marks."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return filter_urls(pages, junk_pages(pages), _RULES)

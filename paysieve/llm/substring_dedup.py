@@ -36,7 +36,7 @@ class _Block:
         self.ids, self.texts = unpack(row.ids, row.ends, row.body)
         self.window, (self.period, cover, self.anchor) = window, cover_for(window)
         self.w = Words(self.texts)
-        self.h = self.w.hashes()
+        self.h = self.w.keys()
         starts = self.w.windows(window)
         self.starts = starts
         inside = np.arange(len(self.h)) - np.repeat(self.w.first, self.w.per_doc)

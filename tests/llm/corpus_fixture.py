@@ -35,7 +35,8 @@ def frame(spark, rows):
 
     df = spark.createDataFrame(rows, "doc_id long, text string")
     return df.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"),
-                     *(F.lit(1).alias(c) for c in ("row", "block", "n", "shard", "score", "spans", "given", "fp", "rank", "chunk", "lang_pred", "key", "size")))
+                     *(F.lit(1).alias(c) for c in ("row", "block", "n", "shard", "score", "spans", "given", "fp", "rank", "chunk", "lang_pred", "key", "size",
+                                              "_id", "_fp", "_fp0", "_sha", "_one", "_conv", "id", "sha", "one", "told", "kept", "cls", "comp", "class_id")))
 
 
 def split(text):

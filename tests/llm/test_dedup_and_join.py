@@ -8,8 +8,9 @@ from corpus_fixture import ITEMS, components, documents, exact, frame, hits, pas
 from hypothesis import given, settings, strategies as st
 
 from paysieve.llm.decontaminate import Automaton, decontaminate
-from paysieve.llm.exact_dedup import exact_dedup, golomb_decode, golomb_encode, keep_documents
-from paysieve.llm.ngram_join import boundary, filed, ngram_join, overlap, partners, subsets_of
+from paysieve.llm.exact_dedup import exact_dedup, golomb_decode, golomb_encode, keep_documents as exact_dedup_stage
+from paysieve.llm.common import Words
+from paysieve.llm.ngram_join import boundary, filed, keep_documents as near_stage, ngram_join, overlap, partners, subsets_of
 from paysieve.llm.substring_dedup import COVERS, substring_dedup
 
 
@@ -41,7 +42,7 @@ def test_exact(spark):
 def test_exact_keeps_documents(spark):
     rows = documents()
     df = frame(spark, rows)
-    got = keep_documents(df)
+    got = exact_dedup_stage(df)
     assert got.columns == df.columns
     kept = got.collect()
     assert len({(r.text or "").lower() for r in kept if (r.text or "").isascii()}) == sum((r.text or "").isascii() for r in kept)
@@ -139,3 +140,33 @@ def test_many_owners_of_hash_ranges(spark, monkeypatch):
     same([(r.doc_id, r.keep_id, r.group_size) for r in exact_dedup(df).collect()], exact(rows))
     same([(r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup(df).collect()], substring(rows))
     same([(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join(df).collect()], components(rows))
+
+
+def thue_morse(n):
+    """Two words of ``n`` letters that a polynomial in the bytes modulo a power of two cannot tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_weak_hashes_confuse(spark, n):
+    one, other = thue_morse(n)
+    rows = [(1, passage(3, 12) + " " + one), (2, passage(3, 12) + " " + other), (3, one), (4, other)]
+    assert [r.n_removed for r in substring_dedup(frame(spark, rows)).collect()] == [0] * 4
+    assert {(r.doc_id, r.component_id) for r in ngram_join(frame(spark, rows[2:])).collect()} == {(3, 3), (4, 4)}
+    got = ngram_join(frame(spark, rows[:2]), 4, 85).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == set(components(rows[:2]))
+
+
+def test_word_keys():
+    words = [bytes([97 + k % 26]) * n for n in (*range(1, 20), 31, 32, 33, 64, 500) for k in range(26)] + [x.encode() for n in (8, 64, 1024) for x in thue_morse(n)]
+    assert len(set(Words([b" ".join(words)]).keys().tolist())) == len(set(words))
+    assert (Words([b" ".join(words)]).keys(7) == Words(words).keys()).all()
+
+
+def test_columns_of_any_name_are_kept(spark):
+    docs = frame(spark, documents())
+    marks = [c for c in docs.columns if c not in ("doc_id", "text")]
+    for stage in (exact_dedup_stage, near_stage):
+        kept = stage(docs)
+        assert kept.schema == docs.schema and kept.select(*marks).distinct().exceptAll(docs.select(*marks).distinct()).isEmpty()
