@@ -264,3 +264,33 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
     first = marked.filter("_hot").drop("_hot")
     rest = marked.filter("_hot is null").drop("_hot", *apart).join(cold, keys, "left")
     return first.unionByName(rest)
+
+
+def digest_pieces(pieces: DataFrame, key: str, order: str, body: str, sep: bytes, parts: int, name: str, shown=bytes) -> DataFrame:
+    """``key`` (declared as "name type") and ``name``: the SHA-256 of a key's pieces in their order, each ``shown`` as bytes, ``sep`` between.
+
+    The pieces of a key stream through one task, whose state is the hash; so what is hashed is never whole in memory.
+    """
+    of = key.split()[0]
+
+    def run(batches):
+        now, h = None, None
+        for b in batches:
+            done = []
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                if h is None or k != now:
+                    done += [] if h is None else [(now, h.hexdigest())]
+                    now, h = k, hashlib.sha256()
+                else:
+                    h.update(sep)
+                h.update(shown(x.as_py()))
+            if done:
+                yield _digests(done, b.column(0).type)
+            kind = b.column(0).type
+        if h is not None:
+            yield _digests([(now, h.hexdigest())], kind)
+
+    def _digests(rows, kind):
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], kind), pa.array([d for _, d in rows], pa.string())], names=[of, name])
+
+    return pieces.repartition(parts, of).sortWithinPartitions(of, order).select(of, body).mapInArrow(run, f"{key}, {name} string")

@@ -355,7 +355,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, end_id
 
     earlier = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select("chunk", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift"))
-    ranked = stored.join(shift, ["chunk", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("shift") + F.col("rank")).alias("q"))
+    ranked = stored.join(shift.hint("merge"), ["chunk", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("shift") + F.col("rank")).alias("q"))
     placed = ranked.mapInArrow(place, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, q long")
     offset = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("q").rowsBetween(Window.unboundedPreceding, -1))
     return placed.withColumn("offset", F.coalesce(offset, F.lit(0)).cast("long")).drop("q")

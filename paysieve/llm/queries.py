@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from .common import table
 from . import secret_scan, toxicity
 from .chat_format import NO_CONVERSATION, format_chats, read_chats
+from .cross_align import align_tokens
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .language_id import identify, is_held_out, learn
 from .ngram_join import ngram_join
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .sharding import shard_documents
 from .substring_dedup import substring_dedup
 from .url_filter import filter_urls, junk_pages
@@ -189,3 +191,34 @@ def op13(spark, sf_dir):
     """Every page's URL, by rules and by a list: the canonical URLs of pages that are crowded with marks."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return filter_urls(pages, junk_pages(pages), _RULES)
+
+
+_CRC = """(SELECT list(list_reduce(list_concat([i], range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+@query("op12_prefix_trie", rf"""
+WITH crc AS {_CRC},
+c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS name
+  FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT conv_id, list(name ORDER BY turn NULLS FIRST, role, name) AS names, list(CAST(length(text) AS BIGINT) ORDER BY turn NULLS FIRST, role, name) AS lens FROM c GROUP BY conv_id),
+h AS (SELECT s.*, xor(list_reduce(list_concat([4294967295], [CAST(ascii(x) AS BIGINT) for x in string_split(CAST(conv_id AS VARCHAR), '')]),
+  lambda v, x: xor(v // 256, t[(xor(v, x) % 256) + 1])), 4294967295) % 6 AS h FROM s, crc),
+r AS (SELECT h.conv_id, list_concat(list_slice(coalesce(b.names, []), 1, h.h), list_slice(h.names, h.h + 1, len(h.names))) AS names,
+  list_concat(list_slice(coalesce(b.lens, []), 1, h.h), list_slice(h.lens, h.h + 1, len(h.lens))) AS lens FROM h LEFT JOIN s b ON b.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, d, list_slice(names, 1, d) AS k, CASE WHEN d = 0 THEN 0 ELSE lens[d] END AS n, len(names) = d AS ends FROM r, unnest(range(0, len(names) + 1)) u(d)),
+nodes AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n,
+  sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, list_slice(k, 1, d - 1) AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+told AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, k)),
+below AS (SELECT a AS d, list_slice(k, 1, a) AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * n) AS saved_tokens FROM told, unnest(range(0, d + 1)) u(a) GROUP BY 1, 2)
+SELECT told.conv_id, told.d AS depth, up.conv_id AS parent_conv_id, told.n_convs, told.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, told.ends_sha256
+FROM told JOIN below ON below.d = told.d AND below.k = told.k LEFT JOIN nodes up ON up.d = told.d - 1 AND up.k = list_slice(told.k, 1, told.d - 1)""")
+def op12(spark, sf_dir):
+    """The trie of all conversations, each with the first turns of its hundred's first."""
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_cross_align")
+def op11(spark, sf_dir):
+    """Tokens of two public tokenizers over every document, aligned and counted."""
+    return align_tokens(table(spark, sf_dir, "documents"))

@@ -17,7 +17,7 @@ def test_against_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11)) and len(P.STAGES) == 5
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14)) and len(P.STAGES) == 5
 
 
 @pytest.fixture(scope="module")
