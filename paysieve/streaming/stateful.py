@@ -1,14 +1,20 @@
-"""Stateful streaming operators on ``transformWithStateInPandas``.
+"""Stateful streaming operators on ``transformWithStateInPandas``, in event time.
 
-State is kept per key in the state store and stays small: counters, one row, or the last hour of events. Rows of a
-micro-batch are taken in (ms, seq) order per key, and time is the row's own ``ms``.
+Rows may arrive in any order within the watermark's delay. Each operator keeps them in a buffer of time buckets (map state) and takes a
+bucket in (ms, seq) order once the watermark has passed its end, so its result is that of the batch operator over the same rows. A row
+older than the watermark on arrival is not merged into anything: it comes out at once with ``late`` set and nothing else but its key and
+``seq``. State that time has made useless is removed by timers, so an idle key holds none.
+
+The watermark moves with the data. A source that falls idle sends a row that only carries time (``time_mark``) to let the last rows out.
 """
 
 from __future__ import annotations
 
+import io
+import pickle
 import sys
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
@@ -24,78 +30,192 @@ def rocksdb(spark) -> None:
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    parts = list(batches)
-    return pd.concat(parts, ignore_index=True).sort_values(["ms", "seq"], kind="stable") if parts else pd.DataFrame()
+def time_mark(df: DataFrame, at_ms: int, **fixed) -> DataFrame:
+    """One row with the columns of ``df`` that only moves the watermark: no ``seq``, empty texts, and what ``fixed`` says."""
+    def value(name, kind):
+        if name in fixed:
+            return F.lit(fixed[name])
+        return F.lit(at_ms) if name == "ms" else F.lit("") if kind == "string" else F.lit(None)
 
+    return df.sparkSession.range(1).select(*(value(n, k).cast(k).alias(n) for n, k in df.dtypes))
 
-class _Replay(StatefulProcessor):
-    """First sighting and count of a nonce; a sighting expires ``ttl`` after the first one, reuse does not renew it."""
 
-    def __init__(self, ttl_ms):
-        self.ttl = ttl_ms
+def on_time(df: DataFrame) -> DataFrame:
+    """The results of an operator without its late rows."""
+    return df.filter("not late").drop("late")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "first_ms bigint, times bigint")
 
-    def handleInputRows(self, key, rows, timerValues):
-        d = _ordered(rows)
-        first, times = self.seen.get() if self.seen.exists() else (None, 0)
-        out = []
-        for seq, ms in zip(d["seq"], d["ms"]):
-            if first is None or (self.ttl is not None and ms - first > self.ttl):
-                first, times = int(ms), 0
-            times += 1
-            out.append((int(seq), key[0], times, first))
-        self.seen.update((first, times))
-        yield pd.DataFrame(out, columns=["seq", "nonce_key", "nonce_seen", "nonce_first_ms"])
+def late_rows(df: DataFrame) -> DataFrame:
+    """The side output: what came after the watermark had passed it."""
+    return df.filter("late").drop("late")
 
-    def close(self) -> None:
-        pass
 
+def _unpack(data: bytes) -> list[tuple]:
+    out, f = [], io.BytesIO(data)
+    while f.tell() < len(data):
+        out += pickle.load(f)
+    return out
+
+
+class _Timed(StatefulProcessor):
+    """Rows in event-time order: a buffer by time bucket, released by timers.
+
+    ``fold`` takes the sorted rows of a bucket, ``settle`` is told that every row before ``horizon`` has been taken. Both give result
+    rows. A bucket is one state value, so a micro-batch rewrites only the buckets it adds to, and memory holds one bucket of one key.
+    """
 
-class _Velocity(StatefulProcessor):
-    """Rows in the last minute and USD in the last hour, this row included."""
+    columns: tuple[str, ...] = ()
+    result: tuple[str, ...] = ()
+
+    def __init__(self, size: int = MINUTE):
+        self.size = size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getListState("events", "ms bigint, usd double")
+        self.handle = handle
+        self.buffer = handle.getMapState("buffer", "bucket bigint", "rows binary")
+        self.open(handle)
+
+    def open(self, handle) -> None:
+        raise NotImplementedError
+
+    def fold(self, key, bucket, rows) -> list[tuple]:
+        raise NotImplementedError
+
+    def settle(self, key, horizon) -> list[tuple]:
+        return []
+
+    def late(self, key, ms, seq) -> tuple:
+        """What is told of a late row; what follows is null."""
+        return (seq, *key)
+
+    def expire(self, at: int) -> None:
+        """Asks to be called once every row up to ``at`` has been taken."""
+        self.handle.registerTimer((at // self.size + 1) * self.size)
+
+    def _frame(self, rows, late=False) -> pd.DataFrame:
+        width = len(self.result)
+        return pd.DataFrame([(*r, *(None,) * (width - len(r)), late) for r in rows], columns=[*self.result, "late"], dtype=object)
 
     def handleInputRows(self, key, rows, timerValues):
-        d = _ordered(rows)
-        past = [(int(t), float(u)) for t, u in self.events.get()]
-        out, lo, lo_min, total = [], 0, 0, sum(u for _, u in past)
-        for seq, ms, usd in zip(d["seq"], d["ms"], d["usd"].fillna(0.0)):
-            while lo < len(past) and ms - past[lo][0] >= HOUR:
-                total -= past[lo][1]
-                lo += 1
-            lo_min = max(lo_min, lo)
-            while lo_min < len(past) and ms - past[lo_min][0] >= MINUTE:
-                lo_min += 1
-            past.append((int(ms), float(usd)))
-            total += float(usd)
-            out.append((int(seq), key[0], len(past) - lo_min, round(total, 9)))
-        self.events.put(past[lo:])
-        yield pd.DataFrame(out, columns=["seq", "agent_key", "per_minute", "hour_usd"])
+        mark = timerValues.getCurrentWatermarkInMs()
+        for d in rows:
+            d = d[d["seq"].notna()]
+            old = d["ms"] < mark
+            yield self._frame([self.late(key, int(ms), int(seq)) for ms, seq in zip(d["ms"][old], d["seq"][old])], True)
+            d = d[~old]
+            for bucket, part in d.groupby(d["ms"] // self.size):
+                at = (int(bucket),)
+                held = self.buffer.getValue(at)[0] if self.buffer.containsKey(at) else b""
+                if not held:
+                    self.handle.registerTimer((at[0] + 1) * self.size)
+                fresh = list(part[["ms", "seq", *self.columns]].itertuples(index=False, name=None))
+                self.buffer.updateValue(at, (bytes(held) + pickle.dumps(fresh),))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs()
+        for bucket in sorted(b for (b,) in list(self.buffer.keys()) if (b + 1) * self.size <= mark):
+            rows = sorted(_unpack(bytes(self.buffer.getValue((bucket,))[0])), key=lambda r: r[:2])
+            self.buffer.removeKey((bucket,))
+            yield self._frame(self.fold(key, bucket, rows))
+        yield self._frame(self.settle(key, mark // self.size * self.size))
 
     def close(self) -> None:
         pass
 
 
-class _Pins(StatefulProcessor):
+def _number(x) -> float:
+    return 0.0 if x is None or x != x else float(x)
+
+
+class _Replay(_Timed):
+    """First sighting and count of a nonce; a sighting expires ``ttl`` after the first one, reuse does not renew it."""
+
+    result = ("seq", "nonce_key", "nonce_seen", "nonce_first_ms")
+
+    def __init__(self, ttl_ms):
+        super().__init__()
+        self.ttl = ttl_ms
+
+    def open(self, handle):
+        self.seen = handle.getValueState("seen", "first_ms bigint, times bigint")
+
+    def fold(self, key, bucket, rows):
+        first, times = self.seen.get() if self.seen.exists() else (None, 0)
+        before, out = first, []
+        for ms, seq in rows:
+            if first is None or (self.ttl is not None and ms - first > self.ttl):
+                first, times = int(ms), 0
+            times += 1
+            out.append((int(seq), key[0], times, first))
+        self.seen.update((first, times))
+        if self.ttl is not None and first != before:
+            self.expire(first + self.ttl)
+        return out
+
+    def settle(self, key, horizon):
+        if self.ttl is not None and self.seen.exists() and horizon > self.seen.get()[0] + self.ttl:
+            self.seen.clear()
+        return []
+
+
+class _Velocity(_Timed):
+    """Rows in the last minute and USD in the last hour, this row included.
+
+    A minute is a bucket, kept as its rows and their sum. A row needs the sums of the 59 minutes before its own, and single rows of three
+    minutes only: its own, the one before it, and the one an hour before it.
+    """
+
+    columns, result = ("usd",), ("seq", "agent_key", "per_minute", "hour_usd")
+    minutes = HOUR // MINUTE
+
+    def open(self, handle):
+        self.sums = handle.getMapState("sums", "bucket bigint", "usd double")
+        self.past = handle.getMapState("past", "bucket bigint", "rows binary")
+
+    def _rows(self, bucket: int) -> np.ndarray:
+        data = bytes(self.past.getValue((bucket,))[0]) if self.past.containsKey((bucket,)) else b""
+        return np.frombuffer(data, np.float64).reshape(2, -1)
+
+    def fold(self, key, bucket, rows):
+        ms, usd = np.array([r[0] for r in rows], np.int64), np.array([_number(r[2]) for r in rows])
+        inside = sum(s for (b,), (s,) in self.sums.iterator() if bucket - self.minutes < b < bucket)
+        far, near = self._rows(bucket - self.minutes), self._rows(bucket - 1)
+        upto = np.concatenate([[0.0], np.cumsum(far[1])])
+        edge = upto[-1] - upto[np.searchsorted(far[0], ms - HOUR, "right")]
+        minute = near.shape[1] - np.searchsorted(near[0], ms - MINUTE, "right") + np.arange(1, len(rows) + 1)
+        hour = edge + inside + np.cumsum(usd)
+        self.past.updateValue((bucket,), (np.stack([ms.astype(np.float64), usd]).tobytes(),))
+        self.sums.updateValue((bucket,), (float(usd.sum()),))
+        self._forget(bucket - self.minutes)
+        self.expire((bucket + 1) * MINUTE + HOUR)
+        return [(int(r[1]), key[0], int(n), round(float(h), 9)) for r, n, h in zip(rows, minute, hour)]
+
+    def _forget(self, before: int) -> None:
+        for (b,) in list(self.sums.keys()):
+            if b < before:
+                self.sums.removeKey((b,))
+                self.past.removeKey((b,))
+
+    def settle(self, key, horizon):
+        self._forget(horizon // MINUTE - self.minutes)
+        return []
+
+
+class _Pins(_Timed):
     """First payee of a domain; a row of kind ``clear`` forgets it; blocked rows never set it."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    columns, result = ("pay_to", "kind"), ("seq", "domain", "check_id", "times_seen")
+
+    def open(self, handle):
         self.pin = handle.getValueState("pin", "pay_to string, first_ms bigint, times bigint")
 
-    def handleInputRows(self, key, rows, timerValues):
-        d = _ordered(rows)
+    def fold(self, key, bucket, rows):
         pin = tuple(self.pin.get()) if self.pin.exists() else None
         out = []
-        for seq, ms, payee, kind in zip(d["seq"], d["ms"], d["pay_to"], d["kind"]):
+        for ms, seq, payee, kind in rows:
             if kind == "clear":
                 pin = None
-                continue
-            if pin is None:
+            elif pin is None:
                 out.append((int(seq), key[0], "pin.created", 1))
                 if kind != "blocked":
                     pin = (payee, int(ms), 1)
@@ -105,87 +225,142 @@ class _Pins(StatefulProcessor):
             else:
                 out.append((int(seq), key[0], "pin.mismatch", pin[2]))
         self.pin.clear() if pin is None else self.pin.update(pin)
-        yield pd.DataFrame(out, columns=["seq", "domain", "check_id", "times_seen"])
-
-    def close(self) -> None:
-        pass
+        return out
 
 
-class _Spend(StatefulProcessor):
+class _Spend(_Timed):
     """Spend of a pair before each row, and whether it unlocks the deep tier."""
 
+    columns, result = ("usd",), ("seq", "agent_key", "pay_to", "prior_usd", "unlocked")
+
     def __init__(self, threshold):
+        super().__init__()
         self.threshold = threshold
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle):
         self.total = handle.getValueState("total", "usd double")
 
-    def handleInputRows(self, key, rows, timerValues):
-        d = _ordered(rows)
-        total = float(self.total.get()[0]) if self.total.exists() else 0.0
-        out = []
-        for seq, usd in zip(d["seq"], d["usd"].fillna(0.0)):
+    def fold(self, key, bucket, rows):
+        total, out = float(self.total.get()[0]) if self.total.exists() else 0.0, []
+        for ms, seq, usd in rows:
+            usd = _number(usd)
             out.append((int(seq), key[0], key[1], round(total, 9), bool(usd < self.threshold <= total + usd)))
-            total += max(float(usd), 0.0)
+            total += max(usd, 0.0)
         self.total.update((total,))
-        yield pd.DataFrame(out, columns=["seq", "agent_key", "pay_to", "prior_usd", "unlocked"])
+        return out
 
-    def close(self) -> None:
-        pass
 
+class _RateLimit(_Timed):
+    """Sliding log of allowed hits only, at most ``limit`` of them."""
 
-class _RateLimit(StatefulProcessor):
-    """Sliding log of allowed hits only."""
+    result = ("seq", "key", "allowed")
 
     def __init__(self, limit, window_ms):
+        super().__init__()
         self.limit, self.window = limit, window_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle):
         self.hits = handle.getListState("hits", "ms bigint")
 
-    def handleInputRows(self, key, rows, timerValues):
-        d = _ordered(rows)
+    def fold(self, key, bucket, rows):
         hits, lo, out = [int(h[0]) for h in self.hits.get()], 0, []
-        for seq, ms in zip(d["seq"], d["ms"]):
+        for ms, seq in rows:
             while lo < len(hits) and ms - hits[lo] >= self.window:
                 lo += 1
             ok = len(hits) - lo < self.limit
             if ok:
                 hits.append(int(ms))
             out.append((int(seq), key[0], ok))
-        self.hits.put([(h,) for h in hits[lo:]])
-        yield pd.DataFrame(out, columns=["seq", "key", "allowed"])
+        if hits[lo:]:
+            self.hits.put([(h,) for h in hits[lo:]])
+            self.expire(hits[-1] + self.window - 1)
+        else:
+            self.hits.clear()
+        return out
 
-    def close(self) -> None:
-        pass
+    def settle(self, key, horizon):
+        hits = [int(h[0]) for h in self.hits.get()]
+        if hits and horizon - hits[-1] >= self.window:
+            self.hits.clear()
+        return []
 
 
-class _Provenance(StatefulProcessor):
+class _Provenance(_Timed):
     """What the agent read or noted since its last payment; used once, readings lapse after ``ttl``."""
 
+    columns, result = ("kind",), ("seq", "agent_key", "origin", "observation_seq")
+
     def __init__(self, ttl_ms, default):
+        super().__init__()
         self.ttl, self.default = ttl_ms, default
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle):
         self.last = handle.getValueState("last", "ms bigint, seq bigint, kind string")
 
-    def handleInputRows(self, key, rows, timerValues):
-        d = _ordered(rows)
-        last = tuple(self.last.get()) if self.last.exists() else None
-        out = []
-        for seq, ms, kind in zip(d["seq"], d["ms"], d["kind"]):
+    @staticmethod
+    def _is_note(last) -> bool:
+        return last[2] in ("planning", "user_instruction")
+
+    def fold(self, key, bucket, rows):
+        last, out = tuple(self.last.get()) if self.last.exists() else None, []
+        for ms, seq, kind in rows:
             if kind != "payment":
                 last = (int(ms), int(seq), kind)
                 continue
-            note = last is not None and last[2] in ("planning", "user_instruction")
+            note = last is not None and self._is_note(last)
             use = last is not None and (note or ms - last[0] <= self.ttl)
             out.append((int(seq), key[0], last[2] if use else self.default, last[1] if use and not note else None))
             last = None
-        self.last.clear() if last is None else self.last.update(last)
-        yield pd.DataFrame(out, columns=["seq", "agent_key", "origin", "observation_seq"]).astype({"observation_seq": "Int64"})
-
-    def close(self) -> None:
-        pass
+        if last is None:
+            self.last.clear()
+        else:
+            self.last.update(last)
+            if not self._is_note(last):
+                self.expire(last[0] + self.ttl)
+        return out
+
+    def settle(self, key, horizon):
+        if self.last.exists() and not self._is_note(last := self.last.get()) and horizon > last[0] + self.ttl:
+            self.last.clear()
+        return []
+
+
+class _Sessions(_Timed):
+    """Ranges of beats no more than ``gap`` apart. A range comes out when time has passed its last beat by more than the gap, or at a row
+    of kind ``close``; equal times are one beat."""
+
+    columns = ("kind",)
+
+    def __init__(self, gap_ms, keys):
+        super().__init__()
+        self.gap, self.result = gap_ms, (*keys, "from_ms", "to_ms", "beats")
+
+    def open(self, handle):
+        self.now = handle.getValueState("range", "first bigint, last bigint, beats bigint")
+
+    def late(self, key, ms, seq):
+        return (*key, ms, ms, 1)
+
+    def fold(self, key, bucket, rows):
+        cur, out = tuple(self.now.get()) if self.now.exists() else None, []
+        for ms, _, kind in rows:
+            if cur is not None and (kind == "close" or ms - cur[1] > self.gap):
+                out.append((*key, *cur))
+                cur = None
+            if kind != "close":
+                cur = (int(ms), int(ms), 1) if cur is None else (cur[0], int(ms), cur[2] + (ms > cur[1]))
+        if cur is None:
+            self.now.clear()
+        else:
+            self.now.update(tuple(map(int, cur)))
+            self.expire(int(cur[1]) + self.gap)
+        return out
+
+    def settle(self, key, horizon):
+        if self.now.exists() and horizon > (cur := tuple(self.now.get()))[1] + self.gap:
+            self.now.clear()
+            return [(*key, *cur)]
+        return []
 
 
 class _Approvals(StatefulProcessor):
@@ -199,7 +374,8 @@ class _Approvals(StatefulProcessor):
         self.state = handle.getValueState("approval", "created bigint, expires bigint, status string")
 
     def handleInputRows(self, key, rows, timerValues):
-        d = _ordered(rows)
+        parts = list(rows)
+        d = pd.concat(parts, ignore_index=True).sort_values(["ms", "seq"], kind="stable")        # an approval has a handful of events
         cur = tuple(self.state.get()) if self.state.exists() else None
         out = []
         for ms, kind, expires in zip(d["ms"], d["kind"], d["expires_ms"]):
@@ -231,14 +407,20 @@ class _Approvals(StatefulProcessor):
         pass
 
 
-def _run(df: DataFrame, keys: list[str], processor, schema: str, time_mode: str = "None") -> DataFrame:
-    return df.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode=time_mode)
+def _run(df: DataFrame, keys: list[str], processor, schema: str) -> DataFrame:
+    return df.groupBy(*keys).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+
+
+def _in_time(df: DataFrame, keys: list[str], processor: _Timed, schema: str, delay: str) -> DataFrame:
+    # without the event-time column the late rows reach the processor; with it Spark would drop them unseen
+    rows = df.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", delay).select(*keys, "ms", "seq", *processor.columns)
+    return _run(rows, keys, processor, schema + ", late boolean")
 
 
-def stream_replay(df: DataFrame, ttl_hours: int | None = 24) -> DataFrame:
-    """``seq, nonce_key, nonce_seen, nonce_first_ms`` of rows with a nonce."""
-    d = df.filter("nonce_key is not null").select("nonce_key", "seq", "ms")
-    return _run(d, ["nonce_key"], _Replay(None if ttl_hours is None else ttl_hours * HOUR), "seq bigint, nonce_key string, nonce_seen bigint, nonce_first_ms bigint")
+def stream_replay(df: DataFrame, ttl_hours: int | None = 24, delay: str = "0 seconds") -> DataFrame:
+    """``seq, nonce_key, nonce_seen, nonce_first_ms, late`` of rows with a nonce."""
+    d = df.filter("nonce_key is not null")
+    return _in_time(d, ["nonce_key"], _Replay(None if ttl_hours is None else ttl_hours * HOUR), "seq bigint, nonce_key string, nonce_seen bigint, nonce_first_ms bigint", delay)
 
 
 def stream_dedup(df: DataFrame, delay: str = "24 hours") -> DataFrame:
@@ -246,9 +428,9 @@ def stream_dedup(df: DataFrame, delay: str = "24 hours") -> DataFrame:
     return df.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["nonce_key"])
 
 
-def stream_velocity(df: DataFrame) -> DataFrame:
-    d = df.filter("direction = 'outgoing' and agent_key is not null").select("agent_key", "seq", "ms", "usd")
-    return _run(d, ["agent_key"], _Velocity(), "seq bigint, agent_key string, per_minute bigint, hour_usd double")
+def stream_velocity(df: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    d = df.filter("direction = 'outgoing' and agent_key is not null")
+    return _in_time(d, ["agent_key"], _Velocity(), "seq bigint, agent_key string, per_minute bigint, hour_usd double", delay)
 
 
 def velocity_dashboard(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -257,36 +439,36 @@ def velocity_dashboard(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
         F.count("*").alias("n"), F.sum("usd").alias("usd"))
 
 
-def stream_pins(df: DataFrame) -> DataFrame:
+def stream_pins(df: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Pin status per row; ``kind`` is payment, blocked or clear."""
-    d = df.filter("domain is not null").select("domain", "seq", "ms", "pay_to", "kind")
-    return _run(d, ["domain"], _Pins(), "seq bigint, domain string, check_id string, times_seen bigint")
+    return _in_time(df.filter("domain is not null"), ["domain"], _Pins(), "seq bigint, domain string, check_id string, times_seen bigint", delay)
 
 
-def stream_spend(df: DataFrame, threshold: float = 0.005) -> DataFrame:
-    d = df.filter("agent_key is not null and pay_to is not null").select("agent_key", "pay_to", "seq", "ms", "usd")
-    return _run(d, ["agent_key", "pay_to"], _Spend(threshold), "seq bigint, agent_key string, pay_to string, prior_usd double, unlocked boolean")
+def stream_spend(df: DataFrame, threshold: float = 0.005, delay: str = "0 seconds") -> DataFrame:
+    d = df.filter("agent_key is not null and pay_to is not null")
+    return _in_time(d, ["agent_key", "pay_to"], _Spend(threshold), "seq bigint, agent_key string, pay_to string, prior_usd double, unlocked boolean", delay)
 
 
-def stream_rate_limit(df: DataFrame, key: str, limit: int, window_ms: int) -> DataFrame:
-    d = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), "seq", "ms")
-    return _run(d, ["key"], _RateLimit(limit, window_ms), "seq bigint, key string, allowed boolean")
+def stream_rate_limit(df: DataFrame, key: str, limit: int, window_ms: int, delay: str = "0 seconds") -> DataFrame:
+    d = df.filter(F.col(key).isNotNull()).withColumn("key", F.col(key).cast("string"))
+    return _in_time(d, ["key"], _RateLimit(limit, window_ms), "seq bigint, key string, allowed boolean", delay)
 
 
-def stream_provenance(events: DataFrame, ttl_ms: int = 5 * MINUTE, default: str = "unknown") -> DataFrame:
+def stream_provenance(events: DataFrame, ttl_ms: int = 5 * MINUTE, default: str = "unknown", delay: str = "0 seconds") -> DataFrame:
     """``events``: observations, notes and payments of agents in one stream, ``kind`` tells which (``payment`` for the latter)."""
-    d = events.filter("agent_key is not null").select("agent_key", "seq", "ms", "kind")
-    return _run(d, ["agent_key"], _Provenance(ttl_ms, default), "seq bigint, agent_key string, origin string, observation_seq bigint")
+    d = events.filter("agent_key is not null")
+    return _in_time(d, ["agent_key"], _Provenance(ttl_ms, default), "seq bigint, agent_key string, origin string, observation_seq bigint", delay)
 
 
 def stream_approvals(events: DataFrame, delay: str = "0 seconds", keep_ms: int = 24 * HOUR) -> DataFrame:
     """Status changes of approvals; ``kind`` is open, approve or deny; event time ``ts``."""
     d = events.withWatermark("ts", delay).select("approval_id", "ts", "ms", "seq", "kind", "expires_ms")
-    return _run(d, ["approval_id"], _Approvals(keep_ms), "approval_id string, status string, ms bigint", "EventTime")
+    return _run(d, ["approval_id"], _Approvals(keep_ms), "approval_id string, status string, ms bigint")
 
 
-def stream_uptime(beats: DataFrame, gap: str = "120 seconds", delay: str = "5 minutes", keys: tuple = ()) -> DataFrame:
-    """Uptime sessions of heartbeats by event time ``ts``; a gap of exactly ``gap`` stays in one session as in the batch form."""
-    s = beats.withWatermark("ts", delay).groupBy(F.session_window("ts", F.lit(gap).cast("string")), *keys).agg(
-        F.min("ts").alias("from_ts"), F.max("ts").alias("to_ts"), F.count("*").alias("beats"))
-    return s.drop("session_window")
+def stream_uptime(beats: DataFrame, gap_s: int = 120, delay: str = "5 minutes", keys: tuple = ("service",)) -> DataFrame:
+    """Uptime ranges of heartbeats (``ms``, ``seq``, ``kind``, keys): keys, from_ms, to_ms, beats, late. A gap of exactly ``gap_s`` stays
+    in one range as in the batch form; a row of kind ``close`` ends its key's range at once."""
+    kinds = dict(beats.dtypes)
+    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "from_ms bigint, to_ms bigint, beats bigint"
+    return _in_time(beats, list(keys), _Sessions(gap_s * 1000, keys), schema, delay)
