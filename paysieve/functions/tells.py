@@ -31,9 +31,11 @@ def tells_sql(text: str, low: str) -> str:
     return f"filter(array({', '.join(parts)}), h -> h.idx > 0)"
 
 
-def find_tells(text: str, low: str | None = None) -> Column:
-    """Tells of a text column; pass the name of a lower-cased copy where there is one, it is looked at many times."""
-    return F.coalesce(F.expr(tells_sql(text, low or f"lower({text})")), F.array().cast(TELL_ARRAY))
+def find_tells(text: str) -> Column:
+    """Tells of a text column. The lower-cased text is bound to a variable: as a column of its own the optimizer would write it out anew
+    for each of the words that are looked for in it."""
+    once = f"transform(array(named_struct('text', {text}, 'low', lower({text}))), s -> {tells_sql('s.text', 's.low')})"
+    return F.coalesce(F.when(F.length(text) > 0, F.expr(once)[0]), F.array().cast(TELL_ARRAY))
 
 
 def tell_ids(tells) -> Column:

@@ -119,7 +119,7 @@ def with_content_facts(df: DataFrame) -> DataFrame:
     c, low, payee = F.col("content"), F.col("content_low"), F.lower("pay_to")
     d = df.withColumns({"content_low": F.lower("content"), "offer_low": F.lower("offer"), "has_content": F.coalesce(F.length("content") > 0, F.lit(False))})
     usable = F.col("has_content") & (F.length("pay_to") > 0)
-    d = d.withColumns({"content_tells": T.find_tells("content", "content_low"), "offer_tells": T.find_tells("offer", "offer_low"),
+    d = d.withColumns({"content_tells": T.find_tells("content"), "offer_tells": T.find_tells("offer"),
                        "payee_direct": F.coalesce(usable & F.contains(low, payee), F.lit(False))})
     return d.withColumns({"content_near": F.when(F.size("content_tells") > 0, T.nearest_address(c, "content_tells")),
                           "payee_hidden": F.when(usable & ~F.col("payee_direct"), F.contains(X.squeeze(low), payee)).otherwise(F.lit(False))})
@@ -390,7 +390,8 @@ def with_usd(df: DataFrame) -> DataFrame:
 
 def find_tells(df: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """Long table of the tells of a text column, with score and proximity, for any table."""
-    d = df.select(*keep, F.col(text).alias("_t"), F.lower(text).alias("_l")).withColumn("_h", T.find_tells("_t", "_l"))   # explode drops empty ones
+    d = df.select(*keep, F.col(text).alias("_t")).withColumn("_h", T.find_tells("_t"))
     d = d.withColumn("_n", T.nearest_address("_t", "_h")).withColumn("score", T.tell_score("_h", "_n"))
-    return d.select(*keep, "score", F.col("_n.distance").alias("distance"), F.explode("_h").alias("h")).select(
-        *keep, F.col("h.id").alias("tell_id"), F.col("h.weight").alias("weight"), "score", "distance")
+    # an inner explode would be turned into a filter on the size of the tells, which finds them all a second time
+    d = d.select(*keep, "score", F.col("_n.distance").alias("distance"), F.explode_outer("_h").alias("h")).filter("h is not null")
+    return d.select(*keep, F.col("h.id").alias("tell_id"), F.col("h.weight").alias("weight"), "score", "distance")
