@@ -322,7 +322,7 @@ def read_back(rows: DataFrame, key: str, events: DataFrame | None, measures: tup
 
     d = running_totals(line(rows), ["_k"], {n: F.col(f"_{m}") for n, m in zip(names, measures)},
                        base=None if base is None else line(base.select(key, "ms", "seq")),
-                       order=("_t", "_s", "_side"), bucket=F.floor(F.col("_t") / DAY_MS))
+                       order=("_t", "_s", "_side"), unit_ms=DAY_MS)
     return d.filter("_side = 0").select(*rows.columns, *names)
 
 

@@ -1,7 +1,8 @@
 """Ordered history per key, written so that one hot key never lands in one task.
 
-A key's rows are cut into fixed time buckets. Running values are the sum of what happened inside the bucket and of a
-carry from the bucket totals, which are pre-aggregated before they are shuffled. Sliding windows are running sums over
+A key's rows are cut into time buckets; a unit of time (a day, an hour) that holds too many rows of a key is cut into runs of about
+equal counts (``crowded_units``). Running values are the sum of what happened inside the bucket and of a carry from the bucket totals,
+which are pre-aggregated before they are shuffled. Sliding windows are running sums over
 arrivals and expiries, so they need no growing frames: every frame here starts unbounded and costs O(n).
 Rows are ordered by (ms, seq); seq is unique.
 """
@@ -29,18 +30,52 @@ def spread_null(key, seq="seq") -> Column:
     return F.coalesce(col(key), F.concat(F.lit("\u0000"), col(seq).cast("string")))
 
 
+#: Rows of a key in one unit of time above which it is cut, and the share of all rows (one in so many) that no uncut unit exceeds.
+BUCKET_ROWS, BUCKET_SHARE = 200_000, 1000
+#: Cells by which a unit is counted, and room for its parts in the numbers of buckets.
+CELLS, PARTS = 3600, 4096
+
+
+def crowded_units(events: DataFrame, keys: list[str], at: str, unit_ms: int, target: int | None = None) -> DataFrame:
+    """Where to cut the crowded units of keys: keys, ``_u`` (the unit) and ``_starts`` (its cells at which a part begins).
+
+    Crowded is a unit with more than ``target`` rows and more than a thousandth of all; there are fewer than a thousand, which bounds
+    the broadcast in ``with_bucket``. Counts are pre-aggregated by cell; a unit has 3600 of them, and a part ends with one.
+    """
+    target = target or BUCKET_ROWS
+    cells = events.groupBy(*keys, F.floor(F.col(at) / unit_ms).alias("_u"), F.floor(F.pmod(F.col(at), F.lit(unit_ms)) * CELLS / unit_ms).cast("int").alias("_cell")).agg(F.count("*").alias("_n"))
+    units = cells.groupBy(*keys, "_u").agg(F.sum("_n").alias("_all"))
+    share = units.agg((F.coalesce(F.sum("_all"), F.lit(0)) / BUCKET_SHARE).alias("n")).scalar()
+    crowded = units.filter(F.col("_all") > F.greatest(F.lit(float(target)), share))
+    before = W.partitionBy(*keys, "_u").orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.greatest(F.lit(float(target)), F.col("_all") / (PARTS - 2)))
+    cuts = cells.join(F.broadcast(crowded), [*keys, "_u"]).withColumn("_part", part).groupBy(*keys, "_u", "_part").agg(F.min("_cell").alias("_from"))
+    return cuts.groupBy(*keys, "_u").agg(F.array_sort(F.collect_list("_from")).alias("_starts"))
+
+
+def with_bucket(d: DataFrame, crowded: DataFrame, keys: list[str], at: str, unit_ms: int) -> DataFrame:
+    """Adds ``_b``, the number of the bucket of a time: it ascends with time, and equal times of a key have one bucket."""
+    cell = F.floor(F.pmod(F.col(at), F.lit(unit_ms)) * CELLS / unit_ms).cast("int")
+    d = d.withColumns({"_u": F.floor(F.col(at) / unit_ms), "_cell": cell}).join(F.broadcast(crowded), [*keys, "_u"], "left")
+    part = F.coalesce(F.size(F.filter("_starts", lambda s: s <= F.col("_cell"))), F.lit(0))
+    return d.withColumn("_b", F.col("_u") * PARTS + F.greatest(part, F.lit(0))).drop("_u", "_cell", "_starts")
+
+
 def running_totals(rows: DataFrame, keys: list[str], measures: dict[str, Column], *, base: DataFrame | None = None,
-                   order: tuple = ("ms", "seq"), bucket: Column | None = None, inclusive: bool = True) -> DataFrame:
+                   order: tuple = ("ms", "seq"), bucket: Column | None = None, unit_ms: int | None = None, inclusive: bool = True) -> DataFrame:
     """Adds running sums of ``measures`` per key in ``order``.
 
     ``base`` holds the same rows before other columns were added; the bucket totals are read from it, so that a chain
-    of such steps reads the stored table twice per step and does not recompute the steps before it.
+    of such steps reads the stored table twice per step and does not recompute the steps before it. With ``unit_ms`` the buckets are
+    units of that time, of which crowded ones are cut.
     """
     bucket = F.floor(F.col(order[0]) / HOUR_MS) if bucket is None else bucket
-    names = list(measures)
+    names, given = list(measures), base if base is not None else rows
+    crowded = None if unit_ms is None else crowded_units(given, keys, order[0], unit_ms)
 
     def prepared(d):
-        return d.withColumn("_b", bucket).withColumns({f"_m_{n}": c for n, c in measures.items()})
+        d = d.withColumn("_b", bucket) if crowded is None else with_bucket(d, crowded, keys, order[0], unit_ms)
+        return d.withColumns({f"_m_{n}": c for n, c in measures.items()})
 
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     totals = prepared(base if base is not None else rows).groupBy(*keys, "_b").agg(
@@ -307,19 +342,22 @@ def asof_last(rows: DataFrame, events: DataFrame, keys: list[str], value: str, *
               tie: Column | None = None, bucket_ms: int = DAY_MS) -> DataFrame:
     """Adds the latest event ``value`` (a struct) of the same key at or before each row (before it when ``strict``).
 
-    Rows and events share one time line cut into buckets; the last event of earlier buckets is carried in, so neither
-    many rows nor many events of one key meet in one task.
+    Rows and events share one time line cut into buckets, crowded ones more finely; the last event of earlier buckets is carried in, so
+    neither many rows nor many events of one key meet in one task.
     """
     t, more = order[0], list(order[1:])
+    line = rows.select(*keys, t).unionByName(events.select(*(F.col(c).cast(rows.schema[c].dataType).alias(c) for c in (*keys, t))))
+    crowded = crowded_units(line, keys, t, bucket_ms)
+    cut = lambda d: with_bucket(d, crowded, keys, t, bucket_ms)
     kind = events.schema[value].dataType
     cols = rows.columns
     left = rows.select(*cols, F.lit(None).cast(kind).alias("_ev"), F.lit(0).alias("_side"), F.lit(0).alias("_tie"))
     right = events.select(*[F.col(c).cast(rows.schema[c].dataType).alias(c) if c in keys or c in order else F.lit(None).cast(rows.schema[c].dataType).alias(c)
                             for c in cols],
                           F.col(value).alias("_ev"), F.lit(1 if strict else -1).alias("_side"), (F.lit(0) if tie is None else tie).alias("_tie"))
-    both = left.unionByName(right).withColumn("_b", F.floor(F.col(t) / bucket_ms))
-    ends = right.withColumn("_b", F.floor(F.col(t) / bucket_ms)).groupBy(*keys, "_b").agg(F.max_by("_ev", F.struct(*order, "_tie")).alias("_l"))
-    starts = rows.select(*keys, F.floor(F.col(t) / bucket_ms).alias("_b")).distinct().withColumn("_l", F.lit(None).cast(kind))
+    both = cut(left.unionByName(right))
+    ends = cut(right).groupBy(*keys, "_b").agg(F.max_by("_ev", F.struct(*order, "_tie")).alias("_l"))
+    starts = cut(rows.select(*keys, t)).select(*keys, "_b").distinct().withColumn("_l", F.lit(None).cast(kind))
     per = ends.unionByName(starts).groupBy(*keys, "_b").agg(F.first("_l", ignorenulls=True).alias("_l"))
     before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     carry = per.select(*keys, "_b", F.last("_l", ignorenulls=True).over(before).alias("_carry"))

@@ -233,3 +233,28 @@ def test_stream_screen_equals_batch(spark, tmp_path):
     assert got == want
     good, late = split_late(d, d.agg(F.expr("percentile(ms, 0.5)")).first()[0])
     assert good.count() + late.count() == 120 and late.count() > 0
+
+
+def test_crowded_keys_are_cut(spark, monkeypatch):
+    """A key with nine tenths of all rows in one hour: the same answers from buckets of bounded size."""
+    from paysieve.operators import windows as W
+    rng = random.Random(5)
+    rows = [(k, "hot" if k % 10 else f"k{k % 7}", 7 * 3_600_000 + rng.randrange(3_600_000) if k % 10 else rng.randrange(10**9), 1.0) for k in range(4000)]
+    d = spark.createDataFrame(rows, "seq long, key string, ms long, x double")
+    events = d.filter("seq % 3 = 0").select("key", "ms", F.struct("seq").alias("e"))
+
+    def answers():
+        r = W.running_totals(d, ["key"], {"n": F.col("x")}, unit_ms=3_600_000)
+        a = W.asof_last(r, events, ["key"], "e", order=("ms",), strict=True, bucket_ms=3_600_000)
+        return sorted((x.seq, x.n, x.e and x.e.seq) for x in a.collect())
+
+    want = answers()
+    monkeypatch.setattr(W, "BUCKET_ROWS", 100)
+    cuts = W.crowded_units(d, ["key"], "ms", 3_600_000)
+    sizes = [r["count"] for r in W.with_bucket(d, cuts, ["key"], "ms", 3_600_000).groupBy("key", "_b").count().collect()]
+    assert max(sizes) <= 200 and len(cuts.collect()) == 1
+    assert answers() == want
+    by_key = {}
+    for _, key, ms, _ in sorted(rows, key=lambda r: (r[2], r[0])):
+        by_key[key] = by_key.get(key, 0) + 1
+    assert max(n for _, n, _ in want) == by_key["hot"]
