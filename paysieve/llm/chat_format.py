@@ -1,8 +1,9 @@
 """Chat transcripts as training samples under a token budget, with DataFrame functions only.
 
-Prefix sums of the turns' tokens cut a conversation at turn boundaries: a turn belongs to the window in which its first token
-falls. Each sample holds the system turn, then at most ``history`` tokens of turns repeated from the window before, then the
-window's own turns. Only assistant texts among the own turns are under the loss mask, so each is a target exactly once.
+Prefix sums of the turns' tokens cut a conversation at turn boundaries. The time line is laid out in cells of the room that system turn
+and history leave of the budget; the turns that lie within a cell are one window, a turn that crosses the end of its cell is a window of
+its own. So only a turn that is longer than that room makes a sample longer than the budget, and no window depends on the one before.
+Each sample holds the system turn, then at most ``history`` tokens of turns repeated from the window before, then the window's own turns. Only assistant texts among the own turns are under the loss mask, so each is a target exactly once.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ def format_chats(turns: DataFrame, budget: int = 1024, history: int = 256) -> Da
     code points: struct start long from 1, length long).
 
     Turns are ordered by turn (null last), then role and text; repeated rows are separate turns. A null text is empty, a null role
-    the empty role, null conv_ids form one conversation. Own turns of a window start within ``budget`` tokens of each other; a turn
-    longer than that is kept whole. A system turn that opens the conversation is repeated in each window and does not count
-    against ``history``. No turns: no samples.
+    the empty role, null conv_ids form one conversation. System turn, history and own turns of a sample are at most ``budget`` tokens
+    (by ``n_tokens``); a turn longer than what system turn and ``history`` leave is a sample of its own and kept whole. A system turn that
+    opens the conversation is an own turn of the first window and is repeated in the others, not as history. No turns: no samples.
     """
     if not 0 < history <= budget:
         raise ValueError("history must be positive and at most the budget")
@@ -46,7 +47,13 @@ def format_chats(turns: DataFrame, budget: int = 1024, history: int = 256) -> Da
     rows = rows.withColumns({"pos": F.row_number().over(conv.orderBy(*order)), "n": n_tokens(F.col("text"))})
     running = conv.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.coalesce(F.sum("n").over(running), F.lit(0)))
-    rows = rows.withColumn("window", F.floor(F.col("begin") / budget).cast("long"))
+    opens = (F.col("pos") == 1) & (F.col("role") == "system")
+    rows = rows.withColumn("opening", F.max(F.when(opens, F.col("n")).otherwise(0)).over(conv))
+    room = F.greatest(F.lit(budget - history) - F.col("opening"), F.lit(1))
+    at = F.col("begin") - F.col("opening")                                        # where the turns after the system turn begin
+    cell = F.floor(at / room).cast("long")
+    rows = rows.withColumn("cell", F.when(~opens, 2 * cell + (at + F.col("n") > (cell + 1) * room).cast("long")))
+    rows = rows.withColumn("first", F.coalesce(F.min("cell").over(conv), F.lit(0).cast("long"))).withColumn("window", F.coalesce("cell", "first")).drop("cell", "opening")
     # the window after a turn's own one, and where it begins: the last value met when looking from the end
     later = conv.orderBy(F.desc("window")).rangeBetween(Window.unboundedPreceding, -1)
     nxt = F.min(F.struct("window", "begin")).over(later)
@@ -56,7 +63,7 @@ def format_chats(turns: DataFrame, budget: int = 1024, history: int = 256) -> Da
     again = F.when(~system & (F.col("next.begin") - F.col("begin") <= history), F.struct(F.col("next.window").alias("window"), F.lit(False).alias("own")))
     copies = rows.withColumn("at", F.explode(F.array_compact(F.array(own, again)))).select("conv_id", "at.window", "at.own", "pos", "role", "body", "text")
     opening = rows.filter(system).select(F.col("conv_id").alias("_conv"), *(F.col(c) for c in ("pos", "role", "body", "text")))
-    more = rows.select("conv_id", "window").distinct().filter("window > 0").join(opening, F.col("conv_id").eqNullSafe(F.col("_conv")))
+    more = rows.filter("window > first").select("conv_id", "window").distinct().join(opening, F.col("conv_id").eqNullSafe(F.col("_conv")))
     every = copies.unionByName(more.select("conv_id", "window", F.lit(False).alias("own"), "pos", "role", "body", "text"))
     target = F.col("own") & (F.col("role") == "assistant")
     part = F.struct("pos", "own", "body", F.length("body").cast("long").alias("size"),

@@ -92,8 +92,10 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
   UNION ALL SELECT -1, 0, 'user', '{_PLANTED}' UNION ALL SELECT -1, 1, 'assistant', '{_PLANTED}'),
 p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn IS NULL, turn, role, text) AS pos, (length(text) + 3) // 4 + 4 AS n FROM c),
 q AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p),
-r AS (SELECT *, CAST(b AS BIGINT) // 1024 AS win, 12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11 AS chars,
-  pos = 1 AND role = 'system' AS opens FROM q),
+o AS (SELECT *, pos = 1 AND role = 'system' AS opens, max(CASE WHEN pos = 1 AND role = 'system' THEN n ELSE 0 END) OVER (PARTITION BY conv_id) AS opening FROM q),
+g AS (SELECT *, CAST(b - opening AS BIGINT) AS bt, CAST(greatest(768 - opening, 1) AS BIGINT) AS room FROM o),
+v AS (SELECT *, CASE WHEN NOT opens THEN 2 * (bt // room) + CASE WHEN bt + n > (bt // room + 1) * room THEN 1 ELSE 0 END END AS cell FROM g),
+r AS (SELECT *, coalesce(cell, min(cell) OVER (PARTITION BY conv_id), 0) AS win, 12 + length(role) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + 11 AS chars FROM v),
 s AS (SELECT conv_id, win, min(b) AS b FROM r GROUP BY conv_id, win),
 t AS (SELECT conv_id, b, lead(win) OVER w AS next_win, lead(b) OVER w AS next_b, win, row_number() OVER w AS k FROM s WINDOW w AS (PARTITION BY conv_id ORDER BY win)),
 f AS (SELECT r.conv_id, sum(r.chars * CASE WHEN r.opens THEN (SELECT count(*) FROM s WHERE s.conv_id = r.conv_id)

@@ -174,3 +174,24 @@ def test_escape_is_reversible(spark):
     texts = ["<|", "<\\|", "<\\\\|", "<<||", "<\\<|", "|<", "<|im_end|>", "$1 \\ <|$1|>"]
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", escape(F.col("t")).alias("e"), unescape(escape(F.col("t"))).alias("u")).collect()
     assert all(r.t == r.u and "<|" not in r.e for r in got)
+
+
+def test_samples_keep_the_budget(spark):
+    """System turn, history and own turns fit; only a turn longer than the room they leave may exceed, and then it is alone."""
+    import random
+    rng, rows = random.Random(3), []
+    for c in range(60):
+        rows += [(c, 0, "system", "s" * rng.randrange(400))] if c % 2 else []
+        rows += [(c, k + 1, "user" if k % 2 else "assistant", "x" * rng.choice([0, 30, 900, 2000, 2900, 9000 if c % 5 == 0 else 50])) for k in range(rng.randrange(1, 30))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    tokens = lambda t: -(-len(t) // 4) + 4
+    samples = format_chats(turns, 1024, 256).collect()
+    full = 0
+    for s in samples:
+        texts = [p.split("<|im_end|>")[0].split("\n", 1)[1] for p in s.formatted.split("<|im_start|>")[1:]]
+        opening = tokens(texts[0]) if s.formatted.startswith("<|im_start|>system") else 0
+        size = sum(map(tokens, texts))
+        alone = s.n_turns == 1 + (opening > 0 and s.repeated == 0) and tokens(texts[-1]) > 1024 - 256 - opening
+        assert size <= 1024 or alone, (size, s.n_turns, s.repeated)
+        full += size > 700
+    assert full > len(samples) / 5
