@@ -127,7 +127,7 @@ class Words:
         self.per_doc = self.after - self.first
         self.buf = buf
 
-    def keys(self, chunk: int = 1 << 18) -> np.ndarray:
+    def keys(self, chunk: int = 1 << 16) -> np.ndarray:
         """A 64-bit key of each word, ``chunk`` words at a time. Equal keys are taken for equal words, so no structure of the bytes may
         bring two words together: up to 32 bytes go through the mixer eight at a time, longer words through a cryptographic hash."""
         out = np.empty(len(self.starts), np.uint64)

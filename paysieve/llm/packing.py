@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, Words, workspace
 
 CAPACITY, END_ID, GROUPS = 4096, 1, 512
-#: Words whose ids a task remembers; then it starts anew.
-CACHED_WORDS = 500_000
+#: Words whose ids a task remembers; then it starts anew, as does the next task of a worker, which else would hold them for ever.
+CACHED_WORDS = 250_000
 #: Bytes of text encoded at once.
-SLICE = 2_000_000
+SLICE = 1_000_000
 _coders: dict[str, "Coder"] = {}
 
 
@@ -204,6 +204,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, t
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:]), pa.array([chunk] * len(rows), pa.int32())],
                                                  names=["doc_id", "piece", "start", "length", "ids_crc32", "rank", "chunk"])
                 at = to
+        coder._forget()
 
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, rank long, chunk int")
 
