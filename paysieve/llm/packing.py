@@ -15,7 +15,6 @@ the counts of earlier tasks, so no length is sorted or gathered in one place.
 
 from __future__ import annotations
 
-import json
 import os
 import unicodedata
 import zlib
@@ -59,10 +58,6 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends_word = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
-        spec = json.loads(self.tokenizer.to_str())         # for runs of letters, one blank apart and composed, blanks alone part the words
-        spec |= {"normalizer": {"type": "Lowercase"}, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
-            {"type": "CharDelimiterSplit", "delimiter": " "}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
-        self.letters = Tokenizer.from_str(json.dumps(spec))
         self._forget()
 
     def _forget(self) -> None:
@@ -96,7 +91,7 @@ class Coder:
                 part = group[k:k + 4000]
                 joined = b" ".join(part).decode()
                 if plain:
-                    ids = np.array(self.letters.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+                    ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
                     n = np.diff(np.concatenate([[-1], np.flatnonzero(self.ends_word[ids])]))
                 else:
                     code = self.tokenizer.encode(joined, add_special_tokens=False)
