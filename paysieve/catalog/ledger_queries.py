@@ -490,10 +490,17 @@ def agg_1(spark, sf):
     return aggregate_verdicts(explode_checks(d)).withColumn("fired", F.array_join("fired", ","))
 
 
-@query("prj_15_advisory", """SELECT direction, verdict, count(*) AS n FROM (SELECT direction, CASE WHEN seq % 7 = 0 THEN 'block' WHEN seq % 3 = 0 THEN 'flag' ELSE 'allow' END AS verdict FROM payments) GROUP BY ALL""", "payments")
+@query("prj_15_advisory", """WITH p AS (SELECT seq, direction, CASE WHEN seq % 7 = 0 THEN 'block' WHEN seq % 3 = 0 THEN 'flag' ELSE 'allow' END AS verdict FROM payments),
+a(verdict, outgoing, advisory) AS (VALUES ('allow', true, 'No issue was found. The result is advice; settling stays with the wallet.'),
+  ('allow', false, 'No issue was found. The result is advice; settling stays with the wallet.'),
+  ('flag', true, 'Review the flagged checks and confirm the intent before settling.'),
+  ('flag', false, 'Review the flagged checks and verify the counterparty before acting on this request.'),
+  ('block', true, 'Do not settle this payment: a check found signs of theft or leakage.'),
+  ('block', false, 'Do not comply with this payment request: a check found signs of fraud.'))
+SELECT seq, p.verdict, advisory FROM p JOIN a ON a.verdict = p.verdict AND a.outgoing = (direction = 'outgoing')""", "payments")
 def prj_15(spark, sf):
-    d = decisions(spark, sf).withColumn("advisory", S.advisory("direction", "verdict")).filter("advisory is not null")
-    return d.groupBy("direction", "verdict").agg(F.count("*").alias("n"))
+    """The advice for every payment."""
+    return decisions(spark, sf).select("seq", "verdict", S.advisory("direction", "verdict").alias("advisory"))
 
 
 @query("top_3_newest_n", "SELECT pay_to, seq FROM payments QUALIFY row_number() OVER (PARTITION BY pay_to ORDER BY ms DESC, seq DESC) <= 5", "payments")
@@ -689,20 +696,11 @@ def det_28(spark, sf):
     return PO.audit_attestations(att, scans, pays, 1_705_000_000_000).select("seq", "failure")
 
 
-@query("det_29_authorizations", """WITH a AS (SELECT seq, ms, nonce FROM payments WHERE seq % 4 = 0), v AS (SELECT seq, ms, nonce FROM payments WHERE seq % 4 = 1 AND seq % 3 > 0),
+@query("det_29_authorizations", """WITH a AS (SELECT seq, ms, nonce FROM payments WHERE seq % 2 = 0), v AS (SELECT seq, ms, nonce FROM payments WHERE seq % 2 = 1 AND seq % 3 > 0),
 j AS (SELECT a.seq, a.ms, v.seq AS vid, v.ms AS vms FROM a ASOF LEFT JOIN v ON v.nonce = a.nonce AND v.ms <= a.ms), k AS (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY ms, seq) AS n, min(ms) OVER (PARTITION BY vid) AS f FROM j)
 SELECT seq, CASE WHEN vid IS NULL THEN 'no accepted verdict' WHEN n > 1 AND f < vms + 43200000 THEN 'verdict already used' WHEN n > 1 THEN 'no accepted verdict' WHEN ms >= vms + 43200000 THEN 'verdict is stale' END AS violation FROM k""", "payments")
 def det_29(spark, sf):
     p = view(spark, sf, "payments")
-    auths = p.filter("seq % 4 = 0").select("seq", "ms", F.col("nonce").alias("commitment"))
-    ok = p.filter("seq % 4 = 1").select("seq", "ms", F.col("nonce").alias("commitment"), F.when(F.col("seq") % 3 > 0, "allow").otherwise("flag").alias("verdict"), (F.col("ms") + 43_200_000).alias("expires_ms"))
+    auths = p.filter("seq % 2 = 0").select("seq", "ms", F.col("nonce").alias("commitment"))
+    ok = p.filter("seq % 2 = 1").select("seq", "ms", F.col("nonce").alias("commitment"), F.when(F.col("seq") % 3 > 0, "allow").otherwise("flag").alias("verdict"), (F.col("ms") + 43_200_000).alias("expires_ms"))
     return PO.audit_authorizations(auths, ok).select("seq", "violation")
-
-
-@query("agg_17_detection_quality", """SELECT kind, count(*) AS gating, count(*) FILTER (kind = 'benign' OR seq % 3 = 0) AS passed FROM (SELECT seq, CASE WHEN seq % 2 = 0 THEN 'attack' ELSE 'benign' END AS kind FROM payments) GROUP BY kind""", "payments")
-def agg_17(spark, sf):
-    p = view(spark, sf, "payments")
-    corpus = p.select("scan_id", F.expr("CASE WHEN seq % 2 = 0 THEN 'attack' ELSE 'benign' END").alias("kind"), F.expr("CASE WHEN seq % 2 = 0 THEN 'block' ELSE 'flag' END").alias("expect"), F.lit(False).alias("known_gap"))
-    found = p.select("scan_id", F.lit("injection.content_tells").alias("check_id"), F.expr("CASE WHEN seq % 2 = 0 AND seq % 3 = 0 THEN 'block' ELSE 'flag' END").alias("verdict"))
-    advice = p.select("scan_id", F.lit("injection.untrusted_origin").alias("check_id"), F.lit("block").alias("verdict"))
-    return AN.evaluate_corpus(corpus, found.unionByName(advice)).select("kind", "gating", "passed")

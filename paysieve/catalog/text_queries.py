@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P, scalars as S, tells as T, text as X
+from ..functions.sql import register_functions
 from ..functions.urls import with_domain
-from ..operators import rowlocal as R
+from ..operators import analytics as AN, rowlocal as R
 from ..plans.screen import derive
 from ..schemas import conform
 from .fixtures import table, view
@@ -329,3 +330,44 @@ FROM (SELECT seq, amount_usd AS u, expected_price_usd AS e FROM payments)""", "p
 def det_3(spark, sf):
     d = view(spark, sf, "payments").withColumn("usd", F.col("amount_usd"))
     return d.select("seq", F.explode(R.overpayment()).alias("c")).select("seq", F.col("c.id").alias("check_id"))
+
+
+# ---------------------------------------------------------------- functions in SQL
+
+@query("fn_tells_in_sql", f"WITH t AS ({_PLANTED}) {_tell_rows('t', 'doc_id')}")
+def fn_tells(spark, sf):
+    """The tells of every document by the registered table function."""
+    register_functions(spark)
+    planted(spark, sf).createOrReplaceTempView("paysieve_documents")
+    return spark.sql("SELECT d.doc_id, f.tell_id, f.weight FROM paysieve_documents d, LATERAL paysieve_tells(d.text) f")
+
+
+@query("fn_scalars_in_sql", f"""SELECT seq, {_REDACT.format(c='nonce')} AS redacted, round(pow(2, -greatest(0, (1705000000000 - ms) / 86400000.0) / 90.0), 9) AS weight,
+  round(0.5 + 0.5 * least(1.0, (seq % 13) / 10.0), 9) AS credibility, round(((seq % 5) + 9.0) / ((seq % 7) + 10.0), 9) AS rate,
+  CASE WHEN amount_usd >= 2.5 THEN 'high' WHEN amount_usd >= 1.0 THEN 'medium' WHEN amount_usd > 0.1 THEN 'low' ELSE 'none' END AS grade,
+  CASE WHEN seq % 500 BETWEEN 200 AND 299 THEN 'delivered' ELSE 'not_delivered' END AS delivery,
+  CASE WHEN seq % 7 = 0 THEN 'block' WHEN seq % 3 = 0 THEN 'flag' ELSE 'allow' END AS worst FROM payments""", "payments")
+def fn_scalars(spark, sf):
+    """The registered scalar functions over all payments."""
+    register_functions(spark)
+    view(spark, sf, "payments").createOrReplaceTempView("paysieve_payments")
+    return spark.sql("""SELECT seq, paysieve_redact(nonce) AS redacted, round(paysieve_decay(ms, 1705000000000L), 9) AS weight, round(paysieve_credibility(seq % 13), 9) AS credibility,
+      round(paysieve_smoothed_rate(seq % 5, seq % 7), 9) AS rate, paysieve_risk_grade(amount_usd) AS grade, paysieve_delivery(CAST(seq % 500 AS INT)) AS delivery,
+      paysieve_worst(array('allow', CASE WHEN seq % 3 = 0 THEN 'flag' ELSE 'allow' END, CASE WHEN seq % 7 = 0 THEN 'block' ELSE 'allow' END)) AS worst FROM paysieve_payments""")
+
+
+# every document with a planted phrase is an attack that must be flagged at least, any other text must pass
+@query("agg_17_detection_quality", f"""WITH t AS ({_PLANTED}), h AS (SELECT DISTINCT doc_id FROM ({_tell_rows('t', 'doc_id')})),
+j AS (SELECT t.doc_id, t.doc_id % 11 < 6 AS attack, h.doc_id IS NOT NULL AS told FROM t LEFT JOIN h USING (doc_id))
+SELECT CASE WHEN attack THEN 'attack' ELSE 'benign' END AS kind, count(*) AS gating, count(*) FILTER (attack = told) AS passed FROM j GROUP BY attack""")
+def agg_17(spark, sf):
+    """The content detector over all documents, held against what was planted."""
+    d = planted(spark, sf)
+    rows = d.select(F.col("doc_id").alias("scan_id"), F.col("text").alias("content"), F.lit(None).cast("string").alias("offer"), F.lit("fetched_content").alias("origin"),
+                    F.lit("0x4b7c1fd02a9e83c65d14b0a7e2f9386cd5a0e917").alias("pay_to"))
+    found = R.with_content_facts(rows).select("scan_id", F.explode(R.content_findings()).alias("c"))
+    checks = found.select("scan_id", F.col("c.id").alias("check_id"), F.col("c.verdict").alias("verdict"))
+    attack = F.col("doc_id") % 11 < 6
+    corpus = d.select(F.col("doc_id").alias("scan_id"), F.when(attack, "attack").otherwise("benign").alias("kind"), F.when(attack, "flag").otherwise("allow").alias("expect"),
+                      F.lit(False).alias("known_gap"))
+    return AN.evaluate_corpus(corpus, checks).select("kind", "gating", "passed")
