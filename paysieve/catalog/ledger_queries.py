@@ -10,7 +10,7 @@ from ..operators import analytics as AN, approvals as AP, audit as AU, ledgers a
 from ..operators.checks import aggregate_verdicts, check, collect, explode_checks, when
 from ..plans import accounts as A
 from ..session import Workspace
-from ..sources import ledger_io as IO, payments as SP
+from ..sources import ledger_io as IO, payments as SP, snapshot as SN
 from .fixtures import AS_OF, table, view
 from .history_queries import pay
 from .registry import query
@@ -660,6 +660,48 @@ def src_2(spark, sf):
     return IO.read_audit_log(spark, ws.path + "/log", with_position=True).select("seq", "entry_hash", "pos")
 
 
+_EXPORTED = """SELECT 'reports' AS ledger, address AS k, coalesce(reporter, '') AS who, reported_ms AS ms FROM reports
+UNION ALL SELECT 'incidents', address, observer, ms FROM incidents
+UNION ALL SELECT 'scan_index', scan_id, pay_to, ms FROM payments
+UNION ALL SELECT 'pins', domain, max(pay_to), min(ms) FROM payments GROUP BY domain
+UNION ALL SELECT 'scan_counts', pay_to, CAST(count(*) AS varchar), max(ms) FROM payments GROUP BY pay_to"""
+
+
+# one JSON document in part files, with texts that look like its own syntax
+@query("src_4_load_snapshot", _EXPORTED, "payments", "reports", "incidents")
+def src_4(spark, sf):
+    ws = Workspace(spark)
+    pay, iso = view(spark, sf, "payments"), lambda c: S.iso_utc(c)
+    odd = F.lit('pay, "quoted" {[ here\\, "pins":{"x":"')
+    entry = lambda k, v: F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), v)
+    members = {
+        "reports": ("[", "]", view(spark, sf, "reports").select(F.to_json(F.struct(
+            "address", "category", odd.alias("reason"), F.col("reporter").alias("reporter_agent_id"), iso("reported_ms").alias("reported_at"))).alias("e"))),
+        "injection_incidents": ("{", "}", view(spark, sf, "incidents").select(entry(F.col("scan_id"), F.to_json(F.array(F.struct(
+            "address", "check_id", odd.alias("origin"), "observer", "scan_id", iso("ms").alias("at"))))).alias("e"))),
+        "scan_index": ("{", "}", pay.select(entry(F.col("scan_id"), F.to_json(F.struct(odd.alias("commitment"), "pay_to", "domain", iso("ms").alias("at")))).alias("e"))),
+        "pins": ("{", "}", pay.groupBy("domain").agg(F.max("pay_to").alias("pay_to"), F.min("ms").alias("ms")).select(
+            entry(F.col("domain"), F.to_json(F.struct("pay_to", iso("ms").alias("first_seen")))).alias("e"))),
+        "scan_counts": ("{", "}", pay.groupBy("pay_to").agg(F.count("*").alias("scans"), F.min("ms").alias("a"), F.max("ms").alias("b")).select(
+            entry(F.col("pay_to"), F.to_json(F.struct("scans", iso("a").alias("first_at"), iso("b").alias("last_at")))).alias("e")))}
+    lines = None
+    for at, (name, (opening, closing, rows)) in enumerate(members.items()):
+        rows = ws.materialize(rows.withColumn("k", F.monotonically_increasing_id()), name)
+        first = rows.agg(F.min("k").alias("first"))
+        body = rows.join(first).select(F.lit(at).alias("at"), "k", F.concat(F.when(F.col("k") == F.col("first"), "").otherwise(","), "e").alias("value"))
+        frame = spark.createDataFrame([(at, -1, f'{"," if at else "{"}"{name}":{opening}'), (at, 2**63 - 1, closing + ("}" if at == len(members) - 1 else ""))],
+                                      "at int, k bigint, value string")
+        lines = body.unionByName(frame) if lines is None else lines.unionByName(body).unionByName(frame)
+    lines.repartitionByRange(4, "at", "k").sortWithinPartitions("at", "k").select("value").write.text(ws.path + "/snapshot")
+    led = SN.snapshot_ledgers(SN.load_snapshot(spark, ws.path + "/snapshot", ws))
+    row = lambda df, name, k, who, ms: df.select(F.lit(name).alias("ledger"), F.col(k).alias("k"), F.coalesce(F.col(who) if isinstance(who, str) else who, F.lit("")).alias("who"), F.col(ms).alias("ms"))
+    return (row(led.reports, "reports", "address", "reporter", "reported_ms")
+            .unionByName(row(led.incidents.filter(F.col("origin") == odd), "incidents", "address", "observer", "ms"))
+            .unionByName(row(led.scan_index.filter(F.col("commitment") == odd), "scan_index", "scan_id", "pay_to", "ms"))
+            .unionByName(row(led.pins, "pins", "domain", "pay_to", "ms"))
+            .unionByName(row(led.scan_counts, "scan_counts", "pay_to", F.col("scans").cast("string"), "last_ms")))
+
+
 @query("src_5_save_load_ledgers", f"SELECT address, category, reporter, reported_ms FROM reports", "reports")
 def src_5(spark, sf):
     version = IO.save_ledgers({"reports": view(spark, sf, "reports"), "badlist": view(spark, sf, "badlist")}, Workspace(spark).path)

@@ -1,4 +1,4 @@
-"""Ledger snapshots, the bad list and the decision log."""
+"""Saved ledgers, the bad list and the decision log. Exported snapshots are read by ``snapshot``."""
 
 from __future__ import annotations
 
@@ -10,52 +10,6 @@ from ..config import DAY_MS
 from ..functions.scalars import iso_utc, number_text
 from ..schemas import struct_of
 
-_REPORT = "struct<address:string,category:string,reason:string,reporter_agent_id:string,evidence_url:string,reported_at:string>"
-# exported snapshot: one JSON object of maps; name -> (type of the member, how to turn an entry into columns)
-SNAPSHOT = {
-    "nonces": "map<string,struct<first_seen:string,times_seen:bigint,scan_id:string>>",
-    "reports": f"array<{_REPORT}>",
-    "disputes": "map<string,array<struct<address:string,statement:string,signature:string,disputed_at:string>>>",
-    "keys": "map<string,struct<agent_id:string,created_at:string,plan:string,plan_expires_at:string,first_party:boolean,calls_used:bigint>>",
-    "revoked": "map<string,struct<revoked_at:string,reason:string,grace_until:string,successor:string>>",
-    "scan_index": "map<string,struct<commitment:string,pay_to:string,domain:string,verdict:string,key_hash:string,at:string,outcome:string>>",
-    "outcomes": "map<string,struct<delivered:bigint,not_delivered:bigint,partial:bigint,wrong_content:bigint,receiptless:bigint,"
-                "reporters:array<string>,first_at:string,last_at:string>>",
-    "outcomes_by_domain": "map<string,struct<delivered:bigint,not_delivered:bigint,partial:bigint,wrong_content:bigint,receiptless:bigint,"
-                          "reporters:array<string>,pay_tos:array<string>,first_at:string,last_at:string>>",
-    "scan_counts": "map<string,struct<scans:bigint,first_at:string,last_at:string>>",
-    "injection_incidents": "map<string,array<struct<address:string,check_id:string,origin:string,observer:string,scan_id:string,at:string>>>",
-    "cumulative_spend": "map<string,struct<usd:double,scans:bigint,first_at:string,last_at:string>>",
-    "velocity": "map<string,array<struct<t:bigint,usd:double>>>",
-    "counterparties": "map<string,array<string>>",
-    "pins": "map<string,struct<pay_to:string,first_seen:string,times_seen:bigint,cdp_status:string>>",
-    "scout_scores": "map<string,struct<score:double,level:string,flags:array<string>,checked_at:string>>",
-    "uptime_ranges": "array<struct<from:string,to:string>>",
-}
-
-
-def load_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of an exported JSON snapshot: map keys become ``key``, list positions ``pos``, ISO times stay text.
-
-    Such exports are bounded by their writer's entry cap; ongoing ledgers live in Parquet (``save_ledgers``).
-    """
-    schema = ", ".join(f"`{n}` {t}" for n, t in SNAPSHOT.items())
-    doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("s"))
-    out = {}
-    for name, kind in SNAPSHOT.items():
-        member = F.col(f"s.{name}")
-        if kind.startswith("array"):
-            out[name] = doc.select(F.posexplode(member).alias("pos", "e")).select("pos", "e.*")
-        elif kind.startswith("map<string,array<struct"):
-            d = doc.select(F.explode(member).alias("key", "l"))
-            out[name] = d.select("key", F.posexplode("l").alias("pos", "e")).select("key", "pos", "e.*")
-        elif kind == "map<string,array<string>>":
-            d = doc.select(F.explode(member).alias("key", "l"))
-            out[name] = d.select("key", F.posexplode("l").alias("pos", "value"))
-        else:
-            out[name] = doc.select(F.posexplode(F.map_entries(member)).alias("pos", "m")).select("pos", F.col("m.key").alias("key"), "m.value.*")
-    return out
-
 
 def save_ledgers(tables: dict[str, DataFrame], root: str) -> str:
     """Write the tables as Parquet into a fresh version folder and return it. The marker is written last, so readers see whole versions."""

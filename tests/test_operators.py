@@ -17,6 +17,7 @@ from paysieve.plans import screen as SC
 from paysieve.schemas import conform
 from paysieve.sources import corpus, ledger_io as IO, payments as SP
 from paysieve.sources.streams import stream_payments
+from paysieve.sources.snapshot import load_snapshot
 from paysieve.streaming.screening import split_late, stream_screen
 
 SF = "/root/testdata/sf0.001"
@@ -177,7 +178,7 @@ def test_read_payments_and_snapshot(spark, tmp_path):
     assert bad.count() == 2
     (tmp_path / "snap.json").write_text(json.dumps({"pins": {"a.example": {"pay_to": "0x1", "first_seen": "2024-01-01T00:00:00Z", "times_seen": 2, "cdp_status": "verified"}},
                                                     "counterparties": {"ag": ["0x1", "0x2"]}, "velocity": {"ag": [{"t": 1, "usd": 0.5}]}, "reports": []}))
-    t = IO.load_snapshot(spark, str(tmp_path / "snap.json"))
+    t = load_snapshot(spark, str(tmp_path / "snap.json"))
     assert t["pins"].collect()[0].pay_to == "0x1" and t["counterparties"].count() == 2 and t["velocity"].collect()[0].usd == 0.5
     (tmp_path / "bad.json").write_text('["0xAB", 5, "0xab"]')
     assert [x.address for x in IO.read_badlist(spark, str(tmp_path / "bad.json")).collect()] == ["0xab"]
