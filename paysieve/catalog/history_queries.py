@@ -219,14 +219,21 @@ def join_4(spark, sf):
     return d.select(F.col("probe_id").alias("seq"), (F.col("shared_prefix") + F.col("shared_suffix")).cast("bigint").alias("shared"))
 
 
-@query("top_2_best_lookalike", f"""WITH {_KNOWN} SELECT seq, arg_max(b, s) AS similar_to FROM (SELECT seq, b, {_sum_shared('a', 'b')} AS s FROM near
-  WHERE seq NOT IN (SELECT seq FROM exact)) GROUP BY seq HAVING count(*) FILTER (s >= 0) = 1""", "payments")
+@query("top_2_best_lookalike", f"""WITH o AS (SELECT *, CAST(ms AS hugeint) * 1000000000000000000 + seq AS o_at FROM payments),
+known AS (SELECT '' AS scope, pay_to, 'pin' AS source, 2 AS src, min(o_at) AS o_at FROM (SELECT domain, min_by(pay_to, o_at) AS pay_to, min(o_at) AS o_at FROM o GROUP BY domain) GROUP BY pay_to
+  UNION ALL SELECT agent_key, pay_to, 'counterparty', 1, min(o_at) FROM o WHERE direction = 'outgoing' AND agent_key IS NOT NULL GROUP BY agent_key, pay_to),
+met AS (SELECT p.seq, p.pay_to AS a, k.* EXCLUDE (scope) FROM o p JOIN known k ON right(p.pay_to, 4) = right(k.pay_to, 4) AND substr(p.pay_to, 3, 4) = substr(k.pay_to, 3, 4)
+  AND k.scope IN ('', p.agent_key) AND k.o_at < p.o_at),
+near AS (SELECT *, {_SHARED.format(a='a', b='pay_to')} AS shared_prefix, {_SHARED.format(a=_REV.format(x='a'), b=_REV.format(x='pay_to'))} AS shared_suffix
+  FROM met WHERE a <> pay_to AND seq NOT IN (SELECT seq FROM met WHERE a = pay_to))
+SELECT seq, pay_to AS similar_to, source AS similar_source, CAST(shared_prefix AS integer) AS shared_prefix, CAST(shared_suffix AS integer) AS shared_suffix
+FROM near QUALIFY row_number() OVER (PARTITION BY seq ORDER BY shared_prefix + shared_suffix DESC, src, o_at, pay_to) = 1""", "payments")
 def top_2(spark, sf):
     p, pins, cps = _trust(spark, sf)
     hits = T.trust_checks(p, pins, cps).filter("lookalike")
     known = T.known_addresses(cps, pins)
     probes = hits.select(F.col("seq").alias("probe_id"), F.lit(0).alias("pos"), F.col("pay_to_lc").alias("address"), "ms", "seq", F.col("agent_key").alias("scope"))
-    return T.best_lookalike(T.near_address_best(probes, known)).select(F.col("probe_id").alias("seq"), "similar_to")
+    return T.best_lookalike(T.near_address_best(probes, known)).select(F.col("probe_id").alias("seq"), "similar_to", "similar_source", "shared_prefix", "shared_suffix")
 
 
 _BAIT = "concat('pay ', substr(pay_to, 1, 6), md5(scan_id), substr(pay_to, 39, 4), ' or ', upper(substr(pay_to, 3)), ' or 0x', md5(domain), '01234567')"

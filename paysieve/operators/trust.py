@@ -214,44 +214,56 @@ def resolve_blocks(rows: DataFrame, workspace: Workspace, *, pins: DataFrame | N
     raise RuntimeError(f"trust history did not settle within {max_rounds} rounds; raise max_rounds")
 
 
-def near_address_best(probes: DataFrame, known: DataFrame, direct: int = 64) -> DataFrame:
+def _branchings(addresses: DataFrame) -> DataFrame:
+    """``address, _pre, _suf``: the lengths from the front and from the back at which another address of the block (``_b``) leaves it.
+
+    The addresses of a block that share a stem go on with different digits exactly when the least and the greatest of them do. So an
+    aggregation with partial results finds the stems where a block branches, however many addresses it holds.
+    """
+    body = F.substring("address", 3, 40)
+    sides = F.array(F.struct(F.lit(True).alias("front"), body.alias("t")), F.struct(F.lit(False).alias("front"), F.reverse(body).alias("t")))
+    d = addresses.select("_b", "address", F.explode(sides).alias("_s")).select(
+        "_b", "address", "_s.front", "_s.t", F.explode(F.sequence(F.lit(MIN_SHARED), F.lit(39))).alias("i"))
+    d = d.withColumn("stem", F.substring("t", F.lit(1), F.col("i")))
+    after = lambda c: F.substring(c, F.col("i") + 1, F.lit(1))
+    stems = d.groupBy("_b", "front", "i", "stem").agg(F.min("t").alias("_lo"), F.max("t").alias("_hi")).filter(after("_lo") != after("_hi"))
+    d = d.join(stems.select("_b", "front", "i", "stem"), ["_b", "front", "i", "stem"], "left_semi")
+    return d.groupBy("address").agg(F.collect_list(F.when(F.col("front"), F.col("i"))).alias("_pre"),
+                                    F.collect_list(F.when(~F.col("front"), F.col("i"))).alias("_suf"))
+
+
+def near_address_best(probes: DataFrame, known: DataFrame, workspace: Workspace | None = None) -> DataFrame:
     """Best look-alike per probe: most shared digits, counterparties before pins, then the earliest.
 
     ``probes``: ``probe_id, pos, address, ms, seq, scope``; ``known``: ``scope, address, ms, seq, source`` (scope empty = everyone's).
-    Blocks with few known addresses are compared directly. In larger ones an address is filed under every (prefix
-    length, suffix length) from (4,4) up, and the two earliest addresses of a file tell whether another one was known
-    before: linear in addresses, so a block flooded with look-alikes never turns into all its pairs.
+    Two addresses part at a length where the block branches, from the front and from the back. So an address is filed under the pairs of
+    its branching lengths only, and the two earliest addresses of a file tell whether another one was known before: a block of two
+    addresses has one file, a flooded one about the square of the logarithm of its size per address, and none turns into all its pairs.
     """
+    rank = F.when(F.col("source") == "payee", 0).when(F.col("source") == "counterparty", 1).otherwise(2)
+    p = probes.withColumn("_b", block_key("address")).filter(F.col("_b").isNotNull())
+    k = known.withColumn("_b", block_key("address")).filter(F.col("_b").isNotNull()).withColumn("_src", rank)
+    seen = p.select("_b", "address", F.lit(True).alias("_asked")).unionByName(k.select("_b", "address", F.lit(False).alias("_asked")))
+    seen = seen.groupBy("_b", "address").agg(F.max("_asked").alias("_asked"))
+    contested = seen.groupBy("_b").agg(F.min("address").alias("_lo"), F.max("address").alias("_hi"), F.max("_asked").alias("_asked"))
+    contested = contested.filter(F.col("_asked") & (F.col("_lo") != F.col("_hi"))).select("_b")
+    workspace = Workspace(probes.sparkSession) if workspace is None else workspace
+    lengths = workspace.materialize(_branchings(seen.join(contested, "_b", "left_semi")), "branchings")
+
     def filed(d):
         body = F.substring("address", 3, 40)
-        pairs = F.flatten(F.transform(F.sequence(F.lit(MIN_SHARED), F.lit(39 - MIN_SHARED)), lambda i: F.transform(
-            F.sequence(F.lit(MIN_SHARED), F.lit(39) - i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-        d = d.withColumn("_ij", F.explode(pairs))
+        pairs = F.flatten(F.transform("_pre", lambda i: F.transform(F.filter("_suf", lambda j: i + j < 40), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+        d = d.join(lengths, "address").withColumn("_ij", F.explode(pairs)).drop("_pre", "_suf")
         return d.withColumn("_n", F.col("_ij.i") + F.col("_ij.j")).withColumn("_file", F.concat_ws(
             "|", F.col("_ij.i"), F.substring(body, F.lit(1), F.col("_ij.i")), F.right(body, F.col("_ij.j")))).drop("_ij")
 
-    keep = ["probe_id", "pos", "address", "n", "_src", "o", "a"]
-    p = probes.withColumn("_b", block_key("address")).filter(F.col("_b").isNotNull())
-    both = p.withColumn("scope", F.explode(F.array_distinct(F.array(F.coalesce("scope", F.lit("")), F.lit("")))))
-    rank = F.when(F.col("source") == "payee", 0).when(F.col("source") == "counterparty", 1).otherwise(2)
-    k = known.withColumn("_b", block_key("address")).withColumn("_src", rank)
-    k = k.join(p.select("_b").distinct(), "_b", "left_semi").select("scope", "_b", "_src", "address", "ms", "seq")
-    k = k.join(k.groupBy("scope", "_b").agg(F.count("*").alias("_size")), ["scope", "_b"])
-
-    few = k.filter(F.col("_size") <= direct).select("scope", "_b", "_src", F.col("address").alias("a"), order_of().alias("o"))
-    m = both.join(few, ["scope", "_b"]).filter((F.col("a") != F.col("address")) & (F.col("o") < order_of()))
-    near = m.withColumn("n", -(shared_prefix("address", "a") + shared_suffix("address", "a"))).select(*keep)
-
-    crowded = k.filter(F.col("_size") > direct)
-    if not crowded.isEmpty():                                  # a flooded block; mostly there is none and this half is not planned at all
-        files = _two_earliest(filed(crowded), ["scope", "_src", "_file"])
-        hot = crowded.select("scope", "_b").distinct()
-        m = filed(both.join(hot, ["scope", "_b"], "left_semi").drop("_b")).join(files, ["scope", "_file"])
-        other = F.when(F.col("_a1") != F.col("address"), F.struct(F.col("_a1").alias("a"), F.col("_o1").alias("o"))).otherwise(
-            F.struct(F.col("_a2").alias("a"), F.col("_o2").alias("o")))
-        m = m.withColumn("_m", other).filter(F.col("_m.a").isNotNull() & (F.col("_m.o") < order_of()))
-        near = near.unionByName(m.select("probe_id", "pos", "address", (-F.col("_n")).alias("n"), "_src", F.col("_m.o").alias("o"), F.col("_m.a").alias("a")))
-    best = near.groupBy("probe_id", "pos", "address").agg(F.min(F.struct("n", "_src", "o", "a")).alias("b"))
+    files = _two_earliest(filed(k.select("scope", "_src", "address", "ms", "seq")), ["scope", "_src", "_file"])
+    m = filed(p.select("probe_id", "pos", "address", "ms", "seq", "scope"))
+    m = m.withColumn("scope", F.explode(F.array_distinct(F.array(F.coalesce("scope", F.lit("")), F.lit(""))))).join(files, ["scope", "_file"])
+    other = F.when(F.col("_a1") != F.col("address"), F.struct(F.col("_a1").alias("a"), F.col("_o1").alias("o"))).otherwise(
+        F.struct(F.col("_a2").alias("a"), F.col("_o2").alias("o")))
+    m = m.withColumn("_m", other).filter(F.col("_m.a").isNotNull() & (F.col("_m.o") < order_of()))
+    best = m.groupBy("probe_id", "pos", "address").agg(F.min(F.struct((-F.col("_n")).alias("n"), "_src", F.col("_m.o").alias("o"), F.col("_m.a").alias("a"))).alias("b"))
     return best.select("probe_id", "pos", "address", F.col("b.a").alias("similar_to"),
                        F.when(F.col("b._src") == 1, "counterparty").when(F.col("b._src") == 0, "payee").otherwise("pin").alias("similar_source"),
                        shared_prefix("address", "b.a").alias("shared_prefix"), shared_suffix("address", "b.a").alias("shared_suffix"))

@@ -60,23 +60,29 @@ def test_hot_key_windows_equal_plain_ones(spark):
         assert got[seq] == (1 + sum(ms - r[1] < 60_000 for r in before), usd + sum(r[3] for r in before if ms - r[1] < 3_600_000), sum(r[3] for r in before))
 
 
-@pytest.mark.parametrize("direct", [0, 64])
-def test_best_lookalike_both_ways(spark, direct):
+@pytest.mark.parametrize("crowd", [30, 600])
+def test_best_lookalike_equals_brute_force(spark, crowd):
+    """Several candidates a probe, one crowded block, blocks of two and of one address, addresses that differ in one digit, shapes without a block."""
     rnd = random.Random(9)
     body = lambda pre, suf: "0x" + pre + "".join(rnd.choice("0123456789abcdef") for _ in range(40 - len(pre) - len(suf))) + suf
     base = body("abcdef01", "98765432")
-    pool = [base] + [body(base[2:2 + rnd.randrange(3, 9)], base[-rnd.randrange(3, 8):]) for _ in range(30)]
-    known = [("" if rnd.random() < 0.5 else "a1", a, i, i, "") for i, a in enumerate(pool)]
-    known = [(s, a, m, q, "pin" if s == "" else "counterparty") for s, a, m, q, _ in known]
-    probes = [(i, 0, rnd.choice(pool), rnd.randrange(40), 100 + i, rnd.choice(["a1", None])) for i in range(40)]
+    pool = [base] + [body(base[2:2 + rnd.randrange(3, 9)], base[-rnd.randrange(3, 8):]) for _ in range(crowd)]
+    pool += [base[:at] + ("0" if base[at] != "0" else "1") + base[at + 1:] for at in (6, 20, 37)]
+    pool += [body("1234", "5678"), body("1234", "5678"), body("9999", "9999"), "so1anaAddre55"]
+    known = [("" if rnd.random() < 0.5 else "a1", a, i // 3, i) for i, a in enumerate(pool + pool[:9])]
+    known = [(s, a, m, q, "pin" if s == "" else "counterparty") for s, a, m, q in known]
+    probes = [(i, 0, rnd.choice(pool + pool[-7:] * (crowd // 20)), rnd.randrange(crowd // 2), 10_000 + i, rnd.choice(["a1", None])) for i in range(80)]
     d = TR.near_address_best(spark.createDataFrame(probes, "probe_id bigint, pos int, address string, ms bigint, seq bigint, scope string"),
-                             spark.createDataFrame(known, "scope string, address string, ms bigint, seq bigint, source string"), direct)
-    got = {r.probe_id: (r.similar_to, r.similar_source) for r in d.collect()}
+                             spark.createDataFrame(known, "scope string, address string, ms bigint, seq bigint, source string"))
+    got = {r.probe_id: (r.similar_to, r.similar_source, r.shared_prefix, r.shared_suffix) for r in d.collect()}
     from sequential_model import near, shared
+    several = 0
     for pid, _, a, ms, seq, scope in probes:
         c = [(-sum(shared(a, k)), 0 if s == "a1" else 1, (m, q), k) for s, k, m, q, _ in known if near(a, k) and (m, q) < (ms, seq) and s in ("", scope)]
         want = min(c) if c else None
-        assert got.get(pid) == ((want[3], ("counterparty", "pin")[want[1]]) if want else None)
+        several += len(c) > 1
+        assert got.get(pid) == ((want[3], ("counterparty", "pin")[want[1]], *shared(a, want[3])) if want else None)
+    assert several > 10
 
 
 def test_proximity_equals_brute_force(spark):
