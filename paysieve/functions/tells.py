@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import patterns as P
 from .scalars import col
@@ -38,6 +38,12 @@ def find_tells(text: str) -> Column:
     return F.coalesce(F.when(F.length(text) > 0, F.expr(once)[0]), F.array().cast(TELL_ARRAY))
 
 
+def once(df: DataFrame) -> DataFrame:
+    """``df`` with its columns computed before anything that follows: a later filter on them would otherwise be moved below
+    the projection and compute them a second time."""
+    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
+
+
 def tell_ids(tells) -> Column:
     return F.transform(col(tells), lambda h: h["id"])
 
@@ -70,7 +76,7 @@ def nearest_address(text, tells) -> Column:
 
     folded = F.aggregate(pairs, start, step, lambda a: F.when(
         a["d"].isNotNull(), F.struct(a["d"].alias("distance"), a["id"].alias("tell_id"))))
-    return F.when((F.size(usable) > 0) & text.rlike(P.ADDRESS_TOKEN), folded)
+    return F.when((F.size(usable) > 0) & (F.contains(text, F.lit("0x")) | text.rlike(P.MAY_HEX)), folded)
 
 
 def tell_score(tells, proximity=None) -> Column:

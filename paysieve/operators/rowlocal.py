@@ -191,7 +191,7 @@ def with_deep_findings(df: DataFrame, gate: Column, name: str = "deep_checks") -
     on = gate & (F.length(c) > 0)
     d = df.withColumns({
         "_payee": payee, "_on": on,
-        "_plain": F.transform(F.when(on & c.rlike(P.MAY_BASE64), X.base64_blobs(c)), X.from_base64),
+        "_plain": F.transform(F.when(on & c.rlike(P.MAY_BASE64) & c.rlike(P.BASE64_RUN), X.base64_blobs(c)), X.from_base64),
         "_hex": F.transform(F.when(on & c.rlike(P.MAY_HEX), X.hex_blobs(c)), X.from_hex),
         "_v": X.decode_variants(F.when(on & (F.contains(c, F.lit("%")) | F.contains(c, F.lit("&#")) | X.not_ascii(c)), c))})
     family = lambda n, v: f"named_struct('encoding', '{n}', 'text', {v}, 'low', lower({v}))"
