@@ -6,7 +6,7 @@ import re
 import sys
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, functions as F, types as T
 
@@ -23,6 +23,10 @@ _ENTITY_ANY = re.compile("&#x?[0-9a-fA-F]+;")
 _ENTITY_HEX = re.compile("&#x([0-9a-fA-F]+);", re.IGNORECASE)
 _ENTITY_DEC = re.compile("&#([0-9]+);")
 _TAGS = re.compile("[\U000e0000-\U000e007f]")
+_FOLDS = frozenset(P.CONFUSABLES)
+_INERT = frozenset(c for c in map(chr, range(0x250)) if unicodedata.is_normalized("NFKC", c) and not _STRIP.match(c) and c not in _FOLDS)
+#: Bytes of text that a worker turns into Python strings at a time.
+SLICE_BYTES = 4 << 20
 
 
 def fold_skeleton(text: str) -> str:
@@ -36,31 +40,48 @@ def _code_point(digits: str, base: int) -> str:
     return chr(n) if n <= 0x10FFFF and not 0xD800 <= n <= 0xDFFF else ""
 
 
+def _folds(text: str) -> bool:
+    """Whether a text that is not ASCII differs from its skeleton; most texts are told apart by the few characters they use."""
+    return not _INERT.issuperset(text) and (any(c in _FOLDS or _STRIP.match(c) for c in set(text)) or not unicodedata.is_normalized("NFKC", text))
+
+
 def _variants(text: str | None):
     if text is None:
         return None, None, None, None
     percent = entity = tags = skeleton = None
-    if _PERCENT.search(text):
+    if "%" in text and _PERCENT.search(text):
         percent = _PERCENT.sub(lambda m: chr(int(m[1], 16)), text)
-    if _ENTITY_ANY.search(text):
+    if "&#" in text and _ENTITY_ANY.search(text):
         entity = _ENTITY_DEC.sub(lambda m: _code_point(m[1], 10), _ENTITY_HEX.sub(lambda m: _code_point(m[1], 16), text))
     if not text.isascii():
         if _TAGS.search(text):
             tags = "".join(chr(ord(c) - 0xE0000) for c in text if 0xE0020 <= ord(c) <= 0xE007F) or None
-        folded = fold_skeleton(text)
-        skeleton = folded if folded != text else None
+        if _folds(text):
+            folded = fold_skeleton(text)
+            skeleton = folded if folded != text else None
     return percent, entity, tags, skeleton
 
 
-@F.pandas_udf(VARIANTS)
-def decode_variants(texts: pd.Series) -> pd.DataFrame:
+def _by_slices(texts: pa.Array, kind: pa.DataType, read) -> pa.Array:
+    """``read`` of every text, a bounded number of bytes held as Python strings at a time: a text that is not ASCII takes up to four bytes
+    a character there."""
+    if not len(texts):
+        return pa.array([], kind)
+    size = texts.nbytes // len(texts) + 1
+    step = max(1, SLICE_BYTES // size)
+    return pa.concat_arrays([pa.array([read(t.as_py()) for t in texts.slice(at, step)], kind) for at in range(0, len(texts), step)])
+
+
+@F.arrow_udf(VARIANTS)
+def decode_variants(texts: pa.Array) -> pa.Array:
     """Percent, entity, tag and skeleton readings of each text; null where a reading does not apply."""
-    return pd.DataFrame([_variants(t) for t in texts], columns=VARIANTS.names, dtype=object)
+    kind = pa.struct([(n, pa.string()) for n in VARIANTS.names])
+    return _by_slices(texts, kind, lambda t: dict(zip(VARIANTS.names, _variants(t))))
 
 
-@F.pandas_udf(T.StringType())
-def _skeleton_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else fold_skeleton(t))
+@F.arrow_udf(T.StringType())
+def _skeleton_udf(texts: pa.Array) -> pa.Array:
+    return _by_slices(texts, pa.string(), lambda t: None if t is None else fold_skeleton(t) if not t.isascii() and _folds(t) else t)
 
 
 def not_ascii(text) -> Column:
