@@ -13,6 +13,7 @@ from __future__ import annotations
 import io
 import pickle
 import sys
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])   # executors need no copy of this package
 HOUR, MINUTE = 3_600_000, 60_000
+WEEK = 7 * 24 * HOUR
+#: Groups that the keys of an operator with many keys are dealt to, and state values that the keys of a group share.
+SHARDS, PAGES = 256, 64
 
 
 def rocksdb(spark) -> None:
@@ -123,39 +127,147 @@ class _Timed(StatefulProcessor):
         pass
 
 
+class _Sharded(_Timed):
+    """The same for operators with many keys: a group is a shard of keys and a state value a page of them, so a key costs no group, timer or
+    call to the state store of its own.
+
+    Rows wait in segments of a week. A segment is taken up to the watermark and what is left is written back, so memory holds what a shard
+    has waiting of one week, and its pages in use. ``step`` takes the sorted rows of a key and its state, and gives result rows, the new state (None to forget the key) and a
+    time once which has passed ``lapse`` is asked about the key, if any.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.done = handle, None
+        self.buffer = handle.getMapState("buffer", "segment bigint", "rows binary")
+        self.ends = handle.getMapState("ends", "segment bigint", "rows binary")
+        self.states = handle.getMapState("states", "page bigint", "state binary")
+
+    def step(self, key, rows, state) -> tuple:
+        raise NotImplementedError
+
+    def lapse(self, key, state, horizon) -> tuple:
+        return [], state
+
+    def due(self, at: int, mark: int) -> bool:
+        return (at // self.size + 1) * self.size <= mark
+
+    def wake(self, at: int) -> int:
+        return (at // self.size + 1) * self.size
+
+    def _put(self, held, rows, mark) -> None:
+        by: dict = {}
+        for r in rows:
+            by.setdefault(r[0] // WEEK, []).append(r)
+        for segment, part in by.items():
+            old = held.getValue((segment,))
+            held.updateValue((segment,), ((bytes(old[0]) if old else b"") + pickle.dumps(part),))
+            at = self.wake(min(r[0] for r in part))
+            if at > mark:
+                self.handle.registerTimer(at)
+
+    def _take(self, held, mark):
+        for segment in sorted(s for (s,) in list(held.keys()) if s * WEEK <= mark):
+            rows = sorted(_unpack(bytes(held.getValue((segment,))[0])), key=lambda r: (r[0], r[1] if held is self.buffer else 0))
+            n = sum(self.due(r[0], mark) for r in rows)
+            if n == len(rows):
+                held.removeKey((segment,))
+            elif n:
+                held.updateValue((segment,), (pickle.dumps(rows[n:]),))
+                self.handle.registerTimer(self.wake(rows[n][0]))
+            if n:
+                yield rows[:n]
+
+    def _pages(self, keys):
+        """Each page that ``keys`` are on: its keys among them, and its states by key, which are written back if they have changed."""
+        by: dict = {}
+        for key in keys:
+            by.setdefault(zlib.crc32(repr(key).encode()) % PAGES, []).append(key)
+        for page, some in by.items():
+            held = self.states.getValue((page,))
+            states = pickle.loads(bytes(held[0])) if held else {}
+            before = dict(states)
+            yield some, states
+            if not states and held:
+                self.states.removeKey((page,))
+            elif states != before:
+                self.states.updateValue((page,), (pickle.dumps(states),))
+
+    @staticmethod
+    def _keep(states, key, new) -> None:
+        if new is None:
+            states.pop(key, None)
+        else:
+            states[key] = new
+
+    def _steps(self, rows, mark) -> list[tuple]:
+        """Result rows of ``rows`` (ms, seq, key, columns), in the order given."""
+        by, out, ends = {}, [], []
+        for ms, seq, key, *more in rows:
+            by.setdefault(key, []).append((ms, seq, *more))
+        for some, states in self._pages(by):
+            for key in some:
+                got, new, until = self.step(key, by[key], states.get(key))
+                self._keep(states, key, new)
+                out += got
+                ends += [(at, key) for at in until]
+        self._put(self.ends, ends, mark)
+        return out
+
+    def handleInputRows(self, key, rows, timerValues):
+        mark, width = timerValues.getCurrentWatermarkInMs(), len(self.keys)
+        for d in rows:
+            d = d[d["seq"].notna() & d["ms"].notna()]
+            got = [(int(r[0]), int(r[1]), r[2:2 + width], *r[2 + width:])
+                   for r in d[["ms", "seq", *self.keys, *self.columns]].itertuples(index=False, name=None)]
+            yield self._frame([self.late(k, ms, seq) for ms, seq, k, *_ in got if ms < mark], True)
+            self._put(self.buffer, [r for r in got if r[0] >= mark], mark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs()
+        if self.done == (key, mark):         # the first timer of a shard has taken all that is due
+            return
+        self.done = (key, mark)
+        for rows in self._take(self.buffer, mark):
+            yield self._frame(self._steps(rows, mark))
+        yield from self._lapses(mark)
+
+    def _lapses(self, mark):
+        for rows in self._take(self.ends, mark):
+            out = []
+            for some, states in self._pages(dict.fromkeys(r[1] for r in rows)):
+                for key in some:
+                    if key in states:
+                        got, new = self.lapse(key, states[key], mark // self.size * self.size)
+                        self._keep(states, key, new)
+                        out += got
+            yield self._frame(out)
+
+
 def _number(x) -> float:
     return 0.0 if x is None or x != x else float(x)
 
 
-class _Replay(_Timed):
+class _Replay(_Sharded):
     """First sighting and count of a nonce; a sighting expires ``ttl`` after the first one, reuse does not renew it."""
 
-    result = ("seq", "nonce_key", "nonce_seen", "nonce_first_ms")
+    keys, result = ("nonce_key",), ("seq", "nonce_key", "nonce_seen", "nonce_first_ms")
 
     def __init__(self, ttl_ms):
         super().__init__()
         self.ttl = ttl_ms
 
-    def open(self, handle):
-        self.seen = handle.getValueState("seen", "first_ms bigint, times bigint")
-
-    def fold(self, key, bucket, rows):
-        first, times = self.seen.get() if self.seen.exists() else (None, 0)
+    def step(self, key, rows, state):
+        first, times = state or (None, 0)
         before, out = first, []
         for ms, seq in rows:
             if first is None or (self.ttl is not None and ms - first > self.ttl):
-                first, times = int(ms), 0
+                first, times = ms, 0
             times += 1
-            out.append((int(seq), key[0], times, first))
-        self.seen.update((first, times))
-        if self.ttl is not None and first != before:
-            self.expire(first + self.ttl)
-        return out
+            out.append((seq, key[0], times, first))
+        return out, (first, times), [first + self.ttl] if self.ttl is not None and first != before else []
 
-    def settle(self, key, horizon):
-        if self.ttl is not None and self.seen.exists() and horizon > self.seen.get()[0] + self.ttl:
-            self.seen.clear()
-        return []
+    def lapse(self, key, state, horizon):
+        return [], None if horizon > state[0] + self.ttl else state
 
 
 class _Velocity(_Timed):
@@ -201,53 +313,44 @@ class _Velocity(_Timed):
         return []
 
 
-class _Pins(_Timed):
+class _Pins(_Sharded):
     """First payee of a domain; a row of kind ``clear`` forgets it; blocked rows never set it."""
 
-    columns, result = ("pay_to", "kind"), ("seq", "domain", "check_id", "times_seen")
-
-    def open(self, handle):
-        self.pin = handle.getValueState("pin", "pay_to string, first_ms bigint, times bigint")
+    keys, columns, result = ("domain",), ("pay_to", "kind"), ("seq", "domain", "check_id", "times_seen")
 
-    def fold(self, key, bucket, rows):
-        pin = tuple(self.pin.get()) if self.pin.exists() else None
+    def step(self, key, rows, pin):
         out = []
         for ms, seq, payee, kind in rows:
             if kind == "clear":
                 pin = None
             elif pin is None:
-                out.append((int(seq), key[0], "pin.created", 1))
+                out.append((seq, key[0], "pin.created", 1))
                 if kind != "blocked":
-                    pin = (payee, int(ms), 1)
+                    pin = (payee, ms, 1)
             elif pin[0] == payee:
                 pin = (pin[0], pin[1], pin[2] + 1)
-                out.append((int(seq), key[0], "pin.match", pin[2]))
+                out.append((seq, key[0], "pin.match", pin[2]))
             else:
-                out.append((int(seq), key[0], "pin.mismatch", pin[2]))
-        self.pin.clear() if pin is None else self.pin.update(pin)
-        return out
+                out.append((seq, key[0], "pin.mismatch", pin[2]))
+        return out, pin, []
 
 
-class _Spend(_Timed):
+class _Spend(_Sharded):
     """Spend of a pair before each row, and whether it unlocks the deep tier."""
 
-    columns, result = ("usd",), ("seq", "agent_key", "pay_to", "prior_usd", "unlocked")
+    keys, columns, result = ("agent_key", "pay_to"), ("usd",), ("seq", "agent_key", "pay_to", "prior_usd", "unlocked")
 
     def __init__(self, threshold):
         super().__init__()
         self.threshold = threshold
 
-    def open(self, handle):
-        self.total = handle.getValueState("total", "usd double")
-
-    def fold(self, key, bucket, rows):
-        total, out = float(self.total.get()[0]) if self.total.exists() else 0.0, []
+    def step(self, key, rows, total):
+        total, out = total or 0.0, []
         for ms, seq, usd in rows:
             usd = _number(usd)
-            out.append((int(seq), key[0], key[1], round(total, 9), bool(usd < self.threshold <= total + usd)))
+            out.append((seq, *key, round(total, 9), bool(usd < self.threshold <= total + usd)))
             total += max(usd, 0.0)
-        self.total.update((total,))
-        return out
+        return out, total, []
 
 
 class _RateLimit(_Timed):
@@ -325,7 +428,7 @@ class _Provenance(_Timed):
         return []
 
 
-class _Sessions(_Timed):
+class _Sessions(_Sharded):
     """Ranges of beats no more than ``gap`` apart. A range comes out when time has passed its last beat by more than the gap, or at a row
     of kind ``close``; equal times are one beat."""
 
@@ -333,78 +436,84 @@ class _Sessions(_Timed):
 
     def __init__(self, gap_ms, keys):
         super().__init__()
-        self.gap, self.result = gap_ms, (*keys, "from_ms", "to_ms", "beats")
-
-    def open(self, handle):
-        self.now = handle.getValueState("range", "first bigint, last bigint, beats bigint")
+        self.gap, self.keys, self.result = gap_ms, tuple(keys), (*keys, "from_ms", "to_ms", "beats")
 
     def late(self, key, ms, seq):
         return (*key, ms, ms, 1)
 
-    def fold(self, key, bucket, rows):
-        cur, out = tuple(self.now.get()) if self.now.exists() else None, []
+    def step(self, key, rows, cur):
+        out = []
         for ms, _, kind in rows:
             if cur is not None and (kind == "close" or ms - cur[1] > self.gap):
                 out.append((*key, *cur))
                 cur = None
             if kind != "close":
-                cur = (int(ms), int(ms), 1) if cur is None else (cur[0], int(ms), cur[2] + (ms > cur[1]))
-        if cur is None:
-            self.now.clear()
-        else:
-            self.now.update(tuple(map(int, cur)))
-            self.expire(int(cur[1]) + self.gap)
-        return out
+                cur = (ms, ms, 1) if cur is None else (cur[0], ms, cur[2] + (ms > cur[1]))
+        return out, cur, [] if cur is None else [cur[1] + self.gap]
+
+    def lapse(self, key, cur, horizon):
+        return ([(*key, *cur)], None) if horizon > cur[1] + self.gap else ([], cur)
 
-    def settle(self, key, horizon):
-        if self.now.exists() and horizon > (cur := tuple(self.now.get()))[1] + self.gap:
-            self.now.clear()
-            return [(*key, *cur)]
-        return []
 
+class _Approvals(_Sharded):
+    """Approval life cycle: opened, decided or expired by an event-time timer, dropped a day after creation. Events count as they arrive."""
 
-class _Approvals(StatefulProcessor):
-    """Approval life cycle: opened, decided or expired by an event-time timer, dropped a day after creation."""
+    keys, columns, result = ("approval_id",), ("kind", "expires_ms"), ("approval_id", "status", "ms")
 
     def __init__(self, keep_ms):
+        super().__init__()
         self.keep = keep_ms
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("approval", "created bigint, expires bigint, status string")
+    def due(self, at, mark):
+        return at < mark
 
-    def handleInputRows(self, key, rows, timerValues):
-        parts = list(rows)
-        d = pd.concat(parts, ignore_index=True).sort_values(["ms", "seq"], kind="stable")        # an approval has a handful of events
-        cur = tuple(self.state.get()) if self.state.exists() else None
-        out = []
-        for ms, kind, expires in zip(d["ms"], d["kind"], d["expires_ms"]):
+    def wake(self, at):
+        return at
+
+    def _frame(self, rows, late=False):
+        return super()._frame(rows).drop(columns="late")
+
+    def step(self, key, rows, cur):
+        out, ends = [], []
+        for ms, _, kind, expires in rows:
             if kind == "open" and cur is None:
-                cur = (int(ms), int(expires), "pending")
-                self.handle.registerTimer(int(expires))
-                self.handle.registerTimer(int(ms) + self.keep)
-                out.append((key[0], "pending", int(ms)))
+                cur = (ms, int(expires), "pending")
+                ends += [cur[1], ms + self.keep]
+                out.append((key[0], "pending", ms))
             elif kind in ("approve", "deny") and cur is not None and cur[2] == "pending":
                 status = "expired" if ms >= cur[1] else "approved" if kind == "approve" else "denied"
                 cur = (cur[0], cur[1], status)
-                out.append((key[0], status, int(ms)))
-        if cur is not None:
-            self.state.update(cur)
-        yield pd.DataFrame(out, columns=["approval_id", "status", "ms"])
+                out.append((key[0], status, ms))
+        return out, cur, ends
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at, out = expiredTimerInfo.getExpiryTimeInMs(), []
-        if self.state.exists():
-            created, expires, status = self.state.get()
-            if status == "pending" and at >= expires:
-                self.state.update((created, expires, "expired"))
-                out.append((key[0], "expired", int(expires)))
-            if at >= created + self.keep:
-                self.state.clear()
-        yield pd.DataFrame(out, columns=["approval_id", "status", "ms"])
+    def handleInputRows(self, key, rows, timerValues):
+        parts = [d[["ms", "seq", "approval_id", "kind", "expires_ms"]] for d in rows]
+        d = pd.concat(parts, ignore_index=True).sort_values(["ms", "seq"], kind="stable")      # one micro-batch of a shard
+        yield self._frame(self._steps([(int(ms), seq, (one,), kind, expires) for ms, seq, one, kind, expires in d.itertuples(index=False, name=None)],
+                                      -1))
 
-    def close(self) -> None:
-        pass
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        mark = timerValues.getCurrentWatermarkInMs()
+        if self.done != (key, mark):
+            self.done = (key, mark)
+            yield from self._lapses(mark)
+
+    def _lapses(self, mark):
+        for rows in self._take(self.ends, mark):
+            out, times = [], {}
+            for at, key in rows:
+                times.setdefault(key, []).append(at)
+            for some, states in self._pages(times):
+                for key in some:
+                    for at in times[key]:
+                        if key not in states:
+                            break
+                        created, expires, status = states[key]
+                        if status == "pending" and at >= expires:
+                            status = "expired"
+                            out.append((key[0], "expired", expires))
+                        self._keep(states, key, None if at >= created + self.keep else (created, expires, status))
+            yield self._frame(out)
 
 
 def _run(df: DataFrame, keys: list[str], processor, schema: str) -> DataFrame:
@@ -417,10 +526,21 @@ def _in_time(df: DataFrame, keys: list[str], processor: _Timed, schema: str, del
     return _run(rows, keys, processor, schema + ", late boolean")
 
 
+def _by_shards(rows: DataFrame, processor: _Sharded, schema: str) -> DataFrame:
+    keys = [F.col(k).cast("string").alias(k) for k in processor.keys]
+    rest = [c for c in rows.columns if c not in processor.keys]
+    return _run(rows.select(F.pmod(F.xxhash64(*processor.keys), F.lit(SHARDS)).alias("shard"), *keys, *rest), ["shard"], processor, schema)
+
+
+def _in_time_sharded(df: DataFrame, processor: _Sharded, schema: str, delay: str) -> DataFrame:
+    rows = df.withColumn("ts", F.timestamp_millis("ms")).withWatermark("ts", delay).select(*processor.keys, "ms", "seq", *processor.columns)
+    return _by_shards(rows, processor, schema + ", late boolean")
+
+
 def stream_replay(df: DataFrame, ttl_hours: int | None = 24, delay: str = "0 seconds") -> DataFrame:
     """``seq, nonce_key, nonce_seen, nonce_first_ms, late`` of rows with a nonce."""
     d = df.filter("nonce_key is not null")
-    return _in_time(d, ["nonce_key"], _Replay(None if ttl_hours is None else ttl_hours * HOUR), "seq bigint, nonce_key string, nonce_seen bigint, nonce_first_ms bigint", delay)
+    return _in_time_sharded(d, _Replay(None if ttl_hours is None else ttl_hours * HOUR), "seq bigint, nonce_key string, nonce_seen bigint, nonce_first_ms bigint", delay)
 
 
 def stream_dedup(df: DataFrame, delay: str = "24 hours") -> DataFrame:
@@ -441,12 +561,12 @@ def velocity_dashboard(df: DataFrame, delay: str = "10 minutes") -> DataFrame:
 
 def stream_pins(df: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Pin status per row; ``kind`` is payment, blocked or clear."""
-    return _in_time(df.filter("domain is not null"), ["domain"], _Pins(), "seq bigint, domain string, check_id string, times_seen bigint", delay)
+    return _in_time_sharded(df.filter("domain is not null"), _Pins(), "seq bigint, domain string, check_id string, times_seen bigint", delay)
 
 
 def stream_spend(df: DataFrame, threshold: float = 0.005, delay: str = "0 seconds") -> DataFrame:
     d = df.filter("agent_key is not null and pay_to is not null")
-    return _in_time(d, ["agent_key", "pay_to"], _Spend(threshold), "seq bigint, agent_key string, pay_to string, prior_usd double, unlocked boolean", delay)
+    return _in_time_sharded(d, _Spend(threshold), "seq bigint, agent_key string, pay_to string, prior_usd double, unlocked boolean", delay)
 
 
 def stream_rate_limit(df: DataFrame, key: str, limit: int, window_ms: int, delay: str = "0 seconds") -> DataFrame:
@@ -463,12 +583,13 @@ def stream_provenance(events: DataFrame, ttl_ms: int = 5 * MINUTE, default: str
 def stream_approvals(events: DataFrame, delay: str = "0 seconds", keep_ms: int = 24 * HOUR) -> DataFrame:
     """Status changes of approvals; ``kind`` is open, approve or deny; event time ``ts``."""
     d = events.withWatermark("ts", delay).select("approval_id", "ts", "ms", "seq", "kind", "expires_ms")
-    return _run(d, ["approval_id"], _Approvals(keep_ms), "approval_id string, status string, ms bigint")
+    return _by_shards(d, _Approvals(keep_ms), "approval_id string, status string, ms bigint")
 
 
 def stream_uptime(beats: DataFrame, gap_s: int = 120, delay: str = "5 minutes", keys: tuple = ("service",)) -> DataFrame:
     """Uptime ranges of heartbeats (``ms``, ``seq``, ``kind``, keys): keys, from_ms, to_ms, beats, late. A gap of exactly ``gap_s`` stays
     in one range as in the batch form; a row of kind ``close`` ends its key's range at once."""
     kinds = dict(beats.dtypes)
-    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "from_ms bigint, to_ms bigint, beats bigint"
-    return _in_time(beats, list(keys), _Sessions(gap_s * 1000, keys), schema, delay)
+    schema = "".join(f"{k} string, " for k in keys) + "from_ms bigint, to_ms bigint, beats bigint"
+    out = _in_time_sharded(beats, _Sessions(gap_s * 1000, keys), schema, delay)
+    return out.withColumns({k: F.col(k).cast(kinds[k]) for k in keys})
