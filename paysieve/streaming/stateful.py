@@ -1,7 +1,7 @@
 """Stateful streaming operators on ``transformWithStateInPandas``, in event time.
 
-Rows may arrive in any order within the watermark's delay. Each operator keeps them in a buffer of time buckets (map state) and takes a
-bucket in (ms, seq) order once the watermark has passed its end, so its result is that of the batch operator over the same rows. A row
+Rows may arrive in any order within the watermark's delay. Each operator keeps them in a buffer in map state and takes a time bucket of them
+in (ms, seq) order once the watermark has passed its end, so its result is that of the batch operator over the same rows. A row
 older than the watermark on arrival is not merged into anything: it comes out at once with ``late`` set and nothing else but its key and
 ``seq``. State that time has made useless is removed by timers, so an idle key holds none.
 
